@@ -70,11 +70,15 @@ def vote_weights(n_members: int, weights: Sequence[float] | None) -> list[float]
     return [w / sum(values) for w in values]
 
 
+def _scaled(prob: Column, weight: float) -> Column:
+    return F.transform(prob, lambda p: p * F.lit(weight))
+
+
 def soft_vote(members: Sequence[Column], weights: Sequence[float] | None = None) -> Column:
     """Weighted mean of member vectors, put back on the simplex."""
     mixed = None
     for member, weight in zip(members, vote_weights(len(members), weights)):
-        scaled = F.transform(member, lambda p, w=weight: p * F.lit(w))
+        scaled = _scaled(member, weight)
         mixed = scaled if mixed is None else F.zip_with(mixed, scaled, lambda a, b: a + b)
     return renormalize(mixed)
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cohorts",)
+MODULES = ("cohorts", "evaluation")
 
 
 def load_all() -> None:
