@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cohorts", "evaluation")
+MODULES = ("cohorts", "evaluation", "catalogs", "drifts")
 
 
 def load_all() -> None:
