@@ -29,14 +29,25 @@ def _long(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
     return df.select(F.inline(cells)).where(F.col("v").isNotNull())
 
 
-def unseen_levels(train: DataFrame, scoring: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Sorted scoring levels that training never had, ``|``-joined, per categorical column.
+def unseen_level_rows(train: DataFrame, scoring: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, v) for every scoring level training never had; both sides are reduced to levels first."""
+    known = _long(train, columns, "string").distinct()
+    return _long(scoring, columns, "string").distinct().join(known, ["feature", "v"], "left_anti")
+
 
-    Both sides are reduced to distinct levels before they meet.
+def unseen_levels(
+    train: DataFrame, scoring: DataFrame, columns: Sequence[str], max_levels: int = 100_000
+) -> DataFrame:
+    """Sorted unseen levels, ``|``-joined into one text per categorical column.
+
+    A column with more than ``max_levels`` of them stops the job rather than filling one task;
+    :func:`unseen_level_rows` gives such columns row by row.
     """
-    known = _long(train, columns, "string").distinct()
-    new = _long(scoring, columns, "string").distinct().join(known, ["feature", "v"], "left_anti")
-    return new.groupBy("feature").agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("unseen_levels"))
+    new = unseen_level_rows(train, scoring, columns)
+    sizes = new.groupBy("feature").agg(F.count("*").alias("_n"))
+    fits = F.assert_true(F.col("_n") <= max_levels, F.lit("Too many unseen levels for one cell; use unseen_level_rows"))
+    checked = new.join(F.broadcast(sizes), "feature").where(fits.isNull())
+    return checked.groupBy("feature").agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("unseen_levels"))
 
 
 def schema_compatibility(train: DataFrame, scoring: DataFrame, features: Sequence[str]) -> DataFrame:

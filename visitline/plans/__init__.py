@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cohorts", "evaluation", "catalogs", "drifts")
+MODULES = ("cohorts", "evaluation", "catalogs", "drifts", "files")
 
 
 def load_all() -> None:
