@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("cohorts", "evaluation", "catalogs", "drifts", "files")
+MODULES = ("cohorts", "evaluation", "catalogs", "drifts", "files", "models")
 
 
 def load_all() -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from visitline.operators.selection import require_columns
@@ -14,19 +15,23 @@ DICTIONARY_EMPTY = ("", "-4", "-4.0", "nan", "none")
 DICTIONARY_FIELDS = ("FLDNAME", "TBLNAME", "TEXT", "TYPE", "UNITS")
 
 
-def _readable(spark: SparkSession, path: str) -> str:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        raise FileNotFoundError(f"Data file not found: {path}")
-    return path
-
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True
+) -> DataFrame:
+    """CSV with header; whitespace around column names is removed.
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with header; whitespace around column names is removed."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    ``multi_line`` respects line breaks inside quotes, which makes a file the unit of work. Set it
+    to False for large files without such breaks: Spark then splits them.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.csv(_readable(spark, path))
+    try:
+        df = reader.csv(path)
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(f"Data file not found: {path}") from exc
+        raise
     return df.toDF(*[c.strip() for c in df.columns])
 
 
