@@ -18,16 +18,21 @@ from visitline.operators import models as M, selective as V
 from visitline.operators.metrics import binary_metrics, multiclass_metrics
 from visitline.operators.selection import mask_columns
 from visitline.operators.splits import grouped_folds, hash_ranked, stratified_split
+from visitline.session import materialize
 from visitline.operators.survival import cumulative_risk, landmark_cohort, risk_grid
 
 
 def _tagged(parts: Sequence[tuple[DataFrame, Mapping]]) -> DataFrame:
-    """Union of scored frames, each labelled with the columns of its run."""
+    """Scored frames of several runs, labelled with the columns of their run, written once.
+
+    Metrics read the table twice (confusion and ranks); without it every model would score its rows
+    for each of them.
+    """
     out = None
     for frame, tags in parts:
         part = frame.withColumns({k: F.lit(v) for k, v in tags.items()})
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    return materialize(out, "runs")
 
 
 # --- transition-aware training -----------------------------------------------------------------
@@ -60,11 +65,14 @@ def train_transition_aware(
     ablations = ablation_features(features)
     fitted: dict[tuple[str, str], PipelineModel] = {}
     parts = []
+    counts = M.class_totals(train, "label", "subject_weight")
+    everything = M.fit_preparation(train, ablations["features_plus_source_forecast"], indicators)
     for ablation, columns in ablations.items():
-        prep = M.fit_preparation(train, columns, indicators)
+        prep = everything.subset(columns)
         for name, params in models.items():
             model = M.fit_model(
-                train, columns, "label", name, params, weight="subject_weight", seed=seed, preparation=prep
+                train, columns, "label", name, params, weight="subject_weight", seed=seed, preparation=prep,
+                class_rows=counts,
             )
             fitted[ablation, name] = model
             parts.append((M.score(model, validation).select("label", "prob"), {"ablation": ablation, "model": name}))
@@ -101,7 +109,7 @@ def grouped_cross_validation(
 ) -> DataFrame:
     """Metrics per fold; a subject is never on both sides of a fold."""
     folds = grouped_folds(rows, subject, n_splits, seed).select(F.col("subject").alias(subject), "fold")
-    tagged = rows.join(folds, subject)
+    tagged = materialize(rows.join(folds, subject), "folds")
     parts = []
     for fold in range(1, n_splits + 1):
         train, held = tagged.where(F.col("fold") != fold), tagged.where(F.col("fold") == fold)
@@ -132,8 +140,11 @@ def train_landmark_models(
             continue
         train = cohort.where(F.col("split") == "train")
         prep = M.fit_preparation(train, features, indicators)
+        counts = M.class_totals(train, "label")
         for name, params in models.items():
-            model = M.fit_model(train, features, "label", name, params, n_classes=2, seed=seed, preparation=prep)
+            model = M.fit_model(
+                train, features, "label", name, params, n_classes=2, seed=seed, preparation=prep, class_rows=counts
+            )
             fitted[h, name] = (model, classes.get("temporal_test", 0) >= 2)
             scored = M.score(model, cohort.where(F.col("split") == "validation"))
             parts.append((_positive(scored), {"horizon_months": h, "model": name}))
@@ -235,12 +246,17 @@ def seed_sweep(
             splits_from if splits_from is not None else rows, subject, label, seed
         ).select(F.col("subject").alias(subject), "split")
         tagged = rows.join(assigned, subject)
+        tagged = materialize(tagged, "split-rows")
         train = tagged.where(F.col("split") == "train")
+        counts = M.class_totals(train, label)
         for set_name, features in feature_sets.items():
+            flagged = M.fit_preparation(train, features, any(indicator_variants))
             for flag in indicator_variants:
-                prep = M.fit_preparation(train, features, flag)
+                prep = flagged if flag else flagged.subset(features, indicators=False)
                 for name, params in models.items():
-                    model = M.fit_model(train, features, label, name, params, seed=seed, preparation=prep)
+                    model = M.fit_model(
+                        train, features, label, name, params, seed=seed, preparation=prep, class_rows=counts
+                    )
                     tags = {"seed": seed, "feature_set": set_name, "model": name, "missing_indicators": flag}
                     parts.append((M.score(model, tagged).select(subject, label, "prob", "split"), tags))
     keys = ["seed", "feature_set", "model", "missing_indicators", "split"]
@@ -284,7 +300,7 @@ def masked_robustness(
     """Fit once per seed, null one feature group of the test rows at a time, report the drops."""
     parts = []
     for seed in seeds:
-        tagged = _split_rows(rows, subject, label, seed)
+        tagged = materialize(_split_rows(rows, subject, label, seed), "split-rows")
         model = M.fit_model(
             tagged.where(F.col("split") == "train"), features, label, name, params, indicators=True, seed=seed
         )
@@ -356,8 +372,9 @@ def permutation_importance(
             *[F.when(F.col("run.feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in features],
         )
     )
-    permuted = multiclass_metrics(M.score(model, wide), label, "prob", by=["feature", "repeat"])
-    base = multiclass_metrics(M.score(model, rows), label, "prob")
+    auc = "roc_auc_ovr" in metrics
+    permuted = multiclass_metrics(M.score(model, wide), label, "prob", by=["feature", "repeat"], auc=auc)
+    base = multiclass_metrics(M.score(model, rows), label, "prob", auc=auc)
     drops = permuted.select(
         "feature", "repeat", *[(base.select(m).scalar() - F.col(m)).alias(m) for m in metrics]
     )

@@ -18,12 +18,13 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from visitline.functions import probability as P
 from visitline.functions.ordered import exact_quantiles
 from visitline.operators.metrics import classwise_calibration_error, expected_calibration_error, multiclass_metrics
 from visitline.operators.selection import align_to_schema
+from visitline.session import materialize
 
 MAX_LEVELS = 10_000
 
@@ -40,6 +41,14 @@ class Preparation:
     categorical: dict[str, tuple[str, list[str]]] = field(default_factory=dict)  # mode, sorted levels
     dropped: tuple[str, ...] = ()
 
+    def subset(self, features: Sequence[str], indicators: bool = True) -> Preparation:
+        """The same statistics for fewer features, or without the null flags."""
+        keep = lambda d: {c: v for c, v in d.items() if c in features}
+        return Preparation(
+            keep(self.numeric), keep(self.indicators) if indicators else {}, keep(self.categorical),
+            tuple(c for c in self.dropped if c in features),
+        )
+
     def expressions(self) -> list[str]:
         out = []
         for name, (median, mean, std) in self.numeric.items():
@@ -144,10 +153,15 @@ BALANCED = ("logistic_regression", "random_forest")
 MODEL_NAMES = ("logistic_regression", "random_forest", "hist_gradient_boosting", "mlp_sklearn")
 
 
-def class_weight(train: DataFrame, label: str, weight: str | None, balanced: bool) -> tuple[Column, float]:
+def class_totals(train: DataFrame, label: str, weight: str | None = None) -> list[Row]:
+    """Rows and sample weight per class: one row per class."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    return train.groupBy(label).agg(F.count("*").alias("n"), F.sum(w).alias("w")).collect()
+
+
+def class_weight(rows: Sequence[Row], label: str, weight: str | None, balanced: bool) -> tuple[Column, float]:
     """Row weight = sample weight x n / (classes x class rows), and its total."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    rows = train.groupBy(label).agg(F.count("*").alias("n"), F.sum(w).alias("w")).collect()  # one row per class
     n = sum(r["n"] for r in rows)
     if not balanced:
         return w, float(sum(r["w"] for r in rows))
@@ -198,12 +212,17 @@ def fit_model(
     indicators: bool = False,
     seed: int = 42,
     preparation: Preparation | None = None,
+    class_rows: Sequence[Row] | None = None,
 ) -> PipelineModel:
-    """Preparation and classifier fitted on ``train``; boosting and the MLP are not class-balanced."""
+    """Preparation and classifier fitted on ``train``; boosting and the MLP are not class-balanced.
+
+    ``preparation`` and ``class_rows`` (see :func:`class_totals`) may be shared by several fits on
+    the same rows.
+    """
     params = dict(params or {})
     prep = preparation or fit_preparation(train, features, indicators)
     balanced = name in BALANCED and params.get("class_weight", "balanced") == "balanced"
-    w, total = class_weight(train, label, weight, balanced)
+    w, total = class_weight(class_rows or class_totals(train, label, weight), label, weight, balanced)
     ready = train.select(*features, F.col(label).cast("double").alias("_label"), w.alias("_weight"))
     stages = prep.stages()
     for stage in stages:
@@ -247,8 +266,10 @@ def fit_voting(
     if not members:
         raise ValueError("Soft voting needs at least one member.")
     prep = fit_preparation(train, features, kwargs.pop("indicators", False))
+    rows = class_totals(train, label, kwargs.get("weight"))
     return {
-        m: fit_model(train, features, label, m, (params or {}).get(m), preparation=prep, **kwargs) for m in members
+        m: fit_model(train, features, label, m, (params or {}).get(m), preparation=prep, class_rows=rows, **kwargs)
+        for m in members
     }
 
 
@@ -346,6 +367,7 @@ def calibrate_and_select(
     for m, c in fitted.items():
         part = c.apply(scored.select(split, label, "prob")).withColumn("method", F.lit(m))
         union = part if union is None else union.unionByName(part)
+    union = materialize(union, "calibrated")
     keys = ["method", split]
     table = multiclass_metrics(union, label, "prob", by=keys).select(
         *keys, "n_rows", "log_loss", "brier_score", "macro_f1", "roc_auc_ovr"
