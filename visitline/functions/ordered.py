@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKETS_PER_UNIT = 128
 LOGIT_LIMIT = 40.0
+MAX_GROUPS = 100_000
 
 
 def probability_bucket(p: Column) -> Column:
@@ -31,20 +32,36 @@ def hash_bucket(h: Column) -> Column:
     return F.shiftright(h, 52).cast("int")
 
 
-def with_value_bucket(df: DataFrame, value: str, by: Sequence[str] = (), bucket: str = "_bucket") -> DataFrame:
-    """Bucket any numeric column by the log-odds of its place between the group's min and max."""
+def value_spans(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Exact minimum and maximum per group, fetched when there are at most ``MAX_GROUPS`` groups.
+
+    Groups are features, splits, horizons and the like. A fetched list has a known size and is
+    broadcast; a longer one stays a distributed frame.
+    """
     span = df.groupBy(*by).agg(
         F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high")
     )
+    found = span.limit(MAX_GROUPS + 1).collect()
+    if len(found) > MAX_GROUPS:
+        return span
+    return F.broadcast(df.sparkSession.createDataFrame(found, span.schema))
+
+
+def with_value_bucket(
+    df: DataFrame, value: str, by: Sequence[str] = (), bucket: str = "_bucket", spans: DataFrame | None = None
+) -> DataFrame:
+    """Bucket any numeric column by the log-odds of its place between the group's min and max.
+
+    ``spans`` (see :func:`value_spans`) may come from a cheaper frame with the same extremes.
+    """
+    spans = spans if spans is not None else value_spans(df, value, by)
     if by:
-        wide = df.join(span, list(by))
+        wide = df.join(spans, list(by))
+        low, high = F.col("_low"), F.col("_high")
     else:
-        wide = df.withColumns(
-            {"_low": span.select("_low").scalar(), "_high": span.select("_high").scalar()}
-        )
-    place = F.when(
-        F.col("_high") > F.col("_low"), (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low"))
-    ).otherwise(F.lit(0.5))
+        ends = spans.first()
+        wide, low, high = df, F.lit(ends["_low"]).cast("double"), F.lit(ends["_high"]).cast("double")
+    place = F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.5))
     return wide.withColumn(bucket, probability_bucket(place)).drop("_low", "_high")
 
 
@@ -103,20 +120,46 @@ def exact_quantiles(
     if unit_interval:
         counted = counted.withColumn("_bucket", probability_bucket(F.col("_value")))
     else:
-        counted = with_value_bucket(counted, "_value", by)
+        spans = value_spans(df.where(F.col(value).isNotNull()), value, by)
+        counted = with_value_bucket(counted, "_value", by, spans=spans)
     ranked = running_sums(counted, ["_value"], ["_n"], by)
-    holds = lambda pos: F.max(
-        F.when((F.col("_n_before") <= pos) & (pos < F.col("_n_before") + F.col("_n")), F.col("_value"))
+    found = quantile_hits(F.col("_value"), F.col("_n_before"), F.col("_n"), F.col("_n_total"), probs)
+    return ranked.groupBy(*by).agg(collect_hits(found).alias("_hits")).select(
+        *by, *[quantile_from_hits(F.col("_hits"), i).alias(name) for i, name in enumerate(names)]
     )
-    aggs, outs = [], []
-    for name, p in zip(names, probs):
-        place = (F.col("_n_total") - 1) * F.lit(float(p))
-        low = F.floor(place)
-        aggs += [
-            holds(low).alias(f"_lo_{name}"),
-            holds(F.ceil(place)).alias(f"_hi_{name}"),
-            F.max(place - low).alias(f"_f_{name}"),
-        ]
-        lo, hi, f = (F.col(f"_{k}_{name}") for k in ("lo", "hi", "f"))
-        outs.append((lo + (hi - lo) * f).alias(name))
-    return ranked.groupBy(*by).agg(*aggs).select(*by, *outs)
+
+
+def quantile_hits(value: Column, before: Column, n: Column, total: Column, probs: Sequence[float]) -> Column:
+    """The quantiles whose lower or upper neighbour is this row, or null for nearly every row."""
+    first, last = before, before + n - 1
+
+    def place(p: Column, i: Column) -> Column:
+        at = (total - 1) * p
+        low, high = F.floor(at), F.ceil(at)
+        return F.struct(
+            i.alias("q"),
+            F.when((first <= low) & (low <= last), value).alias("low"),
+            F.when((first <= high) & (high <= last), value).alias("high"),
+            (at - low).alias("part"),
+        )
+
+    places = F.transform(F.array(*[F.lit(float(p)) for p in probs]), place)
+    hits = F.filter(places, lambda h: h["low"].isNotNull() | h["high"].isNotNull())
+    # Plain comparisons decide first: the array work above runs for the few rows that hold a quantile.
+    held = F.lit(False)
+    for p in probs:
+        at = (total - 1) * F.lit(float(p))
+        held = held | ((first <= F.ceil(at)) & (F.floor(at) <= last))
+    return F.when(held, hits)
+
+
+def collect_hits(hits: Column) -> Column:
+    """All hits of a group: at most two per quantile, whatever the group's size."""
+    return F.flatten(F.collect_list(hits))
+
+
+def quantile_from_hits(hits: Column, i: int) -> Column:
+    own = F.filter(hits, lambda h: h["q"] == i)
+    low = F.array_max(F.transform(own, lambda h: h["low"]))
+    high = F.array_max(F.transform(own, lambda h: h["high"]))
+    return low + (high - low) * F.array_max(F.transform(own, lambda h: h["part"]))

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from visitline.functions import probability as P
 from visitline.functions.dates import months
-from visitline.functions.ordered import exact_quantiles, running_sums, with_value_bucket
+from visitline.functions.ordered import collect_hits, quantile_from_hits, quantile_hits, running_sums, value_spans, with_value_bucket
 from visitline.functions.states import OUTCOME_SCHEME, StateScheme, encode_state, normalize_state
 from visitline.operators.catalog import missing_rates
 from visitline.operators.selection import any_available
+from visitline.session import materialize
 
 # [design] PSI bins and the share that stands in for an empty bin; the source of the rule is not public.
 PSI_BINS = 10
@@ -122,8 +123,14 @@ def deployment_decision(
 # --- distribution shift ------------------------------------------------------------------------
 
 
-def numeric_shift(train: DataFrame, scoring: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Means, sample deviations, standardized mean difference, two-sample KS and PSI per feature."""
+def numeric_shift(
+    train: DataFrame, scoring: DataFrame, features: Sequence[str], bins: int = PSI_BINS, floor: float = PSI_FLOOR
+) -> DataFrame:
+    """Means, sample deviations, standardized mean difference, two-sample KS and PSI per feature.
+
+    Both cohorts are reduced to counts per distinct value. One ordered pass over those counts gives
+    the largest ECDF gap and the training quantiles that bound the PSI bins.
+    """
     side = lambda df, s: _long(df, features, "double").withColumn("_scoring", F.lit(s))
     rows = side(train, 0).unionByName(side(scoring, 1))
     pick = lambda s: F.when(F.col("_scoring") == s, F.col("v"))
@@ -133,39 +140,49 @@ def numeric_shift(train: DataFrame, scoring: DataFrame, features: Sequence[str])
     )
     pooled = F.sqrt((F.pow("train_std", F.lit(2.0)) + F.pow("scoring_std", F.lit(2.0))) / 2.0)
     smd = F.when(pooled > 0, (F.col("scoring_mean") - F.col("train_mean")) / pooled)
-    out = moments.withColumn("standardized_mean_difference", smd)
-    return out.join(ks_statistic(rows), "feature", "left").join(psi(rows), "feature", "left")
+    # Written once: extremes, ordering and binning all read it, and the cohorts are not scanned again.
+    counts = materialize(
+        rows.groupBy("feature", "v").agg(
+            F.count_if(F.col("_scoring") == 0).alias("a"), F.count_if(F.col("_scoring") == 1).alias("b")
+        ),
+        "value-counts",
+    )
+    ordered = _ks_and_edges(counts, value_spans(counts, "v", ["feature"]), bins)
+    # One row per feature: frozen here, so that PSI does not order the values again.
+    ordered = train.sparkSession.createDataFrame(ordered.collect(), ordered.schema)
+    out = moments.withColumn("standardized_mean_difference", smd).join(ordered.drop("_edges"), "feature", "left")
+    return out.join(_psi(counts, ordered.select("feature", "_edges"), floor, bins), "feature", "left")
 
 
-def ks_statistic(rows: DataFrame) -> DataFrame:
-    """Largest ECDF gap per feature over distinct values (rows: feature, v, _scoring)."""
-    counts = rows.groupBy("feature", "v").agg(
-        F.count_if(F.col("_scoring") == 0).alias("a"), F.count_if(F.col("_scoring") == 1).alias("b")
-    )
-    ranked = running_sums(with_value_bucket(counts, "v", ["feature"]), ["v"], ["a", "b"], ["feature"])
+def _ks_and_edges(counts: DataFrame, spans: DataFrame, bins: int) -> DataFrame:
+    """Per feature: the KS statistic and the inner training-quantile edges as an array."""
+    ranked = running_sums(with_value_bucket(counts, "v", ["feature"], spans=spans), ["v"], ["a", "b"], ["feature"])
     gap = F.abs(
         (F.col("a_before") + F.col("a")) / F.col("a_total") - (F.col("b_before") + F.col("b")) / F.col("b_total")
     )
-    return ranked.groupBy("feature").agg(F.max(gap).alias("ks_statistic"))
+
+    found = quantile_hits(
+        F.col("v"), F.col("a_before"), F.col("a"), F.col("a_total"), [i / bins for i in range(1, bins)]
+    )
+    table = ranked.groupBy("feature").agg(F.max(gap).alias("ks_statistic"), collect_hits(found).alias("_hits"))
+    edges = F.array(*[quantile_from_hits(F.col("_hits"), i) for i in range(bins - 1)])
+    return table.select("feature", "ks_statistic", edges.alias("_edges"))
 
 
-def psi(rows: DataFrame, bins: int = PSI_BINS, floor: float = PSI_FLOOR) -> DataFrame:
-    """Population stability index on training-quantile bins (one row of edges per feature)."""
-    names = [f"e{i}" for i in range(1, bins)]
-    edges = exact_quantiles(
-        rows.where(F.col("_scoring") == 0), "v", [i / bins for i in range(1, bins)], names, ["feature"]
-    ).select("feature", F.array(*names).alias("_edges"))
+def _psi(counts: DataFrame, edges: DataFrame, floor: float, bins: int) -> DataFrame:
+    above = sum((F.get("_edges", F.lit(i)) < F.col("v")).cast("int") for i in range(bins - 1))
     binned = (
-        rows.join(F.broadcast(edges), "feature")  # one row per feature: schema-sized
-        .withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col("v"))))
+        counts.join(F.broadcast(edges), "feature")  # one row per feature: schema-sized
+        .withColumn("_bin", above)
         .groupBy("feature", "_bin")
-        .agg(F.count_if(F.col("_scoring") == 0).alias("a"), F.count_if(F.col("_scoring") == 1).alias("b"))
+        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     )
-    totals = binned.groupBy("feature").agg(F.sum("a").alias("_ta"), F.sum("b").alias("_tb"))
-    shares = binned.join(totals, "feature").select(
+    # At most `bins` rows per feature.
+    lane = Window.partitionBy("feature")
+    shares = binned.select(
         "feature",
-        F.greatest(F.col("a") / F.col("_ta"), F.lit(floor)).alias("p"),
-        F.greatest(F.col("b") / F.col("_tb"), F.lit(floor)).alias("q"),
+        F.greatest(F.col("a") / F.sum("a").over(lane), F.lit(floor)).alias("p"),
+        F.greatest(F.col("b") / F.sum("b").over(lane), F.lit(floor)).alias("q"),
     )
     return shares.groupBy("feature").agg(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi"))
 

@@ -258,59 +258,67 @@ def gap_histogram(
     )
 
 
-def weighted_describe(df: DataFrame, value: Column, weight: Column) -> DataFrame:
-    """count / mean / sample std / min / quartiles / max of a small value-count table."""
-    rows = df.select(value.cast("double").alias("v"), weight.cast("bigint").alias("w"))
-    lane = Window.partitionBy(F.lit(0)).orderBy("v")
+def weighted_describe(df: DataFrame, value: Column, weight: Column, extra: Sequence[Column] = ()) -> DataFrame:
+    """count / mean / sample std / min / quartiles / max of a small value-count table.
+
+    ``df`` has one row per distinct value (of a count or a day gap), which bounds the one ordered
+    window used here. ``extra`` are further aggregates over ``df``.
+    """
+    rows = df.select("*", value.cast("double").alias("v"), weight.cast("bigint").alias("w"))
+    every = Window.partitionBy(F.lit(0))
+    ahead = every.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     cum = rows.withColumns(
         {
-            "before": F.coalesce(F.sum("w").over(lane.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-            "n": F.sum("w").over(Window.partitionBy(F.lit(0))),
+            "_before": F.coalesce(F.sum("w").over(ahead), F.lit(0)),
+            "_n": F.sum("w").over(every),
+            "_m": F.sum(F.col("v") * F.col("w")).over(every) / F.sum("w").over(every),
         }
     )
 
     def at(pos):
-        return F.max(F.when((F.col("before") <= pos) & (pos < F.col("before") + F.col("w")), F.col("v")))
+        return F.max(F.when((F.col("_before") <= pos) & (pos < F.col("_before") + F.col("w")), F.col("v")))
 
     def quantile(p):
-        place = (F.col("n") - 1) * F.lit(p)
-        return at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        place = (F.col("_n") - 1) * F.lit(p)
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        return low + (high - low) * part
 
-    aggs = [
+    spread = F.sum(F.col("w") * F.pow(F.col("v") - F.col("_m"), F.lit(2.0)))
+    return cum.agg(
         F.sum("w").alias("count"),
-        (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("mean"),
+        F.max("_m").alias("mean"),
+        F.when(F.sum("w") > 1, F.sqrt(spread / (F.sum("w") - 1))).alias("std"),
         F.min("v").alias("min"),
+        *[quantile(p).alias(name) for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))],
         F.max("v").alias("max"),
-    ]
-    for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
-        lo, hi, f = quantile(p)
-        aggs += [lo.alias(f"{name}_lo"), hi.alias(f"{name}_hi"), f.alias(f"{name}_f")]
-    mean = rows.agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m")).scalar()
-    aggs.append(F.sum(F.col("w") * F.pow(F.col("v") - F.col("_m"), F.lit(2.0))).alias("ss"))
-    wide = cum.withColumn("_m", mean).agg(*aggs)
-    q = lambda n: (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_f")).alias(n)
-    std = F.when(F.col("count") > 1, F.sqrt(F.col("ss") / (F.col("count") - 1)))
-    return wide.select("count", "mean", std.alias("std"), "min", q("p25"), q("p50"), q("p75"), "max")
+        *extra,
+    )
 
 
 def pair_statistics(counts: DataFrame, scheme: StateScheme = DEFAULT_SCHEME) -> DataFrame:
     """One row: subjects, pairs, median / max pairs per subject, weight sums, target distribution."""
-    per_subject = pairs_per_subject(counts, scheme).where(F.col("pairs") > 0)
+    to = [F.col(f"to_{s}") for s in scheme.states]
+    per_subject = counts.groupBy("subject").agg(
+        F.sum(sum(to[1:], to[0])).alias("pairs"), *[F.sum(c).alias(f"to_{s}") for c, s in zip(to, scheme.states)]
+    )
     # Subjects per pair count: a short table that carries the median exactly.
-    sizes = per_subject.groupBy("pairs").agg(F.count("*").alias("subjects"))
-    spread = weighted_describe(sizes, F.col("pairs"), F.col("subjects"))
-    total = sizes.agg(F.sum(F.col("pairs") * F.col("subjects")).cast("bigint").alias("x")).scalar()
-    weight = F.lit(1.0)  # pairs of a subject all carry 1 / pairs
-    targets = counts.agg(*[F.sum(f"to_{s}").cast("bigint").alias(f"future_{s}") for s in scheme.states])
-    return spread.select(
+    sizes = (
+        per_subject.where(F.col("pairs") > 0)
+        .groupBy("pairs")
+        .agg(F.count("*").alias("subjects"), *[F.sum(f"to_{s}").alias(f"to_{s}") for s in scheme.states])
+    )
+    totals = [F.sum(F.col("pairs") * F.col("subjects")).cast("bigint").alias("total_pairs")]
+    totals += [F.sum(f"to_{s}").cast("bigint").alias(f"future_{s}") for s in scheme.states]
+    one = F.lit(1.0)  # the pairs of a subject all weigh 1 / pairs
+    return weighted_describe(sizes, F.col("pairs"), F.col("subjects"), totals).select(
         F.col("count").cast("bigint").alias("subjects"),
-        total.alias("total_pairs"),
+        "total_pairs",
         F.col("p50").alias("median_pairs_per_subject"),
         F.col("max").cast("bigint").alias("maximum_pairs_per_subject"),
         F.col("count").cast("double").alias("effective_weighted_sample_size"),
-        weight.alias("per_subject_weight_sum_min"),
-        weight.alias("per_subject_weight_sum_max"),
-        *[targets.select(f"future_{s}").scalar().alias(f"future_{s}") for s in scheme.states],
+        one.alias("per_subject_weight_sum_min"),
+        one.alias("per_subject_weight_sum_max"),
+        *[f"future_{s}" for s in scheme.states],
     )
 
 

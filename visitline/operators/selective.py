@@ -26,28 +26,34 @@ def coverage_thresholds(validation: DataFrame, prob: Column, coverages: Sequence
 
 
 def risk_coverage(
-    df: DataFrame, truth: str, prob: Column, thresholds: DataFrame, classes: Sequence[int] = (0, 1, 2),
-    by: Sequence[str] = ("split",),
+    df: DataFrame, truth: str, prob: Column, thresholds: DataFrame | Sequence[tuple[float, float]],
+    classes: Sequence[int] = (0, 1, 2), by: Sequence[str] = ("split",),
 ) -> DataFrame:
     """Retained share and quality at every threshold.
 
-    ``thresholds`` is the short list of :func:`coverage_thresholds`. Each prediction is counted once
-    under the number of thresholds it reaches; the table of a threshold is then the sum over all
-    higher counts, so predictions are not repeated per threshold.
+    ``thresholds`` lists (target_coverage, threshold), one entry per coverage; a frame of
+    :func:`coverage_thresholds` is fetched, which freezes the values. Each prediction is counted
+    once under the number of thresholds it reaches; the table of a threshold is then the sum over
+    all higher counts, so predictions are not repeated per threshold.
     """
     by = list(by)
-    limits = thresholds.groupBy().agg(F.array_sort(F.collect_list("threshold")).alias("limits"))
-    rows = df.select(
-        *by, F.col(truth).alias(truth), prob.alias("_prob"), limits.scalar().alias("_limits")
-    ).withColumn("_reached", F.size(F.filter("_limits", lambda t: t <= P.confidence(F.col("_prob")))))
+    if isinstance(thresholds, DataFrame):
+        thresholds = [(r["target_coverage"], r["threshold"]) for r in thresholds.collect()]
+    frozen = sorted((float(t), float(c)) for c, t in thresholds)
+    limits = F.array(*[F.lit(t) for t, _ in frozen])
+    reached = F.size(F.filter(limits, lambda t: t <= P.confidence(prob)))
+    rows = df.select(*by, F.col(truth).alias(truth), prob.alias("_prob"), reached.alias("_reached"))
     cells = confusion_cells(rows, truth, P.predicted_class(F.col("_prob")), [*by, "_reached"])
-    levels = thresholds.select(
-        "target_coverage", "threshold", F.array_position(limits.scalar(), F.col("threshold")).cast("int").alias("_level")
+    # A row that reaches k thresholds is retained by the k smallest ones.
+    levels = F.array(
+        *[F.struct(F.lit(c).alias("target_coverage"), F.lit(t).alias("threshold")) for t, c in frozen]
     )
+    retained = F.when(F.col("_reached") > 0, F.slice(levels, F.lit(1), F.col("_reached")))
+    kept = cells.select("*", F.inline_outer(retained))
     totals = cells.groupBy(*by).agg(F.sum("n").alias("_all"))
-    # thresholds x (classes^2 x thresholds) cells: a small table joined on an inequality.
-    kept = cells.join(F.broadcast(levels), F.col("_reached") >= F.col("_level"))
-    table = metrics_from_cells(kept, classes, [*by, "target_coverage", "threshold"], scored=False)
+    table = metrics_from_cells(
+        kept.where(F.col("threshold").isNotNull()), classes, [*by, "target_coverage", "threshold"], scored=False
+    )
     joined = table.join(totals, by) if by else table.withColumn("_all", totals.scalar())
     return joined.select(
         *by,

@@ -38,6 +38,13 @@ def _index(spark, sf):
     return materialize(J.attach_split(index_frame(spark, sf), split, "subject"), "index")
 
 
+def _split_rows(spark, sf):
+    """Labelled visits with a stratified subject split, written once before any fit."""
+    rows = _labelled(spark, sf)
+    split = T.stratified_split(bare_visits(spark, sf), "subject", "state", seed=42).select("subject", "split")
+    return materialize(J.attach_split(rows, split, "subject"), "split-rows")
+
+
 def _json(df):
     return df.withColumn("confusion_matrix", F.to_json("confusion_matrix"))
 
@@ -94,9 +101,7 @@ def prepared_features(spark, sf):
 
 
 def _fit_and_score(spark, sf, models, keep=("row_id", "label")):
-    rows = materialize(_labelled(spark, sf), "rows")
-    split = T.stratified_split(rows, "subject", "label", seed=42).select("subject", "split")
-    tagged = rows.join(split, "subject")
+    tagged = _split_rows(spark, sf)
     name, params = next(iter(models.items()))
     model = M.fit_model(tagged.where("split = 'train'"), FEATURES, "label", name, params)
     scored = M.score(model, tagged.where("split = 'test'"))
@@ -300,9 +305,7 @@ def suspicious_importance(spark, sf):
 
 @query("parameter_search")
 def parameter_search(spark, sf):
-    rows = materialize(_labelled(spark, sf), "rows")
-    split = T.stratified_split(rows, "subject", "label", seed=42).select("subject", "split")
-    tagged = rows.join(split, "subject")
+    tagged = _split_rows(spark, sf)
     grid = [{"C": c, "max_iter": 10} for c in (0.01, 1.0)]
     return rounded(X.tune_model(tagged.where("split = 'train'"), ["spend", "segment"], "label", "logistic_regression", grid,
                                 validation=tagged.where("split = 'val'")))
