@@ -57,3 +57,11 @@ def salted_join(
         .drop("_splits")
     )
     return dealt.join(copies, [*keys, "_part"], how).drop("_part")
+
+
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """Rows joined to a table with one row per ``key``; a key that owns many rows is split."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_rows"))
+    return salted_join(
+        rows, lookup, [key], how, F.struct(*[F.col(c) for c in rows.columns]), counts=counts, min_rows=min_rows
+    )

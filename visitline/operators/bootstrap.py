@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from visitline.functions.skew import MIN_HOT_ROWS, lookup_join, salted_join
 from visitline.operators.metrics import multiclass_metrics
 from visitline.operators.splits import hash_ranked
 
@@ -31,11 +32,11 @@ def draw_counts(df: DataFrame, subject: str, repetitions: int, seed: int) -> Dat
 
 def resample_blocks(df: DataFrame, subject: str, seed: int) -> DataFrame:
     """One resample: every row of a drawn subject, once per draw (``copy`` numbers the repeats)."""
-    picked = draw_counts(df, subject, 1, seed).select(F.col("subject").alias("_s"), "times")
+    picked = draw_counts(df, subject, 1, seed).select(F.col("subject").alias(subject), "times")
     return (
-        df.join(picked, F.col(subject) == F.col("_s"))
+        lookup_join(df, picked, subject)
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
-        .drop("_s", "times")
+        .drop("times")
     )
 
 
@@ -52,8 +53,14 @@ def subject_bootstrap_ci(
 ) -> DataFrame:
     """Percentile interval of each metric with its estimate on the original rows."""
     rows = df.select(F.col(subject).alias("subject"), F.col(truth).alias("_truth"), prob.alias("_prob"))
-    resampled = rows.join(draw_counts(df, subject, repetitions, seed), "subject")
-    per_rep = multiclass_metrics(resampled, "_truth", "_prob", classes, ["rep"], weight=F.col("times"))
+    # Equal predictions of a subject are counted before they are repeated per repetition.
+    merged = rows.groupBy("subject", "_truth", "_prob").agg(F.count("*").alias("_same"))
+    resampled = salted_join(
+        merged, draw_counts(df, subject, repetitions, seed), ["subject"], "inner", F.struct("_truth", "_prob"),
+        min_rows=max(1, MIN_HOT_ROWS // repetitions),
+    )
+    weight = F.col("times") * F.col("_same")
+    per_rep = multiclass_metrics(resampled, "_truth", "_prob", classes, ["rep"], weight=weight)
     estimate = multiclass_metrics(rows, "_truth", "_prob", classes)
     tail = (1.0 - confidence_level) / 2.0
     long = per_rep.unpivot(["rep"], list(metrics), "metric", "value")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from visitline.functions import probability as P
 from visitline.functions.dates import months
 from visitline.functions.ordered import collect_hits, quantile_from_hits, quantile_hits, running_sums, value_spans, with_value_bucket
+from visitline.functions.skew import lookup_join
 from visitline.functions.states import OUTCOME_SCHEME, StateScheme, encode_state, normalize_state
 from visitline.operators.catalog import missing_rates
 from visitline.operators.selection import any_available
@@ -235,9 +236,10 @@ def match_outcomes(
     ``index`` and ``predictions`` have one row per subject. Codes: ``included``,
     ``unmatched_subject``, ``missing_date``, ``unresolved_label``.
     """
-    matched = outcomes.join(index.withColumn("_in_index", F.lit(True)), subject, "left")
+    known = index.withColumn("_in_index", F.lit(True))
     if predictions is not None:
-        matched = matched.join(predictions, subject, "left")
+        known = known.join(predictions, subject, "left")
+    matched = lookup_join(outcomes, known, subject, "left")
     state = normalize_state(F.col(outcome_label), scheme)
     ahead = months(F.datediff(outcome_date, index_date))
     code = (
@@ -259,7 +261,7 @@ def match_outcomes(
 def replace_from(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Left join in which the listed columns always take the right-hand value."""
     fresh = right.select(key, *[F.col(c).alias(f"_r_{c}") for c in columns])
-    joined = left.join(fresh, key, "left")
+    joined = lookup_join(left, fresh, key, "left")
     kept = [F.col(f"_r_{c}").alias(c) if c in columns else F.col(c) for c in left.columns]
     added = [F.col(f"_r_{c}").alias(c) for c in columns if c not in left.columns]
     return joined.select(*kept, *added)

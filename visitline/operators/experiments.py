@@ -14,6 +14,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from visitline.functions import probability as P
+from visitline.functions.skew import lookup_join
 from visitline.operators import models as M, selective as V
 from visitline.operators.metrics import binary_metrics, multiclass_metrics
 from visitline.operators.selection import mask_columns
@@ -109,7 +110,7 @@ def grouped_cross_validation(
 ) -> DataFrame:
     """Metrics per fold; a subject is never on both sides of a fold."""
     folds = grouped_folds(rows, subject, n_splits, seed).select(F.col("subject").alias(subject), "fold")
-    tagged = materialize(rows.join(folds, subject), "folds")
+    tagged = materialize(lookup_join(rows, folds, subject), "folds")
     parts = []
     for fold in range(1, n_splits + 1):
         train, held = tagged.where(F.col("fold") != fold), tagged.where(F.col("fold") == fold)
@@ -222,7 +223,7 @@ SUMMARY_METRICS = ("accuracy", "balanced_accuracy", "macro_f1", "roc_auc_ovr", "
 
 def _split_rows(rows: DataFrame, subject: str, label: str, seed: int) -> DataFrame:
     assigned = stratified_split(rows, subject, label, seed).select(F.col("subject").alias(subject), "split")
-    return rows.join(assigned, subject)
+    return lookup_join(rows, assigned, subject)
 
 
 def seed_sweep(
@@ -245,7 +246,7 @@ def seed_sweep(
         assigned = stratified_split(
             splits_from if splits_from is not None else rows, subject, label, seed
         ).select(F.col("subject").alias(subject), "split")
-        tagged = rows.join(assigned, subject)
+        tagged = lookup_join(rows, assigned, subject)
         tagged = materialize(tagged, "split-rows")
         train = tagged.where(F.col("split") == "train")
         counts = M.class_totals(train, label)
@@ -459,7 +460,7 @@ def tune_model(
     sides = [(train, validation, 0)]
     if validation is None:
         folds = grouped_folds(train, subject, n_splits, seed).select(F.col("subject").alias(subject), "fold")
-        tagged = train.join(folds, subject)
+        tagged = materialize(lookup_join(train, folds, subject), "folds")
         sides = [(tagged.where(F.col("fold") != k), tagged.where(F.col("fold") == k), k) for k in range(1, n_splits + 1)]
     parts = []
     for trial, params in enumerate(candidates):
