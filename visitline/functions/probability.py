@@ -50,8 +50,14 @@ def clipped_log_loss(p: Column) -> Column:
     return -F.log(F.least(F.greatest(p, F.lit(LOG_LOSS_EPS)), F.lit(1.0 - LOG_LOSS_EPS)))
 
 
-def brier(prob: Column, truth: Column) -> Column:
-    """Sum of squared gaps between the vector and the one-hot truth."""
+def brier(prob: Column, truth: Column, size: int | None = None) -> Column:
+    """Sum of squared gaps between the vector and the one-hot truth.
+
+    With a known ``size`` the sum is written out, which Spark compiles into one expression.
+    """
+    if size is not None:
+        gaps = [F.get(prob, F.lit(i)) - F.when(truth == i, 1.0).otherwise(0.0) for i in range(size)]
+        return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
     gaps = F.transform(prob, lambda p, i: F.pow(p - F.when(i == truth, 1.0).otherwise(0.0), F.lit(2.0)))
     return F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + x)
 

@@ -27,7 +27,7 @@ def _add(cols) -> Column:
 
 def confusion_cells(
     df: DataFrame, truth: str, predicted: Column, by: Sequence[str] = (), prob: Column | None = None,
-    weight: Column | None = None,
+    weight: Column | None = None, n_classes: int | None = None,
 ) -> DataFrame:
     """Row weight, log-loss and Brier sums per (group, truth, prediction)."""
     w = F.lit(1.0) if weight is None else weight.cast("double")
@@ -38,7 +38,7 @@ def confusion_cells(
         own = F.get(F.col("_prob"), F.col("_t"))
         aggs += [
             F.sum(F.col("_w") * P.clipped_log_loss(own)).alias("ll"),
-            F.sum(F.col("_w") * P.brier(F.col("_prob"), F.col("_t"))).alias("br"),
+            F.sum(F.col("_w") * P.brier(F.col("_prob"), F.col("_t"), n_classes)).alias("br"),
         ]
     return rows.groupBy(*by, "_t", "_p").agg(*aggs)
 
@@ -152,7 +152,7 @@ def multiclass_metrics(
     by = list(by)
     p = F.col(prob) if isinstance(prob, str) else prob
     call = predicted if predicted is not None else P.predicted_class(p)
-    base = metrics_from_cells(confusion_cells(df, truth, call, by, p, weight), classes, by, scored=p is not None)
+    base = metrics_from_cells(confusion_cells(df, truth, call, by, p, weight, len(classes)), classes, by, scored=p is not None)
     if p is None:
         return base.withColumns({c: F.lit(None).cast("double") for c in ("roc_auc_ovr", "log_loss", "brier_score")})
     if not auc:
