@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from visitline.llm import exact, mixing
+from visitline.llm import exact, langid, mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """Whether crc32 of the id as text leaves this remainder; a null id is never held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+@query("op5_language_codes")
+def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit_language_codes(docs.where(~held_out(3, 1)).select("doc_id", "text", "lang"))
+    return langid.predict_language(docs, model, keep=["doc_id", held_out(3, 1).alias("held_out")])
+
+
 _EXACT_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS x FROM documents),
 g AS (SELECT x, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)
@@ -90,3 +102,8 @@ UNION ALL SELECT doc_id, (whole + 1)::INTEGER, domain, lang, source, n_tokens::B
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return mixing.mix_sources(docs, source_domain(F.col("source")), weights=MIX_WEIGHTS, epochs=MIX_EPOCHS)
+
+
+@query("op10_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(documents(spark, sf_dir))
