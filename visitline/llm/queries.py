@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from visitline.llm import exact, langid, mixing, secrets
+from visitline.llm import exact, jaccard, langid, mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,6 +50,11 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, sf_dir)).drop("n_chunks")
 
 
+@query("op7_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir), words_per_shingle=3, similarity=(90, 100))
+
+
 MIX_WEIGHTS = {"domain": {"web": 5, "books": 2, "code": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 3}}
 MIX_EPOCHS = 2
 
