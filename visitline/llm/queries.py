@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from visitline.llm import exact, jaccard, langid, mixing, secrets
+from visitline.llm import exact, html, jaccard, langid, mixing, ppm, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,26 @@ def held_out(modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+@query("op1_main_text")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("n_templates")
+
+
+@query("op2_toxicity")
+def toxic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(5, 0))
+    model = toxicity.fit_toxicity(docs.where(~held_out(5, 0)), labels)
+    return toxicity.score_toxicity(docs, model, held_out=held_out(5, 0))
+
+
+@query("op4_ppm_score")
+def ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    scored = ppm.score_texts(docs, ~held_out(10, 0))
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op5_language_codes")
 def language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
