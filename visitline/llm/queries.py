@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from visitline.llm import exact, html, jaccard, langid, mixing, ppm, secrets, toxicity
+from visitline.llm import decontaminate, exact, html, jaccard, langid, mixing, ppm, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,6 +44,11 @@ def toxic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model, held_out=held_out(5, 0))
 
 
+@query("op3_decontaminate")
+def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query("op4_ppm_score")
 def ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)

@@ -21,8 +21,8 @@ from visitline.session import ship_package
 
 STRETCH = 64
 HASH_BITS = 18
-SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 7500  # at most so many labelled texts of each kind are fitted
-SAMPLE_CHARS = 20_000  # longer labelled texts are not fitted; every text is scored whole
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 5000  # at most so many labelled texts of each kind are fitted
+SAMPLE_CHARS = 6_000  # longer labelled texts are not fitted; every text is scored whole
 _EDGE = np.ones(256, dtype=bool)  # bytes stripped from both ends of a word
 _EDGE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 
@@ -97,10 +97,9 @@ def derive_labels(hashed: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> n
     share = max(toxic.mean(), 1e-9)
     out = np.zeros(len(hashed), dtype=bool)
     for column in hashed.T[:4]:
-        seen = np.unique(np.stack([column, owner.astype(np.uint64)], axis=1), axis=0)
-        form, index = np.unique(seen[:, 0], return_inverse=True)
-        index = index.ravel()
-        bad = np.bincount(index, weights=toxic[seen[:, 1].astype(np.int64)], minlength=len(form))
+        _, once = np.unique(words.mix(column + words.mix(owner.astype(np.uint64))), return_index=True)  # a text counts once
+        form, index = np.unique(column[once], return_inverse=True)
+        bad = np.bincount(index, weights=toxic[owner[once]], minlength=len(form))
         all_ = np.bincount(index, minlength=len(form))
         rate = bad / all_
         marked = form[(rate >= 0.9) & (bad * np.log(np.maximum(rate, 1e-9) / share) >= 10)]

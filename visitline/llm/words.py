@@ -122,17 +122,17 @@ def shingle_hashes(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.n
     full = len(hashes) - k + 1
     rolled = np.zeros(max(full, 0), dtype=np.uint64)
     for j in range(k):
-        rolled = mix(rolled + _STEP * np.uint64(j + 1)) + hashes[j : j + len(rolled)] if len(rolled) else rolled
+        rolled = mix(rolled + np.uint64(((j + 1) * int(_STEP)) & (2**64 - 1))) + hashes[j : j + len(rolled)] if len(rolled) else rolled
     rolled = mix(rolled)
     starts = np.repeat(bounds[:-1] - out_bounds[:-1], n) + np.arange(out_bounds[-1])
     out = np.zeros(len(starts), dtype=np.uint64)
     short = np.repeat(counts < k, n)
     out[~short] = rolled[starts[~short]]
     for i in np.flatnonzero((counts > 0) & (counts < k)):
-        h = np.uint64(counts[i])
-        for x in hashes[bounds[i] : bounds[i + 1]]:
-            h = mix(np.array([h * _STEP + x], dtype=np.uint64))[0]
-        out[out_bounds[i]] = h
+        h = counts[i : i + 1].astype(np.uint64)
+        for j in range(bounds[i], bounds[i + 1]):
+            h = mix(h * _STEP + hashes[j : j + 1])
+        out[out_bounds[i]] = h[0]
     return out, out_bounds
 
 
