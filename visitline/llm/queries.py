@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from visitline.llm import decontaminate, exact, html, jaccard, langid, mixing, ppm, secrets, toxicity
+from visitline.llm import chains, decontaminate, exact, html, jaccard, langid, mixing, ppm, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -137,3 +137,8 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secret_scan")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir))
+
+
+@query("op9_repeated_passages")
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.repeated_passages(documents(spark, sf_dir))
