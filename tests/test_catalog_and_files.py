@@ -98,13 +98,14 @@ def test_shift_measures(spark):
     assert got["psi"] == pytest.approx(float(np.sum((share(b) - share(a)) * np.log(share(b) / share(a)))))
 
 
-def test_unseen_levels_refuse_huge_cells(spark):
+def test_unseen_levels_have_no_limit(spark):
     train = spark.createDataFrame([("a",)], "s string")
     scoring = spark.createDataFrame([("c",), ("b",), ("a",), (None,)], "s string")
-    assert rows(D.unseen_levels(train, scoring, ["s"])) == [("s", "b|c")]
-    assert D.unseen_level_rows(train, scoring, ["s"]).count() == 2
-    with pytest.raises(Exception, match="unseen_level_rows"):
-        D.unseen_levels(train, scoring, ["s"], max_levels=1).collect()
+    assert rows(D.unseen_levels(train, scoring, ["s"])) == [("s", 2)]
+    assert rows(D.unseen_level_rows(train, scoring, ["s"])) == [("s", "b"), ("s", "c")]
+    many = spark.range(120_000).select(F.col("id").cast("string").alias("s"))
+    got = {r["feature"]: r["unseen_levels"] for r in D.schema_compatibility(train, many, ["s"]).collect()}
+    assert got == {"s": 120_000}
 
 
 def test_outcome_matching(spark):

@@ -290,15 +290,40 @@ def test_folds_are_balanced_and_grouped(spark):
     assert len(loads) == 5 and max(loads) < 1.15 * min(loads)
 
 
-def test_fingerprint_small_and_bucketed(spark):
+def test_fingerprint_ignores_order_and_repeats(spark):
     import hashlib
 
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     df = spark.createDataFrame([(i,) for i in [10, 9, 2, 2]], "RID int")
-    want = hashlib.sha256("\n".join(sorted(["10", "9", "2"])).encode()).hexdigest()
-    assert T.subject_fingerprint(df, "RID").first()["sha256"] == want
-    many = spark.range(100).withColumnRenamed("id", "RID")
-    a, b = (T.subject_fingerprint(x, "RID", max_ids=10).first() for x in (many, many.orderBy(F.desc("RID"))))
-    assert a == b and a["subjects"] == 100
+    buckets = sorted(sha(i) for i in ("10", "9", "2"))  # no two in one bucket
+    assert T.subject_fingerprint(df, "RID").first()["sha256"] == sha("\n".join(buckets))
+    many = spark.range(3000).withColumnRenamed("id", "RID")
+    a, b = (T.subject_fingerprint(x, "RID").first() for x in (many, many.orderBy(F.desc("RID"))))
+    assert a == b and a["subjects"] == 3000
+
+
+def test_temporal_split_orders_instants_within_a_minute(spark):
+    rows_ = [(f"SUBJ-{99 - i:06d}", f"2020-01-01 00:00:{2 * i:02d}") for i in range(20)]
+    df = spark.createDataFrame(rows_, "RID string, d string").withColumn("d", F.col("d").cast("timestamp"))
+    got = {r["subject"]: r["split"] for r in T.temporal_split(df, "RID", "d").collect()}
+    in_order = [got[s] for s, _ in rows_]
+    assert in_order == ["train"] * 14 + ["validation"] * 3 + ["temporal_test"] * 3
+    same = spark.createDataFrame([(f"SUBJ-{i:06d}",) for i in range(40)], "RID string").withColumn("d", F.lit("2020-01-01").cast("date"))
+    got = {r["subject"]: r["split"] for r in T.temporal_split(same, "RID", "d").collect()}
+    assert [got[f"SUBJ-{i:06d}"] for i in range(40)] == ["train"] * 28 + ["validation"] * 6 + ["temporal_test"] * 6
+
+
+def test_subjects_without_label_are_a_stratum(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(1000)], "RID int, label int")
+    sizes = {(r["label"], r["split"]): r["count"] for r in T.stratified_split(df, "RID", "label", seed=3).groupBy("label", "split").count().collect()}
+    assert {k: v for k, v in sizes.items() if k[1] == "test"} == {(None, "test"): 40, (0, "test"): 80, (1, "test"): 80}
+    assert {k: v for k, v in sizes.items() if k[1] == "val"} == {(None, "val"): 20, (0, "val"): 40, (1, "val"): 40}
+
+
+def test_pairs_of_a_band_from_zero(spark):
+    df = spark.createDataFrame([(1, "2020-01-01", "CN", 1), (1, "2020-01-01", "MCI", 2), (1, "2020-03-01", "AD", 3)], "RID int, d string, DX string, v int")
+    got = J.transition_pairs(df, [], "RID", "d", "DX", "v", min_months=0).select("source_row", "future_row", F.round("subject_weight", 6).alias("w"))
+    assert rows(got) == [(1, 2, 0.333333), (1, 3, 0.333333), (2, 3, 0.333333)]
 
 
 def test_custom_scheme_round_trip(spark):

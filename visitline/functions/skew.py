@@ -1,8 +1,8 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-A key is hot when it owns more than ``min_rows`` rows and more than ``1 / MAX_HOT`` of all rows. By
-counting there can be fewer than ``MAX_HOT`` such keys, which is the proven bound behind fetching
-and broadcasting that list. When no key is hot the join is a plain one.
+A key is hot when it owns more than ``min_rows`` rows, whatever its share of the table. Up to
+``MAX_HOT`` such keys are fetched and broadcast; a longer list stays a distributed frame. When no key
+is hot the join is a plain one.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ MIN_HOT_ROWS = 500_000
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], rows: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame | None:
     """Keys of a per-key count table that need splitting, with ``_splits`` parts each, or None."""
-    candidates = counts.where(F.col(rows) > min_rows)
-    share = candidates.where(F.col(rows) * F.lit(MAX_HOT) > counts.agg(F.sum(rows)).scalar())
-    parts = share.select(*keys, F.ceil(F.col(rows) / F.lit(min_rows)).cast("bigint").alias("_splits"))
-    found = parts.collect()  # fewer than MAX_HOT rows
+    parts = counts.where(F.col(rows) > min_rows).select(*keys, F.ceil(F.col(rows) / F.lit(min_rows)).cast("bigint").alias("_splits"))
+    found = parts.limit(MAX_HOT + 1).collect()
     if not found:
         return None
+    if len(found) > MAX_HOT:
+        return parts
     return F.broadcast(counts.sparkSession.createDataFrame(found, parts.schema))
 
 

@@ -37,19 +37,13 @@ def unseen_level_rows(train: DataFrame, scoring: DataFrame, columns: Sequence[st
     return _long(scoring, columns, "string").distinct().join(known, ["feature", "v"], "left_anti")
 
 
-def unseen_levels(
-    train: DataFrame, scoring: DataFrame, columns: Sequence[str], max_levels: int = 100_000
-) -> DataFrame:
-    """Sorted unseen levels, ``|``-joined into one text per categorical column.
+def unseen_levels(train: DataFrame, scoring: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Number of unseen levels per categorical column that has any.
 
-    A column with more than ``max_levels`` of them stops the job rather than filling one task;
-    :func:`unseen_level_rows` gives such columns row by row.
+    The levels themselves are rows of :func:`unseen_level_rows`: a column may have as many as the scoring
+    table has rows, which no single cell should hold.
     """
-    new = unseen_level_rows(train, scoring, columns)
-    sizes = new.groupBy("feature").agg(F.count("*").alias("_n"))
-    fits = F.assert_true(F.col("_n") <= max_levels, F.lit("Too many unseen levels for one cell; use unseen_level_rows"))
-    checked = new.join(F.broadcast(sizes), "feature").where(fits.isNull())
-    return checked.groupBy("feature").agg(F.array_join(F.array_sort(F.collect_list("v")), "|").alias("unseen_levels"))
+    return unseen_level_rows(train, scoring, columns).groupBy("feature").agg(F.count("*").alias("unseen_levels"))
 
 
 def schema_compatibility(train: DataFrame, scoring: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -68,7 +62,7 @@ def schema_compatibility(train: DataFrame, scoring: DataFrame, features: Sequenc
     if both:
         out = out.join(unseen_levels(train, scoring, both), "feature", "left")
     else:
-        out = out.withColumn("unseen_levels", F.lit(""))
+        out = out.withColumn("unseen_levels", F.lit(0).cast("bigint"))
     one = F.lit(1.0)
     return out.select(
         "feature",
@@ -78,7 +72,7 @@ def schema_compatibility(train: DataFrame, scoring: DataFrame, features: Sequenc
         F.coalesce("scoring_missing_rate", one).alias("scoring_missing_rate"),
         (F.coalesce("scoring_missing_rate", one) - F.coalesce("train_missing_rate", one)).alias("missing_rate_shift"),
         F.coalesce(F.col("train_kind") == F.col("scoring_kind"), F.lit(False)).alias("dtype_compatible"),
-        F.coalesce("unseen_levels", F.lit("")).alias("unseen_levels"),
+        F.coalesce("unseen_levels", F.lit(0)).cast("bigint").alias("unseen_levels"),
     )
 
 

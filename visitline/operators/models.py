@@ -7,6 +7,7 @@ Python state.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from math import ceil, log2
@@ -176,7 +177,7 @@ def class_weight(rows: Sequence[Row], label: str, weight: str | None, balanced:
 def _estimator(name: str, params: Mapping, width: int, n_classes: int, total_weight: float, seed: int):
     if name == "logistic_regression":
         return LogisticRegression(
-            labelCol="_label", weightCol="_weight", maxIter=params.get("max_iter", 100), standardization=False,
+            labelCol="_label", weightCol="_weight", maxIter=params.get("max_iter", 2000), standardization=False,
             regParam=1.0 / (params.get("C", 1.0) * total_weight), family="binomial" if n_classes == 2 else "multinomial",
         )
     if name == "random_forest":
@@ -201,6 +202,10 @@ def _estimator(name: str, params: Mapping, width: int, n_classes: int, total_wei
     raise ValueError(f"Unsupported model: {name}")
 
 
+# Settings of other libraries' models that Spark's have no counterpart for.
+UNSUPPORTED = {"hist_gradient_boosting": ("l2_regularization", "early_stopping", "validation_fraction")}
+
+
 def fit_model(
     train: DataFrame,
     features: Sequence[str],
@@ -216,12 +221,20 @@ def fit_model(
 ) -> PipelineModel:
     """Preparation and classifier fitted on ``train``; boosting and the MLP are not class-balanced.
 
+    Forests with ``balanced_subsample`` are balanced over the whole table, not per tree. Settings without
+    a counterpart, and weights of a model that takes none, raise a warning.
+
     ``preparation`` and ``class_rows`` (see :func:`class_totals`) may be shared by several fits on
     the same rows.
     """
     params = dict(params or {})
+    for key in UNSUPPORTED.get(name, ()):
+        if params.get(key):
+            warnings.warn(f"{name}: {key} has no counterpart here and is ignored", stacklevel=2)
+    if name == "mlp_sklearn" and weight is not None:
+        warnings.warn("mlp_sklearn has no sample weights: the weight column is ignored", stacklevel=2)
     prep = preparation or fit_preparation(train, features, indicators)
-    balanced = name in BALANCED and params.get("class_weight", "balanced") == "balanced"
+    balanced = name in BALANCED and params.get("class_weight", "balanced") in ("balanced", "balanced_subsample")
     w, total = class_weight(class_rows or class_totals(train, label, weight), label, weight, balanced)
     ready = train.select(*features, F.col(label).cast("double").alias("_label"), w.alias("_weight"))
     stages = prep.stages()

@@ -188,11 +188,17 @@ def transition_pairs(
     """Pairs with both states known, their transition and a weight that sums to 1 per subject.
 
     The weight is joined to the visits before they are paired, so the pair table itself is never
-    shuffled again.
+    shuffled again. Bands that start at 0 also pair visits of one instant, in row order; their pairs are
+    counted by building them once.
     """
     visits = _prepared(df, subject, date, label, row_id, scheme, [*features, *carry])
-    counts = pair_counts_per_visit(df, subject, date, label, row_id, min_months, max_months, scheme)
-    per_subject = pairs_per_subject(counts, scheme).where(F.col("pairs") > 0)
+    if day_band(min_months, max_months)[0] > 0:
+        counts = pair_counts_per_visit(df, subject, date, label, row_id, min_months, max_months, scheme)
+        per_subject = pairs_per_subject(counts, scheme).where(F.col("pairs") > 0)
+    else:
+        bare = visits.drop(*features, *carry)
+        built = _band_join(bare, bare, bare, df, date, [], [], min_months, max_months, scheme, hot_rows)
+        per_subject = built.groupBy("subject").agg(F.count("*").alias("pairs"))
     weights = per_subject.select("subject", (F.lit(1.0) / F.col("pairs")).alias("subject_weight"))
     sources = salted_join(
         visits, weights, ["subject"], "inner", F.col("row_id"),
@@ -309,15 +315,19 @@ def pair_statistics(counts: DataFrame, scheme: StateScheme = DEFAULT_SCHEME) ->
     )
     totals = [F.sum(F.col("pairs") * F.col("subjects")).cast("bigint").alias("total_pairs")]
     totals += [F.sum(f"to_{s}").cast("bigint").alias(f"future_{s}") for s in scheme.states]
-    one = F.lit(1.0)  # the pairs of a subject all weigh 1 / pairs
+    per_subject_sum = F.col("pairs") * (F.lit(1.0) / F.col("pairs"))  # as many pairs, each of the weight attached to them
+    totals += [
+        F.sum(per_subject_sum * F.col("subjects")).alias("weights"),
+        F.min(per_subject_sum).alias("lowest_sum"), F.max(per_subject_sum).alias("highest_sum"),
+    ]
     return weighted_describe(sizes, F.col("pairs"), F.col("subjects"), totals).select(
         F.col("count").cast("bigint").alias("subjects"),
         "total_pairs",
         F.col("p50").alias("median_pairs_per_subject"),
         F.col("max").cast("bigint").alias("maximum_pairs_per_subject"),
-        F.col("count").cast("double").alias("effective_weighted_sample_size"),
-        one.alias("per_subject_weight_sum_min"),
-        one.alias("per_subject_weight_sum_max"),
+        F.col("weights").alias("effective_weighted_sample_size"),
+        F.col("lowest_sum").alias("per_subject_weight_sum_min"),
+        F.col("highest_sum").alias("per_subject_weight_sum_max"),
         *[f"future_{s}" for s in scheme.states],
     )
 

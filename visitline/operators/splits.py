@@ -15,6 +15,9 @@ from visitline.functions.ordered import hash_bucket, running_sums
 from visitline.operators.selection import first_per_key  # noqa: F401  (re-exported for callers)
 
 
+ID_CHARACTERS = 3  # of an id, past the shared ones, that part the subjects of one instant
+
+
 def subject_hash(subject: Column, seed: int) -> Column:
     return F.xxhash64(subject.cast("string"), F.lit(int(seed)))
 
@@ -34,7 +37,8 @@ def temporal_split(
     """Subjects by first date: earliest ``int(n*train)``, next ``int(n*validation)``, rest.
 
     Ties are ordered by id as text. Subjects are counted per calendar day (a short table) to find
-    the day of each cut; only subjects of those days are ranked, by id prefix.
+    the day of each cut; only subjects of those days are ranked. Their buckets are the instant and the
+    first characters in which the day's ids differ, which is monotone in (instant, id).
     """
     first = (
         df.where(F.col(subject).isNotNull())
@@ -59,8 +63,17 @@ def temporal_split(
         "_cut", cut_here("_train_end") | cut_here("_validation_end")
     )
     whole = placed.where(~F.col("_cut")).withColumn("_rank", F.col("_before"))
-    split_days = placed.where(F.col("_cut")).withColumns(
-        {"_bucket": F.concat_ws("|", F.date_format("index_date", "HH:mm"), F.substring("_id", 1, 3)), "_one": F.lit(1).cast("bigint")}
+    in_cut_day = placed.where(F.col("_cut"))
+    # How many characters all ids of a day share: one row per cut day.
+    ends = in_cut_day.groupBy("_day").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
+    shared = F.expr(
+        "size(filter(sequence(1, greatest(1, least(length(_lo), length(_hi)))), i -> left(_lo, i) = left(_hi, i)))"
+    )
+    split_days = in_cut_day.join(F.broadcast(ends.select("_day", shared.alias("_shared"))), "_day").withColumns(
+        {
+            "_bucket": F.struct("index_date", F.left("_id", F.col("_shared") + ID_CHARACTERS).alias("id")),
+            "_one": F.lit(1).cast("bigint"),
+        }
     )
     ranked = running_sums(split_days, ["index_date", "_id"], ["_one"], ["_day"]).withColumn(
         "_rank", F.col("_before") + F.col("_one_before")
@@ -105,14 +118,14 @@ def random_split(
     )
 
 
-def allocate_strata(counts: Mapping, take: int) -> dict:
+def allocate_strata(counts: Mapping, take: int) -> dict | None:
     """Per-stratum share of ``take`` rows: proportional floors, then largest remainders.
 
-    Falls back to ``{None: take}`` (no stratification) when a stratum is too small to be split.
+    None (no stratification) when a stratum is too small to be split.
     """
     n = sum(counts.values())
     if min(counts.values()) < 2 or take < len(counts) or n - take < len(counts):
-        return {None: take}
+        return None
     exact = {k: take * c / n for k, c in counts.items()}
     shares = {k: math.floor(x) for k, x in exact.items()}
     for k in sorted(counts, key=lambda k: (-(exact[k] - shares[k]), str(k)))[: take - sum(shares.values())]:
@@ -125,27 +138,25 @@ def stratified_split(
 ) -> DataFrame:
     """Subject split stratified on the subject's most frequent label.
 
-    Only the per-label subject counts reach the driver. Inside a label, subjects are ranked in
+    Subjects without any label are a stratum of their own. Only the per-label subject counts reach the driver. Inside a label, subjects are ranked in
     seeded hash order; sizes are exact and the same for every seed.
     """
-    subjects = subject_labels(df, subject, label)
+    # A struct around the label joins where the label itself is null.
+    subjects = subject_labels(df, subject, label).withColumn("_stratum", F.struct("label"))
     counts = {r["label"]: r["n"] for r in subjects.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n = sum(counts.values())
     n_test = math.ceil(n * test_size)
     test = allocate_strata(counts, n_test)
     n_val = math.ceil((n - n_test) * (val_size / (1.0 - test_size)))
-    if None in test:
-        cut_test, rest = None, None
-    else:
-        cut_test = test
-        rest = {k: counts[k] - test[k] for k in counts}
-    val = allocate_strata(rest, n_val) if rest and min(rest.values()) > 0 else {None: n_val}
-    if cut_test is None or None in val:
+    cut_test = test
+    rest = {k: counts[k] - test[k] for k in counts} if test is not None else None
+    val = allocate_strata(rest, n_val) if rest and min(rest.values()) > 0 else None
+    if cut_test is None or val is None:
         ranked = hash_ranked(subjects, seed)
         test_end, val_end = F.lit(n_test), F.lit(n_test + n_val)
         if cut_test is not None:
             # Stratified test, plain validation: order test subjects first, then the rest.
-            ranked = hash_ranked(subjects, seed, ["label"])
+            ranked = hash_ranked(subjects, seed, ["_stratum"])
             in_test = F.col("position") < _by_label(cut_test)
             chosen = ranked.select("subject", "label", in_test.alias("in_test"))
             remainder = hash_ranked(chosen.where(~F.col("in_test")).select("subject", "label"), seed + 1)
@@ -155,7 +166,7 @@ def stratified_split(
                 )
             )
     else:
-        ranked = hash_ranked(subjects, seed, ["label"])
+        ranked = hash_ranked(subjects, seed, ["_stratum"])
         test_end = _by_label(test)
         val_end = _by_label({k: test[k] + val[k] for k in counts})
     return ranked.select(
@@ -172,7 +183,7 @@ def _by_label(values: Mapping) -> Column:
     """Lookup of a per-label number for the handful of labels of a task."""
     picked = F.lit(None).cast("bigint")
     for key, value in values.items():
-        picked = F.when(F.col("label") == F.lit(key), F.lit(value)).otherwise(picked)
+        picked = F.when(F.col("label").eqNullSafe(F.lit(key)), F.lit(value)).otherwise(picked)
     return picked
 
 
@@ -212,26 +223,19 @@ def cut_dates(assignment: DataFrame) -> DataFrame:
     )
 
 
-def subject_fingerprint(df: DataFrame, subject: str, max_ids: int = 1_000_000) -> DataFrame:
-    """sha256 of the newline-joined sorted distinct ids.
+def subject_fingerprint(df: DataFrame, subject: str) -> DataFrame:
+    """Digest of the distinct ids, independent of their order and the same function at every size.
 
-    Sets larger than ``max_ids`` are fingerprinted as the sha256 of their sorted bucket digests, so
-    that no task ever holds more than about ``max_ids`` ids.
+    Ids are bucketed by the first four hex digits of their own sha256. A bucket's digest is the sha256
+    of its newline-joined sorted ids, the result that of the newline-joined sorted bucket digests: at
+    most 65,536 of them meet in the last step, and a bucket holds a 65,536th of the ids.
     """
     ids = df.select(F.col(subject).cast("string").alias("id")).where(F.col("id").isNotNull()).distinct()
-    n = ids.agg(F.count("*")).scalar()
-    buckets = F.greatest(F.ceil(n / F.lit(max_ids)), F.lit(1)).cast("bigint")
     digest = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), "\n"), 256)
-    per_bucket = (
-        ids.groupBy(F.pmod(F.xxhash64("id"), buckets).alias("bucket")).agg(
-            digest("id").alias("sha256"), F.count("*").alias("n")
-        )
-    )
-    combined = digest("sha256")
-    return per_bucket.agg(
-        F.when(F.count("*") == 1, F.min("sha256")).otherwise(combined).alias("sha256"),
-        F.sum("n").cast("bigint").alias("subjects"),
+    per_bucket = ids.groupBy(F.left(F.sha2("id", 256), F.lit(4)).alias("bucket")).agg(
+        digest("id").alias("sha256"), F.count("*").alias("n")
     )
+    return per_bucket.agg(digest("sha256").alias("sha256"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("subjects"))
 
 
 def split_distribution(df: DataFrame, subject: str, split: str = "split", *levels: str) -> DataFrame:

@@ -42,11 +42,11 @@ def column_profile_with_missing(spark, sf):
     "top_missing_rates",
     f"WITH {VISITS_SQL}, m AS (" + " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, 1 - count({c}) / CAST(count(*) AS DOUBLE) AS missing_rate FROM visits" for c in _VISIT_COLS
-    ) + ") SELECT column_name, round(missing_rate, 4) AS missing_rate FROM m ORDER BY missing_rate DESC, column_name LIMIT 5",
+    ) + ") SELECT column_name, round(missing_rate, 4) AS missing_rate FROM m ORDER BY missing_rate DESC, column_name LIMIT 10",
 )
 def top_missing_rates(spark, sf):
     rates = C.missing_rates(visits(spark, sf))
-    return rounded(rates.orderBy(F.desc("missing_rate"), "column_name").limit(5), 4)
+    return rounded(rates.orderBy(F.desc("missing_rate"), "column_name").limit(10), 4)
 
 
 @query(

@@ -46,8 +46,8 @@ def _scoring_variant(spark, sf):
 def _compat_row(c: str, kind: str) -> str:
     if kind == "both":
         unseen = (
-            "coalesce((SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT priority AS v FROM sc WHERE priority IS NOT NULL AND priority NOT IN (SELECT DISTINCT priority FROM train WHERE priority IS NOT NULL))), '')"
-            if c == "priority" else "''"
+            "(SELECT count(*) FROM (SELECT DISTINCT priority AS v FROM sc WHERE priority IS NOT NULL AND priority NOT IN (SELECT DISTINCT priority FROM train WHERE priority IS NOT NULL)))"
+            if c == "priority" else "CAST(0 AS BIGINT)"
         )
         return (
             f"SELECT '{c}' AS feature, true AS train_present, true AS scoring_present, round(1 - a.n / a.t, 6) AS train_missing_rate, round(1 - b.n / b.t, 6) AS scoring_missing_rate,"
@@ -60,9 +60,9 @@ def _compat_row(c: str, kind: str) -> str:
 _COMPAT_SQL = " UNION ALL ".join(
     [
         _compat_row("spend", "both"), _compat_row("balance", "both"), _compat_row("priority", "both"),
-        "SELECT 'visit_code', true, false, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE), false, ''",
-        "SELECT 'segment', true, true, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), false, (SELECT string_agg(CAST(row_id AS VARCHAR), '|' ORDER BY CAST(row_id AS VARCHAR)) FROM scoring)",
-        "SELECT 'no_such', false, false, CAST(1 AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), false, ''",
+        "SELECT 'visit_code', true, false, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE), false, CAST(0 AS BIGINT)",
+        "SELECT 'segment', true, true, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), false, (SELECT count(*) FROM scoring)",
+        "SELECT 'no_such', false, false, CAST(1 AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), false, CAST(0 AS BIGINT)",
     ]
 )
 _FROZEN = ["spend", "balance", "priority", "visit_code", "segment", "no_such"]
@@ -75,11 +75,11 @@ def schema_compatibility(spark, sf):
 
 @query(
     "unseen_levels",
-    f"""WITH {_SCORE_SQL} SELECT 'priority' AS feature, string_agg(v, '|' ORDER BY v) AS unseen_levels FROM
+    f"""WITH {_SCORE_SQL} SELECT 'priority' AS feature, v FROM
     (SELECT DISTINCT priority AS v FROM sc WHERE priority IS NOT NULL EXCEPT SELECT DISTINCT priority FROM train)""",
 )
 def unseen_levels(spark, sf):
-    return D.unseen_levels(_train(spark, sf), _scoring_variant(spark, sf), ["priority"])
+    return D.unseen_level_rows(_train(spark, sf), _scoring_variant(spark, sf), ["priority"])
 
 
 @query(

@@ -259,8 +259,8 @@ def abstention(spark, sf):
 
 _BINS_SQL = """CASE WHEN m > 0 AND m <= 12 THEN '0-12 months' WHEN m > 12 AND m <= 24 THEN '12-24 months'
    WHEN m > 24 AND m <= 36 THEN '24-36 months' WHEN m > 36 THEN '>36 months' END"""
-_SCOPE_SQL = f"""{PRED_SQL}, dated AS (SELECT *, date_diff('day', DATE '1997-06-01', visit_date) / 30.4375 AS m,
-   row_number() OVER (PARTITION BY subject ORDER BY visit_date, row_id) AS rn FROM pred WHERE visit_date > DATE '1998-01-01' AND visit_date < DATE '2000-06-01'),
+_SCOPE_SQL = f"""{PRED_SQL}, dated AS (SELECT *, date_diff('day', DATE '1996-01-01', visit_date) / 30.4375 AS m,
+   row_number() OVER (PARTITION BY subject ORDER BY visit_date, row_id) AS rn FROM pred),
  scoped AS (SELECT *, 'row_level' AS scope, 'overall' AS horizon FROM dated UNION ALL SELECT *, 'first_follow_up', 'overall' FROM dated WHERE rn = 1
    UNION ALL SELECT *, 'horizon', {_BINS_SQL} FROM dated),
  listed AS (SELECT * FROM (VALUES ('row_level', 'overall'), ('first_follow_up', 'overall'), ('horizon', '0-12 months'), ('horizon', '12-24 months'),
@@ -278,23 +278,13 @@ _SCOPE_SQL = f"""{PRED_SQL}, dated AS (SELECT *, date_diff('day', DATE '1997-06-
 )
 def scoped_evaluation(spark, sf):
     day = lambda d: F.lit(d).cast("date")
-    rows = predictions(spark, sf).where(
-        (F.col("visit_date") > day("1998-01-01")) & (F.col("visit_date") < day("2000-06-01"))
-    ).withColumn("forecast_months", F.datediff("visit_date", day("1997-06-01")) / F.lit(30.4375))
+    rows = predictions(spark, sf).withColumn("forecast_months", F.datediff("visit_date", day("1996-01-01")) / F.lit(30.4375))
     return rounded(_json_matrix(V.scoped_evaluation(rows, "y", "prob", "subject", "visit_date", "row_id")))
 
 
 @query("bootstrap_intervals")
 def bootstrap_intervals(spark, sf):
-    return B.subject_bootstrap_ci(binary_as_three(spark, sf), "subject", "y", _prob(), repetitions=100)
-
-
-def binary_as_three(spark, sf):
-    """First follow-up prediction of every subject."""
-    from visitline.operators.selection import first_follow_up
-
-    later = predictions(spark, sf).where(F.col("split") == "temporal_test")
-    return first_follow_up(later, "subject", "visit_date", "row_id")
+    return B.subject_bootstrap_ci(predictions(spark, sf), "subject", "y", _prob(), repetitions=100)
 
 
 @query(
@@ -531,13 +521,15 @@ def completed_run_summary(spark, sf):
     return rounded(V.summarize_completed_runs(runs, ["model"], ["macro_f1", "pr_auc"]))
 
 
-_MASK_SQL = f"""{_RUNS_SQL}, mr AS (SELECT ablation AS masked_group, seed, macro_f1, log_loss FROM runs WHERE model = 'BUILDING'),
+_MASK_SQL = f"""{_RUNS_SQL}, mr AS (SELECT ablation AS masked_group, 10 * seed + (CASE model WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3 WHEN 'HOUSEHOLD' THEN 4 ELSE 5 END) AS seed, macro_f1, log_loss FROM runs),
  base AS (SELECT seed, macro_f1 AS b FROM mr WHERE masked_group = 'none')"""
 
 
 def _mask_runs(spark, sf):
-    runs = _runs(spark, sf).where(F.col("model") == "BUILDING")
-    return runs.select(F.col("ablation").alias("masked_group"), "seed", "macro_f1", "log_loss")
+    place = F.lit(5)
+    for i, name in enumerate(("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"), 1):
+        place = F.when(F.col("model") == name, F.lit(i)).otherwise(place)
+    return _runs(spark, sf).select(F.col("ablation").alias("masked_group"), (F.lit(10) * F.col("seed") + place).alias("seed"), "macro_f1", "log_loss")
 
 
 @query(
@@ -589,14 +581,16 @@ def metric_unpivot(spark, sf):
     return _runs(spark, sf).unpivot(["model", "ablation", "seed"], ["macro_f1", "log_loss"], "metric", "value")
 
 
+_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
 @query(
     "metric_pivot",
-    f"""WITH {_RUNS_SQL} SELECT seed, round(max(macro_f1) FILTER (WHERE model = 'BUILDING'), 6) AS "BUILDING", round(max(macro_f1) FILTER (WHERE model = 'MACHINERY'), 6) AS "MACHINERY"
-    FROM runs WHERE ablation = '5-LOW' GROUP BY 1""",
+    f"""WITH {_RUNS_SQL} SELECT seed, ablation, {', '.join(f"""round(max(macro_f1) FILTER (WHERE model = '{m}'), 6) AS "{m}" """ for m in _SEGMENTS)}
+    FROM runs GROUP BY 1, 2""",
 )
 def metric_pivot(spark, sf):
-    runs = _runs(spark, sf).where(F.col("ablation") == "5-LOW")
-    return rounded(runs.groupBy("seed").pivot("model", ["BUILDING", "MACHINERY"]).agg(F.max("macro_f1")))
+    return rounded(_runs(spark, sf).groupBy("seed", "ablation").pivot("model", list(_SEGMENTS)).agg(F.max("macro_f1")))
 
 
 @query(

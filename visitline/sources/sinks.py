@@ -61,6 +61,8 @@ def changed_files(registry: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def assert_unchanged(registry: DataFrame, current: DataFrame) -> None:
-    bad = changed_files(registry, current).select("path").limit(20).collect()
-    if bad:
-        raise RuntimeError("Frozen files changed: " + ", ".join(r["path"] for r in bad))
+    changed = changed_files(registry, current)
+    n = changed.count()
+    if n:
+        first = changed.orderBy("path").select("path").limit(20).collect()
+        raise RuntimeError(f"{n} frozen files changed, the first: " + ", ".join(r["path"] for r in first))
