@@ -175,13 +175,19 @@ def folder(tmp_path_factory):
     (root / "latin.csv").write_bytes("RID,nåme\n1,é\n2,\n".encode("latin-1"))
     (root / "quoted.csv").write_text('RID,text\n1,"a\nb"\n2,c\n')
     (root / "not_a_table.txt").write_text("x")
+    cell = "\n".join(f"line {i}" for i in range(40))
+    (root / "long.csv").write_text("RID,VISCODE,DX,note\n" + "".join(f'{i},bl,CN,"{cell}"\n' for i in range(60)))
+    (root / "wide.csv").write_text("a,b\n1,2\n1,2,3\n")
     return root
 
 
 def test_inventory(spark, folder):
     inventory = V.scan_folder(spark, str(folder)).collect()
     by = {r["file"].split("raw")[-1].split("/", 1)[1]: r for r in inventory}
-    assert set(by) == {*CSV_FILES, "empty.csv", "latin.csv", "quoted.csv"}
+    assert set(by) == {*CSV_FILES, "empty.csv", "latin.csv", "quoted.csv", "long.csv", "wide.csv"}
+    long = by["long.csv"]
+    assert (long["read_status"], long["rows"], long["primary_category"]) == ("ok", 60, "diagnosis")
+    assert (by["wide.csv"]["read_status"], by["wide.csv"]["read_error"]) == ("failed", "ParserError")
     assert {n: by[n]["primary_category"] for n in CSV_FILES} == {n: c for n, (_, c) in CSV_FILES.items()}
     assert by["empty.csv"]["read_status"] == "failed" and by["empty.csv"]["rows"] is None
     assert by["latin.csv"]["column_names"] == ["RID", "nåme"] and by["latin.csv"]["read_status"] == "ok"

@@ -321,7 +321,7 @@ def test_subjects_without_label_are_a_stratum(spark):
 
 
 def test_pairs_of_a_band_from_zero(spark):
-    df = spark.createDataFrame([(1, "2020-01-01", "CN", 1), (1, "2020-01-01", "MCI", 2), (1, "2020-03-01", "AD", 3)], "RID int, d string, DX string, v int")
+    df = spark.createDataFrame([(1, "2020-01-01", "CN", 1), (1, "2020-01-01", "MCI", 2), (1, "2020-03-01", "AD", 3)], "RID int, d string, DX string, v int").withColumn("d", F.col("d").cast("date"))
     got = J.transition_pairs(df, [], "RID", "d", "DX", "v", min_months=0).select("source_row", "future_row", F.round("subject_weight", 6).alias("w"))
     assert rows(got) == [(1, 2, 0.333333), (1, 3, 0.333333), (2, 3, 0.333333)]
 

@@ -16,14 +16,15 @@ DICTIONARY_FIELDS = ("FLDNAME", "TBLNAME", "TEXT", "TYPE", "UNITS")
 
 
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True, infer_types: bool = False
 ) -> DataFrame:
     """CSV with header; whitespace around column names is removed.
 
     ``multi_line`` respects line breaks inside quotes, which makes a file the unit of work. Set it
-    to False for large files without such breaks: Spark then splits them.
+    to False for large files without such breaks: Spark then splits them. ``infer_types`` reads the data
+    once more to find numeric and time columns; all columns are text otherwise, or as in ``schema``.
     """
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("inferSchema", infer_types)
     if schema is not None:
         reader = reader.schema(schema)
     try:
@@ -86,10 +87,14 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return clean_dictionary(read_csv(spark, path))
 
 
-def csv_record_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Records per CSV file without the header; line breaks inside quotes do not count."""
+def csv_record_counts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Records per CSV file without the header; line breaks inside quotes do not count.
+
+    ``multi_line=False`` is for files without such breaks: large ones are then split over tasks. A file
+    that can't be read has no row.
+    """
     files = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        spark.read.option("header", True).option("multiLine", multi_line).option("ignoreCorruptFiles", True).option("escape", '"')
         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]")
         .schema("first string")
         .csv(path)
