@@ -9,6 +9,7 @@ import datetime
 import decimal
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -71,6 +72,7 @@ def main() -> None:
     spark = build_session(
         master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
         spark__driver__memory="12g", spark__ui__showConsoleProgress="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="visitline-shared-"),
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
