@@ -62,7 +62,7 @@ class Table:
     """Open-addressing map of uint64 keys to positions, looked up for whole arrays."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(len(keys) * 4).bit_length())
+        self.bits = max(4, int(len(keys) * 2).bit_length())
         self.slots = np.full(1 << self.bits, np.iinfo(np.uint64).max, dtype=np.uint64)
         self.where = np.zeros(1 << self.bits, dtype=np.int32)
         left, slot = np.arange(len(keys)), self._slot(keys)
@@ -217,7 +217,7 @@ def score_texts(docs: DataFrame, training: Column, *, order: int = ORDER, share:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in words.pieces(batch, limit=4 * words.PIECE_BYTES):
+            for piece in words.pieces(batch):
                 found = words.find_words(piece.column("text"))
                 _, first, counts = np.unique(found.hashes(), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"word": pa.array(found.strings(first), pa.string()), "c": pa.array(counts)})
@@ -236,7 +236,7 @@ def score_texts(docs: DataFrame, training: Column, *, order: int = ORDER, share:
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         _, table, _ = shared.value
         for batch in batches:
-            for piece in words.pieces(batch):
+            for piece in words.pieces(batch, limit=words.PIECE_BYTES // 4):
                 found = words.find_words(piece.column("text"))
                 hashed = found.hashes()
                 yield piece, found, hashed, table.find(hashed)
