@@ -8,8 +8,8 @@ the symmetric difference and so refutes most candidates before any set is moved.
 on the sets.
 
 Equal sets are one node. In a block's group every node is compared with the group's best-connected
-node first. Only nodes that stay in different components need more: small groups compare across
-components, large groups (a passage many texts share) are first split by a second equal block.
+node first. Groups that are still in several components are compared in tiles of bounded size, by
+sketches, without a row per pair, and only links that connect components leave a tile.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from visitline.llm import words
 from visitline.llm.components import component_labels
-from visitline.session import materialize, release, ship_package
+from visitline.session import materialize, ship_package
 
 BAND_RATIO = 1.6
-SMALL_GROUP = 32  # groups up to this size compare all nodes of different components
+TILE_NODES, TILE_ELEMENTS = 512, 1 << 20  # of a group that one task holds, about, twice over
 FILTER_BITS = 24  # the candidate filter has 2 ** 24 bits at any corpus size
 
 
@@ -113,7 +113,7 @@ def _longs(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
 
-def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, similarity: tuple[int, int] = (90, 100), small_group: int = SMALL_GROUP) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, similarity: tuple[int, int] = (90, 100)) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` (``doc_id``, ``text``; others aren't read).
 
     Rows are linked if the Jaccard similarity of their sets of distinct word shingles is at least
@@ -152,8 +152,8 @@ def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, similarity:
     all_keys = rows.mapInArrow(keyed, "key bigint, node bigint")
     groups = all_keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
     shared = materialize(all_keys.join(groups, "key").distinct(), "keys")  # only blocks that several nodes have
-    sketches, sets = _candidate_tables(rows, shared, k)
-    links = _linked(shared, _verifier(sketches, sets, num, den), small_group)
+    both = _candidate_table(rows, shared, k)
+    links = _linked(shared, _verifier(both, num, den), both, num, den)
     labels = component_labels(links, "a", "b").withColumnsRenamed({"vertex": "node", "component": "root"})
     labelled = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, similarity:
     )
 
 
-def _candidate_tables(rows: DataFrame, shared: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+def _candidate_table(rows: DataFrame, shared: DataFrame, k: int) -> DataFrame:
     """Sketch and set of each node with a shared block, found again by a filter of fixed size.
 
     The filter is a bitmap of hashed nodes. However full it gets it lets every candidate pass; nodes that
@@ -189,11 +189,10 @@ def _candidate_tables(rows: DataFrame, shared: DataFrame, k: int) -> tuple[DataF
                     {"node": _longs(list(out)), "n": pa.array([len(s) for s in out.values()], pa.int64()), "sketch": pa.array([bit_sketch(s) for s in out.values()], pa.binary()), "elements": pa.array([s.tobytes() for s in out.values()], pa.binary())}
                 )
 
-    both = materialize(rows.mapInArrow(tables, "node bigint, n bigint, sketch binary, elements binary").dropDuplicates(["node"]), "sets")
-    return both.select("node", "n", "sketch"), both.select("node", "n", "elements")
+    return materialize(rows.mapInArrow(tables, "node bigint, n bigint, sketch binary, elements binary").dropDuplicates(["node"]), "sets")
 
 
-def _verifier(sketches: DataFrame, sets: DataFrame, num: int, den: int) -> Callable[[DataFrame], DataFrame]:
+def _verifier(sets: DataFrame, num: int, den: int) -> Callable[[DataFrame], DataFrame]:
     def both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
         left = table.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col(column).alias("x"))
         right = table.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col(column).alias("y"))
@@ -215,41 +214,98 @@ def _verifier(sketches: DataFrame, sets: DataFrame, num: int, den: int) -> Calla
         return common * den >= num * (n + m - common)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        alike = both(pairs, sketches, "sketch").mapInArrow(run(possible), "a bigint, b bigint")
+        alike = both(pairs, sets, "sketch").mapInArrow(run(possible), "a bigint, b bigint")
         return both(alike, sets, "elements").mapInArrow(run(exact), "a bigint, b bigint")
 
     return verify
 
 
-def _linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], small_group: int) -> DataFrame:
+def _linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], both: DataFrame, num: int, den: int) -> DataFrame:
     """Links whose components are those of all links between nodes that share a block."""
-    links = None
-    keys = shared
-    for depth in (1, 2):
-        # Stars: the most widely shared node of each group against the others.
-        sizes = keys.groupBy("key").agg(F.count("*").alias("members"))
-        weights = keys.join(sizes, "key").groupBy("node").agg(F.sum("members").alias("weight"))
-        centres = keys.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
-        stars = keys.join(centres, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        found = materialize(verify(stars), "stars")
-        links = found if links is None else links.union(found)
-        # Groups whose nodes are still in several components.
-        labels = component_labels(links, "a", "b")
-        placed = keys.join(labels.withColumnRenamed("vertex", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "members")
-        rest = materialize(placed.join(mixed, "key").join(centres, "key"), "mixed")
-        now = rest if depth == 2 else rest.where(F.col("members") <= small_group)
-        one, other = (now.select("key", F.col("node").alias(n), F.col("component").alias(f"c_{n}"), "centre") for n in ("a", "b"))
-        pairs = one.join(other.drop("centre"), "key").where("a < b and c_a <> c_b and a <> centre and b <> centre").select("a", "b").distinct()
-        links = links.union(materialize(verify(pairs), "crossing"))
-        if depth == 2:
-            break
-        large = rest.where(F.col("members") > small_group).select("key", "node")
-        if large.isEmpty():
-            break
-        # A linked pair has a second equal block: groups of two blocks.
-        second = large.join(shared.withColumnRenamed("key", "other"), "node").where("key <> other").select(F.xxhash64("key", "other").alias("key"), "node")
-        repeated = second.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-        keys = materialize(second.join(repeated, "key"), "keys")
-        release(rest)
-    return links
+    # Stars: the most widely shared node of each block's group against the others.
+    sizes = shared.groupBy("key").agg(F.count("*").alias("members"))
+    weights = shared.join(sizes, "key").groupBy("node").agg(F.sum("members").alias("weight"))
+    centres = shared.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
+    groups = materialize(shared.join(centres, "key").select("centre", "node").distinct(), "groups")
+    stars = groups.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    links = materialize(verify(stars), "stars")
+    # Two nodes of a block stand in the group of its centre; only groups in several components need more.
+    labels = component_labels(links, "a", "b").withColumnRenamed("vertex", "node")
+    placed = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = (
+        placed.join(both.select("node", "n"), "node").groupBy("centre")
+        .agg(F.count("*").alias("members"), F.sum("n").alias("elements"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        .where("lo <> hi").select("centre", F.greatest(F.ceil(F.col("members") / TILE_NODES), F.ceil(F.col("elements") / TILE_ELEMENTS)).cast("int").alias("tiles"))
+    )
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    tiled = placed.join(mixed, "centre").withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = tiled.select("centre", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "component")
+    dealt = tiled.join(both, "node").repartition("centre", "low", "high").sortWithinPartitions("centre", "low", "high", "node")
+    return links.union(materialize(dealt.mapInArrow(lambda it: _crossing(it, num, den), "a bigint, b bigint"), "crossing"))
+
+
+def _crossing(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Links that join components inside each pair of tiles; rows come sorted, one pair of tiles is held."""
+    held: list[dict] = []
+    group = None
+
+    def flush() -> pa.RecordBatch | None:
+        found = _tile_links(held, num, den) if len(held) > 1 else []
+        held.clear()
+        return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())}) if found else None
+
+    for batch in batches:
+        for start in range(0, len(batch), 256):
+            for row in batch.slice(start, 256).to_pylist():
+                if (row["centre"], row["low"], row["high"]) != group:
+                    if (out := flush()) is not None:
+                        yield out
+                    group = (row["centre"], row["low"], row["high"])
+                held.append(row)
+    if (out := flush()) is not None:
+        yield out
+
+
+def _tile_links(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
+    """A link for every two components that the nodes of two tiles (or of one) connect.
+
+    All nodes of different components are compared by folded sketches; what these don't refute is
+    verified, nearest first, unless links found before connect it already.
+    """
+    width = min(len(r["sketch"]) for r in rows)
+    sketches = np.zeros((len(rows), width), dtype=np.uint8)
+    for i, r in enumerate(rows):
+        bits = np.frombuffer(r["sketch"], np.uint8)
+        while len(bits) > width:
+            bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+        sketches[i] = bits
+    sketches = sketches.view(np.uint64)
+    n, component, tile = (np.array([r[c] for r in rows]) for c in ("n", "component", "tile"))
+    across = rows[0]["low"] != rows[0]["high"]
+    close: list[tuple[int, int, int]] = []
+    for i in range(len(rows) - 1):
+        later = slice(i + 1, None)
+        fits = (component[later] != component[i]) & (n[later] * den >= n[i] * num) & (n[i] * den >= n[later] * num)
+        if across:
+            fits &= tile[later] != tile[i]
+        at = np.flatnonzero(fits) + i + 1
+        distance = np.bitwise_count(sketches[at] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        near = distance * (den + num) <= (n[at] + n[i]) * (den - num)
+        close += [(int(d), i, int(j)) for d, j in zip(distance[near], at[near])]
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    for _, i, j in sorted(close):
+        x, y = find(int(component[i])), find(int(component[j]))
+        if x == y:
+            continue
+        common = len(np.intersect1d(np.frombuffer(rows[i]["elements"], np.uint64), np.frombuffer(rows[j]["elements"], np.uint64), assume_unique=True))
+        if common * den >= num * (int(n[i]) + int(n[j]) - common):
+            up[max(x, y)] = min(x, y)
+            out.append((rows[i]["node"], rows[j]["node"]))
+    return out
