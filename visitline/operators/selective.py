@@ -175,9 +175,9 @@ def complexity(model: Column, ranks: Mapping[str, int] = MODEL_COMPLEXITY) -> Co
     return F.coalesce(F.try_element_at(literal_map(ranks), model), F.lit(99))
 
 
-def select_model(results: DataFrame) -> DataFrame:
+def select_model(results: DataFrame, ranks: Mapping[str, int] = MODEL_COMPLEXITY) -> DataFrame:
     return results.orderBy(
-        F.desc("macro_f1"), F.asc("log_loss"), F.asc("brier_score"), complexity(F.col("model"))
+        F.desc("macro_f1"), F.asc("log_loss"), F.asc("brier_score"), complexity(F.col("model"), ranks)
     ).limit(1)
 
 
@@ -194,12 +194,14 @@ def select_calibration(results: DataFrame) -> DataFrame:
     return results.orderBy(F.asc("log_loss"), F.asc("brier_score")).limit(1)
 
 
-def select_within_tolerance(results: DataFrame, tolerance: float = 0.005) -> DataFrame:
+def select_within_tolerance(
+    results: DataFrame, tolerance: float = 0.005, ranks: Mapping[str, int] = MODEL_COMPLEXITY
+) -> DataFrame:
     """Simplest model whose macro-F1 is within ``tolerance`` of the best one."""
     best = results.agg(F.max("macro_f1")).scalar()
     close = results.where(F.col("macro_f1") >= best - F.lit(tolerance))
     return close.orderBy(
-        complexity(F.col("model")), F.desc("macro_f1"), F.asc("log_loss"), F.asc("brier_score")
+        complexity(F.col("model"), ranks), F.desc("macro_f1"), F.asc("log_loss"), F.asc("brier_score")
     ).limit(1)
 
 
