@@ -98,6 +98,15 @@ def test_shift_measures(spark):
     assert got["psi"] == pytest.approx(float(np.sum((share(b) - share(a)) * np.log(share(b) / share(a)))))
 
 
+def test_approximate_profile(spark):
+    df = spark.range(2000).select((F.col("id") % 500).alias("a"), F.when(F.col("id") % 4 > 0, F.col("id")).alias("b"))
+    exact = {r["column_name"]: r for r in C.column_profile(df).collect()}
+    near = {r["column_name"]: r for r in C.column_profile(df, relative_error=0.02).collect()}
+    for name in ("a", "b"):
+        assert near[name]["missing_rate"] == exact[name]["missing_rate"] and near[name]["non_missing_count"] == exact[name]["non_missing_count"]
+        assert abs(near[name]["unique_count"] / exact[name]["unique_count"] - 1) < 0.1
+
+
 def test_unseen_levels_have_no_limit(spark):
     train = spark.createDataFrame([("a",)], "s string")
     scoring = spark.createDataFrame([("c",), ("b",), ("a",), (None,)], "s string")

@@ -63,10 +63,20 @@ def _as_text(field: T.StructField) -> Column:
     return F.when(F.length(text) > 64, F.sha2(text, 256)).otherwise(text)
 
 
-def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Missing rate, non-null count and exact distinct count of every column."""
+def column_profile(df: DataFrame, columns: Sequence[str] | None = None, relative_error: float | None = None) -> DataFrame:
+    """Missing rate, non-null count and distinct count of every column.
+
+    Distinct counts are exact, for which every (column, value) is shuffled once. With ``relative_error``
+    they come from sketches of that standard error, and one row per column and task is shuffled.
+    """
     fields = [f for f in df.schema.fields if columns is None or f.name in set(columns)]
     cells = F.array(*[F.struct(F.lit(f.name).alias("column_name"), _as_text(f).alias("v")) for f in fields])
+    if relative_error is not None:
+        return df.select(F.inline(cells)).groupBy("column_name").agg(
+            F.avg(F.col("v").isNull().cast("double")).alias("missing_rate"),
+            F.count("v").alias("non_missing_count"),
+            F.approx_count_distinct("v", relative_error).alias("unique_count"),
+        )
     counted = df.select(F.inline(cells)).groupBy("column_name", "v").agg(F.count("*").alias("n"))
     return counted.groupBy("column_name").agg(
         (F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("missing_rate"),

@@ -337,24 +337,20 @@ def permutation_importance(
     """Metric drop per feature when its values are permuted over all rows.
 
     Rows get a place in seeded hash order; a repeat maps place ``i`` to ``a * i + b mod n`` with
-    ``a`` prime to ``n``, which is a permutation. Values travel by a join on the place, and all
-    features and repeats are scored in one job.
+    ``a`` prime to ``n``, which is a permutation. Values travel by one join on the place per repeat, which
+    serves all features; exchanging one feature at a time afterwards moves nothing.
     """
     placed = hash_ranked(rows.select(F.col(row_id).alias("subject"), *features, label), seed)
     n = int(rows.count())
     rng = random.Random(seed)
     runs = []
-    for feature in features:
-        for repeat in range(repeats):
+    for repeat in range(repeats):
+        a = rng.randrange(1, max(n, 2))
+        while math.gcd(a, n) != 1:
             a = rng.randrange(1, max(n, 2))
-            while math.gcd(a, n) != 1:
-                a = rng.randrange(1, max(n, 2))
-            runs.append((feature, repeat, a, rng.randrange(n)))
+        runs.append((repeat, a, rng.randrange(n)))
     cells = F.array(
-        *[
-            F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
-            for f, r, a, b in runs
-        ]
+        *[F.struct(F.lit(r).alias("repeat"), F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for r, a, b in runs]
     )
     donors = placed.select(F.col("position").alias("from"), *[F.col(f).alias(f"_d_{f}") for f in features])
     wide = (
@@ -368,9 +364,10 @@ def permutation_importance(
             ).cast("bigint"),
         )
         .join(donors, "from")
+        .withColumn("feature", F.explode(F.array(*[F.lit(f) for f in features])))
         .select(
-            label, "run.feature", "run.repeat",
-            *[F.when(F.col("run.feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in features],
+            label, "feature", "run.repeat",
+            *[F.when(F.col("feature") == f, F.col(f"_d_{f}")).otherwise(F.col(f)).alias(f) for f in features],
         )
     )
     auc = "roc_auc_ovr" in metrics
@@ -451,22 +448,24 @@ def tune_model(
         raise ValueError(f"Unsupported tuning metric: {metric}")
     if candidates is None:
         if name not in SEARCH_SPACES:
-            raise ValueError(f"No search space for model: {name}. Available: {', '.join(sorted(SEARCH_SPACES))}")
+            raise ValueError(f"{name} needs candidates; a search space is known for {', '.join(sorted(SEARCH_SPACES))}")
         rng = random.Random(seed)
         candidates = [sample_params(SEARCH_SPACES[name], rng) for _ in range(n_trials)]
     if validation is None and subject is None:
         raise ValueError("Give validation rows, or a subject column for grouped folds.")
-    prep = M.fit_preparation(train, features, True)
     sides = [(train, validation, 0)]
     if validation is None:
         folds = grouped_folds(train, subject, n_splits, seed).select(F.col("subject").alias(subject), "fold")
         tagged = materialize(lookup_join(train, folds, subject), "folds")
         sides = [(tagged.where(F.col("fold") != k), tagged.where(F.col("fold") == k), k) for k in range(1, n_splits + 1)]
+    # Medians, scales and levels come from the rows a model is fitted on, never from those it is scored on.
+    shared = {fold: (M.fit_preparation(fit_rows, features, True), M.class_totals(fit_rows, label, weight)) for fit_rows, _, fold in sides}
     parts = []
     for trial, params in enumerate(candidates):
         for fit_rows, held, fold in sides:
+            prep, counts = shared[fold]
             model = M.fit_model(
-                fit_rows, features, label, name, params, n_classes=n_classes, weight=weight, seed=seed, preparation=prep
+                fit_rows, features, label, name, params, n_classes=n_classes, weight=weight, seed=seed, preparation=prep, class_rows=counts
             )
             parts.append((M.score(model, held).select(label, "prob"), {"trial": trial, "params": repr(dict(params)), "fold": fold}))
     table = multiclass_metrics(_tagged(parts), label, "prob", tuple(range(n_classes)), ["trial", "params", "fold"])
