@@ -40,6 +40,7 @@ COMMON = (
     "company example sample demo temp temporary public private mypassword none null true false undefined redacted xxxx required"
 ).split()
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
+_PLACE = {key: (r, c) for r, row in enumerate(ROWS) for c, key in enumerate(row)}
 _NEXT = {}
 for _r, _row in enumerate(ROWS):
     for _c, _key in enumerate(_row):
@@ -57,8 +58,8 @@ def guess_log10(value: str, ranks: dict[str, int], longest: int) -> float:
     """log10 of the least guesses that reveal ``value``.
 
     Word: its rank, doubled for capitals and for digits written as letters. Date: 365 days of 120 years.
-    Repeat: the unit's own cost times the count. Keyboard walk of 3 keys and more: 47 keys, 8 turns per
-    step at most. Anything else: the alphabet of the value to the span's length. One more segment
+    Repeat: the unit's own cost times the count. Keyboard walk of 3 keys and more: 47 first keys, 8 ways per
+    change of direction, times its length. Anything else: the alphabet of the value to the span's length. One more segment
     multiplies by the number of segments (their order isn't known). Empty: 0.
     """
     n = len(value)
@@ -79,7 +80,8 @@ def guess_log10(value: str, ranks: dict[str, int], longest: int) -> float:
             ending[m.end()].append((i, math.log10(365 * 120 if m.end() - i > 4 else 120)))
         j, turns, step = i + 1, 0, None
         while j < n and low[j] in _NEXT.get(low[j - 1], ()):
-            new = ord(low[j]) - ord(low[j - 1])
+            (r, c), (s, d) = _PLACE[low[j - 1]], _PLACE[low[j]]
+            new = (s - r, d - c)
             turns, step, j = turns + (new != step), new, j + 1
             if j - i >= 3:
                 ending[j].append((i, math.log10(47) + turns * math.log10(8) + math.log10(j - i)))
