@@ -59,8 +59,8 @@ def guess_log10(value: str, ranks: dict[str, int], longest: int) -> float:
 
     Word: its rank, doubled for capitals and for digits written as letters. Date: 365 days of 120 years.
     Repeat: the unit's own cost times the count. Keyboard walk of 3 keys and more: 47 first keys, 8 ways per
-    change of direction, times its length. Anything else: the alphabet of the value to the span's length. One more segment
-    multiplies by the number of segments (their order isn't known). Empty: 0.
+    change of direction, times its length. Anything else: the alphabet of the value to the span's length.
+    One more segment multiplies by the number of segments (their order isn't known). Empty: 0.
     """
     n = len(value)
     if not n:
@@ -96,18 +96,17 @@ def guess_log10(value: str, ranks: dict[str, int], longest: int) -> float:
     best = [0.0] + [math.inf] * n
     total = math.inf
     for k in range(1, n + 1):
-        new, any_better = [math.inf] * (n + 1), False
+        orders = math.lgamma(k + 1) / math.log(10)
+        if orders >= total:  # segments cost nothing less than 0
+            break
+        new = [math.inf] * (n + 1)
         run = math.inf  # cheapest "brute span still open" cost, shifted by one character each step
         for j in range(1, n + 1):
             run = min(run, best[j - 1]) + brute
             cost = min([run, *(best[i] + c for i, c in ending[j])])
             new[j] = cost
         best = new
-        found = best[n] + math.lgamma(k + 1) / math.log(10)
-        if found < total:
-            total, any_better = found, True
-        if not any_better:
-            break
+        total = min(total, best[n] + orders)
     return total
 
 
