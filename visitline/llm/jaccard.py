@@ -2,10 +2,10 @@
 
 Sets of similar size meet in a size band. In a band, every set's shingles are dealt to blocks by hash
 and XOR-ed per block. Two sets that reach the similarity differ in at most ``d`` shingles, so of
-``d + 1 + g`` blocks at least ``g + 1`` hold no difference and have equal XORs (two of them with shingles,
-as fewer than ``g`` may be empty): equal blocks are join keys, no linked pair is lost. A second sketch XORs one bit per shingle; its Hamming distance never exceeds
-the symmetric difference and so refutes most candidates before any set is moved. The rest is verified
-on the sets.
+``d + 1 + g`` blocks at least ``g + 1`` hold no difference and have equal XORs (one of them with shingles,
+as at most ``g`` may be empty): equal blocks are join keys, no linked pair is lost. A second sketch XORs
+one bit per shingle; its Hamming distance never exceeds the symmetric difference and so refutes most
+candidates before any set is moved. The rest is verified on the sets.
 
 Equal sets are one node. In a block's group every node is compared with the group's best-connected
 node first. Groups that are still in several components are compared in tiles of bounded size, by
@@ -18,15 +18,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from visitline.llm import words
+from visitline.llm.bitmaps import bitmap_of, passing
 from visitline.llm.components import component_labels
 from visitline.session import materialize, ship_package
 
 BAND_RATIO = 1.6
 TILE_NODES, TILE_ELEMENTS = 512, 1 << 20  # of a group that one task holds, about, twice over
-FILTER_BITS = 24  # the candidate filter has 2 ** 24 bits at any corpus size
+KEY_FILTER_BITS, NODE_FILTER_BITS = 27, 24  # sizes of the filters at any corpus size
 
 
 class Bands:
@@ -42,7 +44,8 @@ class Bands:
             top = max(low, int(low * BAND_RATIO))
             d = 2 * top * (self.den - self.num) // (self.den + self.num)
             least = low * self.num / self.den  # partners from the band below
-            spare = 2 + int(np.ceil(2 * (d + 2) * np.exp(-least / (d + 2))))
+            empty = (d + 2) * np.exp(-least / (d + 2))  # expected empty blocks of the smallest set
+            spare = 1 + int(np.ceil(empty + 3 * np.sqrt(empty)))
             self.low.append(low), self.top.append(top), self.blocks.append(d + 1 + spare if d else 0), self.spare.append(spare)
 
     def of(self, size: int) -> list[int]:
@@ -67,8 +70,8 @@ def node_id(elements: np.ndarray) -> int:
 def block_keys(elements: np.ndarray, bands: Bands) -> np.ndarray:
     """Join keys of a set: band, block and XOR of the block, mixed into 64 bits.
 
-    Blocks without shingles are left out, unless the set has so many that a pair could agree in fewer than
-    two others.
+    Blocks without shingles are left out, unless the set has so many that a pair could agree in none but
+    those.
     """
     keys = []
     for band in bands.of(len(elements)):
@@ -80,7 +83,7 @@ def block_keys(elements: np.ndarray, bands: Bands) -> np.ndarray:
         full = np.flatnonzero(sizes)
         xor = np.zeros(m, dtype=np.uint64)
         xor[full] = np.bitwise_xor.reduceat(elements, at[full])
-        which = full if m - len(full) < bands.spare[band] else np.arange(m)
+        which = full if m - len(full) <= bands.spare[band] else np.arange(m)
         keys.append(words.mix(xor[which] ^ words.mix(np.uint64(band << 32) + which.astype(np.uint64))))
     return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
 
@@ -135,7 +138,7 @@ def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, similarity:
         for piece, sets in _sets(batches, k):
             yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "node": _longs([node_id(s) for s in sets])})
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch], wanted: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
         bands, done = Bands(num, den), set()
         for _, sets in _sets(batches, k):
             done.clear()  # copies inside a piece need no second set of keys
@@ -145,11 +148,20 @@ def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, similarity:
                     done.add(node)
                     keys.append(block_keys(s, bands))
                     owners.append(np.full(len(keys[-1]), node, dtype=np.uint64))
-            if keys:
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "node": pa.array(np.concatenate(owners).view(np.int64))})
+            if not keys:
+                continue
+            key, owner = np.concatenate(keys), np.concatenate(owners)
+            if wanted is not None:
+                passed = passing(wanted.value, key)
+                key, owner = key[passed], owner[passed]
+            yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "node": pa.array(owner.view(np.int64))})
 
     nodes = materialize(rows.mapInArrow(describe, "doc_id bigint, n_shingles bigint, node bigint"), "nodes")
-    all_keys = rows.mapInArrow(keyed, "key bigint, node bigint")
+    # Most blocks are unlike all others. Blocks met more than once (if only in copies) are found by counts,
+    # 8 bytes each; only they, and what their filter lets pass, are shuffled together with their nodes.
+    often = rows.mapInArrow(keyed, "key bigint, node bigint").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    wanted = spark.sparkContext.broadcast(bitmap_of(often, "key", KEY_FILTER_BITS))
+    all_keys = rows.mapInArrow(lambda it: keyed(it, wanted), "key bigint, node bigint")
     groups = all_keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
     shared = materialize(all_keys.join(groups, "key").distinct(), "keys")  # only blocks that several nodes have
     both = _candidate_table(rows, shared, k)
@@ -168,22 +180,12 @@ def _candidate_table(rows: DataFrame, shared: DataFrame, k: int) -> DataFrame:
     The filter is a bitmap of hashed nodes. However full it gets it lets every candidate pass; nodes that
     pass wrongly join with no pair.
     """
-    spark = rows.sparkSession
-    cells = shared.selectExpr(f"shiftright(node & {(1 << FILTER_BITS) - 1}L, 6) AS cell", "shiftleft(1L, cast(node & 63 AS int)) AS bit")
-    found = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2 ** 18 rows
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
-    bitmap[found["cell"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    wanted = spark.sparkContext.broadcast(bitmap)
+    wanted = rows.sparkSession.sparkContext.broadcast(bitmap_of(shared, "node", NODE_FILTER_BITS))
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
         for _, sets in _sets(batches, k):
-            out = {}
-            for s in sets:
-                node = node_id(s)
-                at = node & ((1 << FILTER_BITS) - 1)
-                if int(bits[at >> 6]) >> (at & 63) & 1 and len(s):
-                    out[node] = s
+            passed = passing(wanted.value, np.array([node_id(s) for s in sets], dtype=np.uint64))
+            out = {node_id(s): s for s, p in zip(sets, passed.tolist()) if p and len(s)}
             if out:
                 yield pa.RecordBatch.from_pydict(
                     {"node": _longs(list(out)), "n": pa.array([len(s) for s in out.values()], pa.int64()), "sketch": pa.array([bit_sketch(s) for s in out.values()], pa.binary()), "elements": pa.array([s.tobytes() for s in out.values()], pa.binary())}
