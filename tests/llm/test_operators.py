@@ -272,8 +272,8 @@ def components_by_force(rows, k, num, den):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("k", "num", "tile"), [(3, 90, 4), (5, 80, 512)])
-def test_components_equal_brute_force(spark, monkeypatch, k, num, tile):
+@pytest.mark.parametrize(("k", "num", "tile", "carry"), [(3, 90, 4, True), (5, 80, 512, True), (5, 80, 6, False)])
+def test_components_equal_brute_force(spark, monkeypatch, k, num, tile, carry):
     monkeypatch.setattr(jaccard, "TILE_NODES", tile)
     rng = random.Random(k)
     rows = [(i, prose(i, rng.randint(3, 150))) for i in range(60)]
@@ -287,7 +287,7 @@ def test_components_equal_brute_force(spark, monkeypatch, k, num, tile):
     rows += [(500 + i, f"{common} {prose(900 + i, rng.randint(5, 20))}") for i in range(40)]
     rows += [(1000 + i, t) for i, t in enumerate(ODD)]
     docs = spark.createDataFrame([(*r, "en", "s", 0, "k", 1) for r in rows], SCHEMA).repartition(3)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs, words_per_shingle=k, similarity=(num, 100)).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs, words_per_shingle=k, similarity=(num, 100), carry_sets=carry).collect()}
     assert got == components_by_force(rows, k, num, 100)
 
 

@@ -116,7 +116,7 @@ def _longs(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
 
-def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, similarity: tuple[int, int] = (90, 100)) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, similarity: tuple[int, int] = (90, 100), carry_sets: bool = True) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` (``doc_id``, ``text``; others aren't read).
 
     Rows are linked if the Jaccard similarity of their sets of distinct word shingles is at least
@@ -125,6 +125,9 @@ def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, similarity:
     set, linked with nothing, so its component is its own id. Rows with equal sets are linked. A null
     ``doc_id`` gets its group's component, null if no row there has an id. Shingles are compared by
     64-bit hashes. No rows in, none out.
+
+    ``carry_sets`` tells how tiles verify: with the sets at hand, or by sketches only, sixteen times smaller,
+    after which the presumed links are verified by joins and, if one fails, all that remain possible.
     """
     num, den = similarity
     if not den < 2 * num <= 2 * den:
@@ -165,7 +168,7 @@ def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, similarity:
     groups = all_keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
     shared = materialize(all_keys.join(groups, "key").distinct(), "keys")  # only blocks that several nodes have
     both = _candidate_table(rows, shared, k)
-    links = _linked(shared, _verifier(both, num, den), both, num, den)
+    links = _linked(shared, _verifier(both, num, den), both, num, den, carry_sets)
     labels = component_labels(links, "a", "b").withColumnsRenamed({"vertex": "node", "component": "root"})
     labelled = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -222,7 +225,7 @@ def _verifier(sets: DataFrame, num: int, den: int) -> Callable[[DataFrame], Data
     return verify
 
 
-def _linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], both: DataFrame, num: int, den: int) -> DataFrame:
+def _linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], both: DataFrame, num: int, den: int, carry_sets: bool) -> DataFrame:
     """Links whose components are those of all links between nodes that share a block."""
     # Stars: the most widely shared node of each block's group against the others.
     sizes = shared.groupBy("key").agg(F.count("*").alias("members"))
@@ -231,7 +234,24 @@ def _linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], both: D
     groups = materialize(shared.join(centres, "key").select("centre", "node").distinct(), "groups")
     stars = groups.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     links = materialize(verify(stars), "stars")
-    # Two nodes of a block stand in the group of its centre; only groups in several components need more.
+    if carry_sets:
+        dealt = _dealt(groups, links, both)
+        return links.union(materialize(dealt.mapInArrow(lambda it: _crossing(it, num, den, "sets"), "a bigint, b bigint"), "crossing"))
+    for how in ("presumed", "possible"):
+        dealt = _dealt(groups, links, both.drop("elements"))
+        pairs = materialize(dealt.mapInArrow(lambda it, how=how: _crossing(it, num, den, how), "a bigint, b bigint").distinct(), "pairs")
+        found = materialize(verify(pairs), "crossing")
+        links = links.union(found)
+        if found.count() == pairs.count():  # what was presumed holds, so nothing was passed over wrongly
+            break
+    return links
+
+
+def _dealt(groups: DataFrame, links: DataFrame, both: DataFrame) -> DataFrame:
+    """Nodes of the groups that lie in several components, dealt to pairs of tiles and sorted by these.
+
+    Two nodes of a block stand in the group of its centre, so no other pair can be linked.
+    """
     labels = component_labels(links, "a", "b").withColumnRenamed("vertex", "node")
     placed = groups.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = (
@@ -242,17 +262,16 @@ def _linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], both: D
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     tiled = placed.join(mixed, "centre").withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = tiled.select("centre", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "component")
-    dealt = tiled.join(both, "node").repartition("centre", "low", "high").sortWithinPartitions("centre", "low", "high", "node")
-    return links.union(materialize(dealt.mapInArrow(lambda it: _crossing(it, num, den), "a bigint, b bigint"), "crossing"))
+    return tiled.join(both, "node").repartition("centre", "low", "high").sortWithinPartitions("centre", "low", "high", "node")
 
 
-def _crossing(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _crossing(batches: Iterator[pa.RecordBatch], num: int, den: int, how: str) -> Iterator[pa.RecordBatch]:
     """Links that join components inside each pair of tiles; rows come sorted, one pair of tiles is held."""
     held: list[dict] = []
     group = None
 
     def flush() -> pa.RecordBatch | None:
-        found = _tile_links(held, num, den) if len(held) > 1 else []
+        found = _tile_links(held, num, den, how) if len(held) > 1 else []
         held.clear()
         return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())}) if found else None
 
@@ -268,11 +287,12 @@ def _crossing(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
         yield out
 
 
-def _tile_links(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
+def _tile_links(rows: list[dict], num: int, den: int, how: str) -> list[tuple[int, int]]:
     """A link for every two components that the nodes of two tiles (or of one) connect.
 
     All nodes of different components are compared by folded sketches; what these don't refute is
-    verified, nearest first, unless links found before connect it already.
+    verified, nearest first, unless links found before connect it already. ``how`` "presumed" takes it for
+    a link instead, "possible" returns all of it.
     """
     width = min(len(r["sketch"]) for r in rows)
     sketches = np.zeros((len(rows), width), dtype=np.uint8)
@@ -294,6 +314,8 @@ def _tile_links(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
         distance = np.bitwise_count(sketches[at] ^ sketches[i]).sum(axis=1, dtype=np.int64)
         near = distance * (den + num) <= (n[at] + n[i]) * (den - num)
         close += [(int(d), i, int(j)) for d, j in zip(distance[near], at[near])]
+    if how == "possible":
+        return [(rows[i]["node"], rows[j]["node"]) for _, i, j in close]
     up: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -306,8 +328,10 @@ def _tile_links(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
         x, y = find(int(component[i])), find(int(component[j]))
         if x == y:
             continue
-        common = len(np.intersect1d(np.frombuffer(rows[i]["elements"], np.uint64), np.frombuffer(rows[j]["elements"], np.uint64), assume_unique=True))
-        if common * den >= num * (int(n[i]) + int(n[j]) - common):
+        common = int(n[i])
+        if how == "sets":
+            common = len(np.intersect1d(np.frombuffer(rows[i]["elements"], np.uint64), np.frombuffer(rows[j]["elements"], np.uint64), assume_unique=True))
+        if how == "presumed" or common * den >= num * (int(n[i]) + int(n[j]) - common):
             up[max(x, y)] = min(x, y)
             out.append((rows[i]["node"], rows[j]["node"]))
     return out
