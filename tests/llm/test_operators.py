@@ -186,6 +186,22 @@ def test_trie_probabilities_sum_to_one_and_base_is_exact(spark):
     assert len(none) == len(rows) and {r["train_tokens"] for r in none} == {0}
 
 
+def test_trie_keeps_rare_pairs_at_any_size_and_share(spark, monkeypatch):
+    texts = [prose(i, 400, 30) for i in range(60)] + ["rarename seen twice"] * 2 + ["rarename seen twice", "w1 rarer qq"]
+    docs = table(spark, texts, lang="en")
+    train = F.col("doc_id") < 62
+    monkeypatch.setattr(ppm, "BUCKET_PAIRS", 40)
+    monkeypatch.setattr(ppm, "CHUNK_TEXTS", 5)
+    keys = ppm.pair_keys(*ppm.streams(words.find_words(pa.array(texts[:62]))), 6)
+    model = ppm.whole_model(*np.unique(keys, return_counts=True), 6, [])
+    every = (keys[-1] & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
+    assert math.isclose((10.0 ** model.log10(every)).sum(), 1.0, rel_tol=1e-9)
+    for share in (1.0, 1e-3, 1e-12):  # nothing, the common pairs, or all of them in every task
+        for r in ppm.score_texts(docs, train, share=share).collect():
+            expected = model.log10(ppm.pair_keys(*ppm.streams(words.find_words(pa.array([texts[r["doc_id"]]]))), 6)).sum()
+            assert math.isclose(r["score"], expected, rel_tol=1e-9)
+
+
 # 5
 
 

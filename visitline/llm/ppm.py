@@ -2,11 +2,13 @@
 
 A text is its lower-cased words, each followed by a space, with a line feed in place of the last space:
 the line feed is the end token and also stands before the text. Counts of (context, byte) pairs are
-gathered from all training texts. The trie keeps, in every order, the pairs that make up at least a
-fixed share of all positions, so its size has the same bound at every corpus size. Contexts of a kept
-pair are kept in all lower orders too; the symbols of a context are a subset of its suffix's symbols,
-so after an escape exactly the longer context's symbols are excluded and all exclusion sums can be
-tabulated per context.
+gathered from all training texts, and the trie keeps every one, so it grows with the corpus. The symbols
+of a context are a subset of its suffix's symbols, so after an escape exactly the longer context's symbols
+are excluded and all exclusion sums can be tabulated per context.
+
+No task holds the whole trie. Every task gets the answers for the most frequent full-order pairs, which
+settle most positions. What is left is dealt by its nearest ``GROUP`` context bytes: all longer contexts
+with these bytes meet in one bucket, whose tables are complete beside those of the lower orders.
 """
 
 from __future__ import annotations
@@ -16,13 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from visitline.llm import words
 from visitline.session import materialize, ship_package
 
 ORDER = 6
-TRIE_SHARE = 2.0**-22  # at most 2 ** 22 pairs per order
+TRIE_SHARE = 2.0**-22  # at most 2 ** 22 full-order pairs have their answer in every task
+GROUP = 3  # nearest context bytes that deal the orders from here up; lower orders have 2 ** 24 pairs at most
+BUCKET_PAIRS = 200_000  # trie pairs of a bucket, about
+CHUNK_KEYS, CHUNK_TEXTS = 2_000_000, 20_000  # open positions and texts that a task gathers before it deals them
 WORD_SHARE = 2.0**-18  # at most 2 ** 18 words are looked up in the tasks, the rest by a join
 END, SPACE = 0x0A, 0x20
 
@@ -155,11 +161,10 @@ class Model:
         return out
 
 
-def fit_trie(training: DataFrame, *, order: int = ORDER, share: float = TRIE_SHARE) -> Model | None:
-    """The model of the ``text`` column of all ``training`` rows; None without rows.
+def count_pairs(training: DataFrame, order: int) -> DataFrame:
+    """``key, n`` of every distinct pair of the ``text`` column of all ``training`` rows, written once.
 
-    Every task reduces its texts to distinct pairs before anything is shuffled; the driver gets the kept
-    pairs and contexts only, at most ``1 / share`` of each order.
+    Every task reduces its texts to distinct pairs before anything is shuffled.
     """
     ship_package(training.sparkSession)
 
@@ -182,25 +187,160 @@ def fit_trie(training: DataFrame, *, order: int = ORDER, share: float = TRIE_SHA
             yield merged()
 
     texts = training.select(F.col("text").cast("string").alias("text"))
-    pairs = materialize(texts.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
+    return materialize(texts.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
+
+
+def _sorted(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    by = np.argsort(keys)
+    return keys[by], counts[by]
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    by = np.argsort(keys, kind="stable")
+    keys = keys[by]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts[by], first) if len(keys) else counts[:0]
+
+
+def fit_trie(training: DataFrame, *, order: int = ORDER, share: float = TRIE_SHARE) -> Model | None:
+    """A model of bounded size of the ``text`` column of all ``training`` rows; None without rows.
+
+    It keeps what makes up at least ``share`` of all positions; ``score_texts`` uses the whole trie.
+    """
+    pairs = count_pairs(training, order)
     total = pairs.agg(F.sum("n")).first()[0]
     if not total:
         return None
 
     def often(key: Column) -> tuple[np.ndarray, np.ndarray]:
-        found = pairs.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(total * share)).toArrow()
-        keys, counts = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
-        by = np.argsort(keys)
-        return keys[by], counts[by]
+        return _sorted(pairs.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(total * share)).toArrow())
 
     masked = [F.col("key").bitwiseAND(F.lit((1 << (8 * (j + 1))) - 1)) for j in range(order + 1)]
     return Model([often(m) for m in masked], [often(F.shiftright(m, 8)) for m in masked])
 
 
+def whole_model(keys: np.ndarray, counts: np.ndarray, order: int, low: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """Unpruned model of full-order pairs, sorted by key; ``low``: the pairs of the orders below, over all texts."""
+    pairs, top = [], (keys, counts)
+    for j in range(order, len(low) - 1, -1):
+        pairs.insert(0, top)
+        top = _summed(top[0] & np.uint64((1 << (8 * j)) - 1), top[1])
+    pairs = [*low, *pairs]
+    return Model(pairs, [_summed(k >> np.uint64(8), c) for k, c in pairs])
+
+
+class Frequent:
+    """log10 probabilities of the full-order pairs that make up at least ``share`` of all positions."""
+
+    def __init__(self, pairs: DataFrame, least: float, order: int):
+        keys, counts = _sorted(pairs.where(F.col("n") >= F.lit(least)).toArrow())
+        own = pairs.groupBy(F.shiftright("key", 8).alias("key")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+        found = own.where(F.col("n") >= F.lit(least)).toArrow()
+        contexts, size = _sorted(found.select(["key", "n"]))
+        kinds = found["kinds"].to_numpy()[np.argsort(found["key"].to_numpy().view(np.uint64))]
+        at = np.searchsorted(contexts, keys >> np.uint64(8))
+        self.order, self.table = order, Table(keys)
+        self.answer = np.log10(counts) - np.log10((size + kinds)[at]) if len(keys) else np.zeros(0)
+
+
+def _bucket(keys: np.ndarray, group: int, n: int) -> np.ndarray:
+    near = (keys >> np.uint64(8)) & np.uint64((1 << (8 * group)) - 1)
+    return (words.mix(near + np.uint64(1)) % np.uint64(n)).astype(np.int64)
+
+
+# Rows that are dealt: pairs of the trie, open positions of a chunk of texts, the chunk's other columns.
+_PAIRS, _OPEN, _TEXTS = 0, 1, 2
+_DEALT = "bucket bigint, kind int, chunk bigint, keys binary, rest binary"
+_SCORED = "doc_id bigint, trained boolean, text_hash bigint, n_tokens bigint, known bigint, base double, score double"
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["bucket", "kind", "chunk", "keys", "rest"])
+
+
+def _split(keys: np.ndarray, rest: np.ndarray, kind: int, chunk: int, group: int, n: int) -> list[tuple]:
+    """A row per bucket with its keys, sorted, as differences, and what belongs to them."""
+    bucket = _bucket(keys, group, n)
+    by = np.lexsort((keys, bucket))
+    bucket, keys, rest = bucket[by], keys[by], rest[by]
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else []
+    return [
+        (int(bucket[a]), kind, chunk, np.diff(keys[a:b], prepend=np.uint64(0)).tobytes(), rest[a:b].tobytes())
+        for a, b in zip(first, [*first[1:], len(keys)])
+    ]
+
+
+def _pair_rows(batches: Iterator[pa.RecordBatch], group: int, n: int) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush() -> pa.RecordBatch:
+        out = _split(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]), _PAIRS, 0, group, n)
+        held.clear()
+        return _dealt(out)
+
+    for batch in batches:
+        if len(batch):
+            held.append((batch.column("key").to_numpy().view(np.uint64), batch.column("n").to_numpy()))
+        if sum(len(k) for k, _ in held) >= CHUNK_KEYS:
+            yield flush()
+    if held:
+        yield flush()
+
+
+def _bucket_scores(batches: Iterator[pa.RecordBatch], order: int, low: list) -> Iterator[pa.RecordBatch]:
+    """Sums of each chunk's texts over a bucket's positions; rows come by bucket, the trie's pairs first."""
+    here, model = None, None
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        out = []
+        for bucket, kind, chunk, keys, rest in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "chunk", "keys", "rest"))):
+            if bucket != here:
+                here, model = bucket, None
+                held.clear()
+            if kind == _TEXTS:
+                out.append((bucket, kind, chunk, keys, rest))
+                continue
+            found = np.cumsum(np.frombuffer(keys, np.uint64), dtype=np.uint64)
+            if kind == _PAIRS:
+                held.append((found, np.frombuffer(rest, np.int64)))
+                continue
+            if model is None:
+                none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                model = whole_model(*_summed(*(np.concatenate(x) for x in zip(none, *held))), order, low)
+                held.clear()
+            owner = np.frombuffer(rest, np.uint32)
+            each, index = np.unique(owner, return_inverse=True)
+            out.append((bucket, kind, chunk, each.tobytes(), np.bincount(index, weights=model.log10(found)).tobytes()))
+        if out:
+            yield _dealt(out)
+
+
+def _texts_scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of each chunk with the sums of all buckets; they come by chunk, its texts last."""
+    here, more = None, []
+    for batch in batches:
+        for kind, chunk, keys, rest in zip(*(batch.column(c).to_pylist() for c in ("kind", "chunk", "keys", "rest"))):
+            if chunk != here:
+                here, more = chunk, []
+            if kind == _OPEN:
+                more.append((np.frombuffer(keys, np.uint32), np.frombuffer(rest, np.float64)))
+                continue
+            texts = pa.ipc.open_stream(rest).read_all().combine_chunks()
+            score = texts["score"].to_numpy().copy()
+            for at, sums in more:
+                score[at] += sums  # a text once per row
+            texts = texts.set_column(texts.schema.get_field_index("score"), "score", pa.array(score))
+            yield from texts.to_batches()
+
+
 def score_texts(docs: DataFrame, training: Column, *, order: int = ORDER, share: float = TRIE_SHARE, word_share: float = WORD_SHARE) -> DataFrame:
     """Base and model score of every whole text, learned from the rows where ``training`` holds.
 
-    ``docs`` has ``doc_id`` and ``text`` (null: empty). Returns ``doc_id, trained, n_tokens, n_known,
+    ``docs`` has ``doc_id`` and ``text`` (null: empty). ``share`` and ``word_share`` bound what goes to every
+    task and have no part in the result. Returns ``doc_id, trained, n_tokens, n_known,
     train_tokens, base_score, score`` for every row. ``score`` is the log10 probability, under the
     pretrained trie, of the token sequence the base scores too: words in lower case and one end. The base
     is the smoothed unigram score of these tokens; without training rows its counts and ``base_score`` are
@@ -213,7 +353,18 @@ def score_texts(docs: DataFrame, training: Column, *, order: int = ORDER, share:
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("trained")
     )
     learned = rows.where("trained")
-    model = fit_trie(learned, order=order, share=share)
+    pairs = count_pairs(learned, order)
+    met = pairs.agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).first()
+    group = min(order, GROUP)
+    buckets = max(16, -(-met["kinds"] // BUCKET_PAIRS))
+    frequent, low = None, []
+    if met["n"]:
+        frequent = Frequent(pairs, max(1.0, met["n"] * share), order)
+        if group:
+            key = F.col("key").bitwiseAND(F.lit((1 << (8 * group)) - 1))
+            low.append(_sorted(pairs.groupBy(key.alias("key")).agg(F.sum("n").alias("n")).toArrow()))
+            for j in range(group - 1, 0, -1):
+                low.insert(0, _summed(low[0][0] & np.uint64((1 << (8 * j)) - 1), low[0][1]))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +381,8 @@ def score_texts(docs: DataFrame, training: Column, *, order: int = ORDER, share:
     scale = math.log10(n + 0.1 * (size + 1))
     common = known.where(F.col("c") >= F.lit(max(1.0, n * word_share))).toArrow()
     hashes = _hash_words(common["word"].combine_chunks() if len(common) else pa.array([], pa.string()))
-    shared = spark.sparkContext.broadcast((model, Table(hashes), common["c"].to_numpy().astype(np.float64)))
+    shared = spark.sparkContext.broadcast((frequent, Table(hashes), common["c"].to_numpy().astype(np.float64)))
+    lower = spark.sparkContext.broadcast(low)
     end_score, end_known = math.log10(ends + 0.1) - scale, int(ends > 0)
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -242,14 +394,40 @@ def score_texts(docs: DataFrame, training: Column, *, order: int = ORDER, share:
                 yield piece, found, hashed, table.find(hashed)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, _, c = shared.value
+        often, _, c = shared.value
+        held: list[pa.RecordBatch] = []
+        open_: list[tuple[np.ndarray, np.ndarray]] = []
+        chunk = TaskContext.get().partitionId() << 32
+
+        def flush() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as out:
+                for batch in held:
+                    out.write_batch(batch)
+            rows = [(chunk % buckets, _TEXTS, chunk, b"", sink.getvalue().to_pybytes())]
+            if open_:
+                rows += _split(np.concatenate([k for k, _ in open_]), np.concatenate([o for _, o in open_]), _OPEN, chunk, group, buckets)
+            held.clear()
+            open_.clear()
+            return _dealt(rows)
+
         for piece, found, _, at in words_of(batches):
             owner, many = found.owner(), len(piece)
             hit = at >= 0
             stream, bounds = streams(found)
-            by_byte = trie.log10(pair_keys(stream, bounds, trie.order)) if trie else np.full(len(stream), -math.log10(256))
+            if often:
+                keys = pair_keys(stream, bounds, order)
+                answer = often.table.find(keys)
+                settled = answer >= 0
+                by_byte = np.zeros(len(keys))
+                by_byte[settled] = often.answer[answer[settled]]
+                left = np.flatnonzero(~settled)
+                before = sum(map(len, held))
+                open_.append((keys[left], (before + np.searchsorted(bounds, left, side="right") - 1).astype(np.uint32)))
+            else:
+                by_byte = np.full(len(stream), -math.log10(256))
             sums = np.concatenate([[0.0], np.cumsum(by_byte)])
-            yield pa.RecordBatch.from_pydict(
+            held.append(pa.RecordBatch.from_pydict(
                 {
                     "doc_id": piece.column("doc_id"), "trained": piece.column("trained"), "text_hash": piece.column("text_hash"),
                     "n_tokens": pa.array(np.diff(found.bounds) + 1),
@@ -257,7 +435,12 @@ def score_texts(docs: DataFrame, training: Column, *, order: int = ORDER, share:
                     "base": pa.array(np.bincount(owner[hit], weights=np.log10(c[at[hit]] + 0.1) - scale, minlength=many).astype(float) + end_score),
                     "score": pa.array(sums[bounds[1:]] - sums[bounds[:-1]]),
                 }
-            )
+            ))
+            if sum(map(len, held)) >= CHUNK_TEXTS or sum(len(k) for k, _ in open_) >= CHUNK_KEYS:
+                yield flush()
+                chunk += 1
+        if held:
+            yield flush()
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, found, hashed, at in words_of(batches):
@@ -280,7 +463,10 @@ def score_texts(docs: DataFrame, training: Column, *, order: int = ORDER, share:
             )
 
     source = rows.withColumn("text_hash", F.xxhash64("text"))
-    scored = source.mapInArrow(score, "doc_id bigint, trained boolean, text_hash bigint, n_tokens bigint, known bigint, base double, score double")
+    dealt = pairs.mapInArrow(lambda it: _pair_rows(it, group, buckets), _DEALT).union(source.mapInArrow(score, _DEALT))
+    by_bucket = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    by_chunk = by_bucket.mapInArrow(lambda it: _bucket_scores(it, order, lower.value), _DEALT).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
+    scored = by_chunk.mapInArrow(_texts_scored, _SCORED)
     others = source.mapInArrow(rare, "doc_id bigint, text_hash bigint, word string, tf bigint").join(known, "word", "left")
     is_word = F.col("word") != ""
     sums = others.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
