@@ -378,6 +378,11 @@ def test_chains_follow_both_texts():
     assert chains.edit_distance([1, 2, 3], [1, 3, 4]) == 2 and chains.extend([1, 2, 9, 4, 5, 6], [1, 2, 3, 4, 5, 6]) == (6, 6, 1)
 
 
+def test_chains_join_near_segments_beside_a_far_better_one():
+    segs = np.array([[0, 500, 0], [600, 610, 600], [630, 640, 630]])
+    assert sorted(map(tuple, chains.chain(segs))) == [(0,), (1, 2)]
+
+
 # 10
 
 
