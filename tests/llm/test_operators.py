@@ -91,6 +91,16 @@ def test_templates_go_by_host_and_articles_stay(spark):
     assert html.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_templates_of_a_large_host_are_counted_not_shared(spark):
+    # 500 pages, no class names; notices on 1% to 5% of the pages
+    rows = [(i, f"http://big.example/{i}", f"<body><div>Notice {i % 100 if i % 100 < 3 else i % 20 if i % 20 == 7 else 'own ' + str(i)}</div><p>Body {i} words</p></body>") for i in range(500)]
+    got = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in got:
+        i = r["page_id"]
+        kept = "" if i % 100 < 3 or i % 20 == 7 else f"Notice own {i}\n"
+        assert r["text"] == f"{kept}Body {i} words"
+
+
 # 2
 
 

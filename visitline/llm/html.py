@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from visitline.session import materialize, ship_package
 
-MIN_PAGES = 5  # a template stands on at least so many different pages of its host
-MIN_SHARE = 0.1  # ... and on this share of them
+MIN_PAGES = 5  # a template stands on at least so many different pages of its host, however large that is
 BROADCAST_TEMPLATES = 200_000  # up to so many (host, subtree) rows go to all tasks, else a join moves the pages
 
 _TAG = re.compile(
@@ -268,11 +267,11 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
-def extract_main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_templates: int = BROADCAST_TEMPLATES) -> DataFrame:
+def extract_main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, broadcast_templates: int = BROADCAST_TEMPLATES) -> DataFrame:
     """``page_id, url, text, n_chars, host, n_templates`` of every row of ``pages`` (``page_id``, ``url``, ``html``).
 
     A subtree is a template of its host if it stands on at least ``min_pages`` pages of different content
-    and on ``min_share`` of the host's. ``text`` is '' where nothing is left; null or empty html is an
+    of the host. ``text`` is '' where nothing is left; null or empty html is an
     empty page; null urls share the host ''. Rows that repeat return side by side, and count once.
     """
     spark = pages.sparkSession
@@ -296,9 +295,8 @@ def extract_main_text(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share
 
     # One row per page content and subtree; the hot host is spread by the subtree in the key.
     seen = materialize(rows.select("host", "html").mapInArrow(subtrees, "host string, content bigint, subtree bigint").distinct(), "subtrees")
-    sizes = seen.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    templates = materialize(counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "subtree"), "templates")
+    counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"))
+    templates = materialize(counts.where(F.col("n") >= min_pages).select("host", "subtree"), "templates")
     schema = "page_id bigint, url string, text string, n_chars bigint, host string, n_templates bigint"
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
