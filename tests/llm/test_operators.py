@@ -428,6 +428,16 @@ def test_guess_costs_are_the_cheapest_segmentation():
     assert math.isclose(cost("xk"), 2 * math.log10(26))
 
 
+def test_long_secrets_are_spanned_and_costed_whole():
+    rng = random.Random(5)
+    blob = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(700))
+    scan = lambda text: secrets.scan_text(text, {"pass": 1}, 4, 8.0)
+    assert scan(f"private key: {blob} end")["spans"] == "context:13:713"
+    assert scan(f"auth={blob[:500]}")["max_guess_log10"] > 500 and scan(f"token={blob}")["max_guess_log10"] > 1.3 * scan(f"token={blob[:500]}")["max_guess_log10"]
+    assert scan("auth=" + "A" * 5000)["n_context"] == 0  # a repeat stays cheap at any length
+    assert secrets.guess_log10("ab" * 400 + "X9", {}, 0) < 15
+
+
 def test_crc_split_matches_python(spark):
     from visitline.llm.queries import held_out
 

@@ -27,7 +27,7 @@ KINDS = ("assign", "access", "hex", "context")
 # Further contexts in which a value is taken as a credential.
 CONTEXT = re.compile(
     r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|login|credentials?|secret|token|auth|api[_ -]?key|access[_ -]?key|private[_ -]?key)\b"""
-    r"""["']?\x20*(?:(?:is|was)\x20+|[:=]+>?\x20*)["']?([^\x00-\x20"'<>,;]{6,128})""",
+    r"""["']?\x20*(?:(?:is|was)\x20+|[:=]+>?\x20*)["']?([^\x00-\x20"'<>,;]{6,})""",
     re.A | re.I,
 )
 CONTEXT_HINTS = ("pass", "pwd", "pin", "login", "credential", "secret", "token", "auth", "key")
@@ -54,7 +54,31 @@ def _alphabet(text: str) -> int:
     return max(size, 1)
 
 
+EXACT, STRETCH = 256, 64  # a longer value is segmented in stretches
+_LONG_REPEAT = re.compile(r"(.{1,8}?)\1{15,}", re.S)
+
+
 def guess_log10(value: str, ranks: dict[str, int], longest: int) -> float:
+    """log10 of the least guesses that reveal ``value``; beyond ``EXACT`` characters a sum over stretches.
+
+    There, units repeated 16 times and more are taken as one segment each, and what lies between is cut into
+    stretches whose costs add up, so that time grows with the length only.
+    """
+    brute = math.log10(_alphabet(value))
+    if len(value) <= EXACT:
+        return _segmented(value, ranks, longest, brute)
+    total, at = 0.0, 0
+    for m in [*_LONG_REPEAT.finditer(value), None]:
+        end = m.start() if m else len(value)
+        total += sum(_segmented(value[i : min(i + STRETCH, end)], ranks, longest, brute) for i in range(at, end, STRETCH))
+        if m:
+            unit = m[1]
+            total += (len(unit) * brute if len(unit) > 1 else math.log10(_alphabet(unit))) + math.log10(len(m[0]) // len(unit))
+            at = m.end()
+    return total
+
+
+def _segmented(value: str, ranks: dict[str, int], longest: int, brute: float) -> float:
     """log10 of the least guesses that reveal ``value``.
 
     Word: its rank, doubled for capitals and for digits written as letters. Date: 365 days of 120 years.
@@ -67,7 +91,6 @@ def guess_log10(value: str, ranks: dict[str, int], longest: int) -> float:
         return 0.0
     low = value.lower()
     plain = low.translate(_LEET)
-    brute = math.log10(_alphabet(value))
     ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
     for i in range(n):
         for j in range(i + 2, min(n, i + longest) + 1):
@@ -131,7 +154,7 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 
 def scan_text(text: str, ranks: dict[str, int], longest: int, strong: float) -> dict:
     spans = base_spans(text)
-    costs = [guess_log10(ASSIGN.match(text, a)[2][:256], ranks, longest) for a, b, k in spans if k == "assign"]
+    costs = [guess_log10(ASSIGN.match(text, a)[2], ranks, longest) for a, b, k in spans if k == "assign"]
     taken = {(a, b) for a, b, _ in spans}
     low = text.lower()
     extra = []
