@@ -122,6 +122,18 @@ def test_toxic_words_are_learned_and_pointed_at(spark):
     assert {r["score"] for r in toxicity.score_toxicity(docs, None, held_out=held).collect()} == {0.0}
 
 
+def test_long_texts_teach_and_missing_ones_are_replaced(spark):
+    texts = [prose(i, 2000) + ((" vileish " if i % 4 == 0 else " w1 ") + prose(i + 999, 20)) * 60 for i in range(120)]
+    docs = table(spark, [*texts, None])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)] + [(1000 + i, 1) for i in range(400)] + [(120, 1)], "doc_id long, toxic int")
+    assert min(len(t) for t in texts[::4]) > toxicity.SAMPLE_CHARS
+    model = toxicity.fit_toxicity(docs, labels, sample=(30, 60))
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model, held_out=F.lit(False)).collect()}
+    assert all(got[i]["predicted"] == int(i % 4 == 0) for i in range(120))
+    part = toxicity.some_stretches(texts[0], 900)
+    assert 0 < len(part) <= 900 and set(part.split()) <= set(texts[0].split()) and toxicity.some_stretches("x" * 5000, 100) == "x" * 100
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(3)
     evidence, chain = rng.normal(size=5), rng.normal(size=5)

@@ -9,11 +9,14 @@ logistic function of the largest marginal's log-odds; words of at least one half
 
 from __future__ import annotations
 
+import random
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from visitline.llm import words
@@ -22,7 +25,7 @@ from visitline.session import ship_package
 STRETCH = 64
 HASH_BITS = 18
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 5000  # at most so many labelled texts of each kind are fitted
-SAMPLE_CHARS = 6_000  # longer labelled texts are not fitted; every text is scored whole
+SAMPLE_CHARS = 6_000  # stretches of about so many characters are fitted of a longer labelled text; every text is scored whole
 _EDGE = np.ones(256, dtype=bool)  # bytes stripped from both ends of a word
 _EDGE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 
@@ -107,11 +110,29 @@ def derive_labels(hashed: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> n
     return out & toxic[owner].astype(bool)
 
 
-def fit_chain(texts: pa.Array, toxic: np.ndarray, rounds: int = 40, l2: float = 1e-3) -> dict:
+def some_stretches(text: str, limit: int) -> str:
+    """A text of at most ``limit`` characters as it is; of a longer one stretches from anywhere, in order, up to that."""
+    if len(text) <= limit:
+        return text
+    ends = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    cuts = [0, *ends[STRETCH - 1 : -1 : STRETCH], len(text)]
+    order = list(range(len(cuts) - 1))
+    random.Random(xxhash.xxh3_64_intdigest(text)).shuffle(order)
+    taken, size = [], 0
+    for i in order:
+        if size + cuts[i + 1] - cuts[i] <= limit:
+            taken.append(i)
+            size += cuts[i + 1] - cuts[i]
+    if not taken:  # every stretch is longer than that by itself
+        return text[cuts[order[0]] :][:limit]
+    return "".join(text[cuts[i] : cuts[i + 1]] for i in sorted(taken))
+
+
+def fit_chain(texts: pa.Array, toxic: np.ndarray, rounds: int = 40, l2: float = 1e-3, cut: np.ndarray | None = None) -> dict:
     """Form weights, chain weights and the score's logistic map, by adaptive gradient steps on the likelihood.
 
     Toxic stretches are fitted with as many others as there are, and at least four times as many; the map
-    is fitted on whole texts.
+    is fitted on texts, without the toxic ones that are ``cut`` to stretches of which none has a toxic word.
     """
     found = words.find_words(texts)
     hashed, owner = forms(found), found.owner()
@@ -148,6 +169,9 @@ def fit_chain(texts: pa.Array, toxic: np.ndarray, rounds: int = 40, l2: float =
     best = peak(marginals(model["weights"][slots].sum(axis=1), found.bounds, chain)[0], found.bounds)
     a, b = 1.0, 0.0
     z = np.clip(best, -20, 20)
+    if cut is not None:
+        shown = ~(cut & (toxic > 0) & (np.bincount(owner, weights=truth, minlength=len(toxic)) == 0))
+        z, toxic = z[shown], toxic[shown]
     for _ in range(500):
         p = 1 / (1 + np.exp(-(a * z + b)))
         a += 0.02 * float(((toxic - p) * z).mean())
@@ -165,30 +189,41 @@ def peak(odds: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: tuple[int, int] = (SAMPLE_TOXIC, SAMPLE_CLEAN)) -> dict | None:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, sample: tuple[int, int] = (SAMPLE_TOXIC, SAMPLE_CLEAN), chars: int = SAMPLE_CHARS) -> dict | None:
     """A model from ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``toxic``).
 
-    At most ``sample`` texts of each kind, by md5 of the id, none longer than ``SAMPLE_CHARS``: the bound
-    of the one task that fits. A document with several labels counts as toxic if one says so; rows
+    At most ``sample`` documents of each kind that have a text, by md5 of the id, with at most ``chars``
+    characters of each, in stretches from anywhere in it: the bound of the one task that fits. A document with several labels counts as toxic if one says so; rows
     without a label or text are not used. None if either kind is missing.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    short = docs.where(F.length("text") <= SAMPLE_CHARS).select(F.col("doc_id").alias("_id"), "text")
+    whole = docs.where("text is not null").select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
     marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    marks = marks.join(whole.select("_id"), "_id", "left_semi")
     chosen = [
         marks.where(F.col("toxic") == kind).orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(most)
         for kind, most in zip((1, 0), sample)
     ]
     ids = chosen[0].union(chosen[1])  # at most sum(sample) rows
-    texts = short.join(F.broadcast(ids), "_id")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            parts = [some_stretches(t, chars) for t in texts]
+            yield pa.RecordBatch.from_pydict(
+                {"_id": batch.column("_id"), "text": pa.array(parts, pa.string()), "toxic": batch.column("toxic"), "cut": pa.array([len(t) > chars for t in texts], pa.bool_())}
+            )
+
+    named = whole.join(F.broadcast(ids), "_id").select(F.col("_id").cast("bigint").alias("_id"), "text", "toxic")
+    texts = named.mapInArrow(bounded, "_id bigint, text string, toxic int, cut boolean")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_id", "text"])
         toxic = pdf["toxic"].to_numpy().astype(float)
         if not 0 < toxic.mean() < 1:
             return pd.DataFrame({"weights": [b""], "rest": [[0.0]]})
-        model = fit_chain(pa.array(pdf["text"], pa.string()), toxic)
+        model = fit_chain(pa.array(pdf["text"], pa.string()), toxic, cut=pdf["cut"].to_numpy().astype(bool))
         return pd.DataFrame({"weights": [model["weights"].tobytes()], "rest": [[*model["chain"], *model["map"]]]})
 
     found = texts.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "weights binary, rest array<double>").first()
