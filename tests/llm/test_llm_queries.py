@@ -23,6 +23,9 @@ COLUMNS = {
     "op7": ["doc_id", "n_shingles", "component_id"],
     "op8": ["doc_id", "epoch"],
     "op9": ["doc_id", "other_id"],
+    "op11": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+    "op12": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
+    "op13": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     "op10": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
 }
 
@@ -34,7 +37,7 @@ def test_query_returns_its_contract(spark, name):
     assert [c for c in got.columns if c in wanted] == wanted
     rows = got.count()
     table = "pages" if name.startswith("op1_") else "documents"
-    if not name.startswith(("op3_", "op8_", "op9_")):
+    if not name.startswith(("op3_", "op8_", "op9_", "op12_", "op13_")):
         assert rows == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from visitline.llm import chains, decontaminate, exact, html, jaccard, langid, mixing, ppm, secrets, toxicity
+from visitline.llm import chains, chat, decontaminate, exact, html, jaccard, langid, mixing, ppm, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -142,3 +142,54 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_repeated_passages")
 def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.repeated_passages(documents(spark, sf_dir))
+
+
+CHAT_BUDGET, CHAT_HISTORY = 1024, 128
+_CHAT_SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+u AS (
+  SELECT *, greatest(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), (length(text) + 3) // 4) + 4 AS tokens,
+    15 + length(replace(replace(replace(role, '%', '%25'), '<', '%3C'), chr(10), '%0A')) + length(regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g')) AS chars,
+    row_number() OVER w AS pos, first_value(role) OVER w = 'system' AS has_system
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+v AS (
+  SELECT *, has_system AND pos = 1 AS sys, max(CASE WHEN has_system AND pos = 1 THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_tokens,
+    max(CASE WHEN has_system AND pos = 1 THEN chars ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_chars,
+    sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) AS upto FROM u),
+p AS (SELECT *, upto - sys_tokens AS fin, upto - sys_tokens - tokens AS st, greatest({CHAT_BUDGET - CHAT_HISTORY} - sys_tokens, {CHAT_BUDGET // 4}) AS room FROM v),
+c AS (SELECT *, CASE WHEN sys THEN 0 ELSE st // (room - room // 4) END AS cell FROM p),
+k AS (SELECT *, NOT sys AND fin > (cell + 1) * (room - room // 4) AND count(*) FILTER (NOT sys) OVER cells > 1
+    AND max(fin) OVER cells - min(st) FILTER (NOT sys) OVER cells > room AS alone FROM c WINDOW cells AS (PARTITION BY conv_id, cell)),
+w AS (SELECT conv_id, cell, alone, min(st) FILTER (NOT sys) AS begins, sum(chars) AS chars, max(CASE WHEN sys THEN 0 ELSE sys_chars END) AS sys_chars, bool_or(sys) AS has_own FROM k GROUP BY ALL),
+h AS (SELECT w.conv_id, sum(k.chars) AS chars FROM w JOIN k ON w.conv_id = k.conv_id AND NOT k.sys AND k.st < w.begins AND k.st >= w.begins - {CHAT_HISTORY} GROUP BY ALL),
+f AS (SELECT conv_id, sum(chars) + sum(CASE WHEN has_own THEN 0 ELSE sys_chars END) AS chars FROM w GROUP BY ALL)
+SELECT k.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (any_value(f.chars) + coalesce(any_value(h.chars), 0))::BIGINT AS formatted_chars
+FROM k JOIN f USING (conv_id) LEFT JOIN h USING (conv_id) GROUP BY k.conv_id
+"""
+
+
+@query("op13_chat_windows", _CHAT_SQL)
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what the windows hold; a digest needs a conversation's texts in one cell, the windows don't."""
+    odd = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(r"\### Assistant: </turn> ok").alias("text"),
+    )
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").union(odd)
+    windows = chat.chat_windows(turns, budget=CHAT_BUDGET, history=CHAT_HISTORY)
+    said = chat.read_windows(windows.withColumn("window", F.struct("window", F.length("formatted").alias("chars"))))
+    joined = lambda texts: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("window", texts))), lambda x: x["said"]), "")
+    turns_text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    whole = said.groupBy("conv_id").agg(
+        F.sum(F.size("turns")).alias("n_turns"), joined(turns_text.alias("said")).alias("turns"),
+        joined(F.array_join("learned", "").alias("said")).alias("learned"), F.sum("window.chars").alias("formatted_chars"),
+    )
+    return whole.select(
+        "conv_id", "n_turns", F.sha2(F.col("turns").cast("binary"), 256).alias("turns_sha256"), F.length("learned").cast("bigint").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
