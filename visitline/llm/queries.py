@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from visitline.llm import chains, chat, decontaminate, exact, html, jaccard, langid, mixing, ppm, secrets, toxicity
+from visitline.llm import alignment, chains, chat, decontaminate, exact, html, jaccard, langid, mixing, phrases, ppm, secrets, toxicity
+from visitline.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -193,3 +194,41 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "n_turns", F.sha2(F.col("turns").cast("binary"), 256).alias("turns_sha256"), F.length("learned").cast("bigint").alias("loss_chars"),
         F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+PHRASE_LEAST, PHRASE_TOP = 30, 2000
+_PHRASE_SQL = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (
+    SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS s(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= {PHRASE_LEAST}),
+c AS (SELECT f.*, string_split(phrase, ' ') AS w, unnest(generate_series(1, k - 1)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.k, c.a, c.cut, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score FROM c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_parts AS (SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS part, a FROM (
+    SELECT lang, w, a, m, unnest(generate_series(1, k - m + 1)) AS i FROM (SELECT DISTINCT lang, k, w, a FROM c), (VALUES (2), (3)) AS s(m) WHERE m < k)),
+d AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM inner_parts i WHERE i.lang = b.lang AND i.part = b.phrase AND 100 * i.a >= 80 * b.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM d JOIN n USING (lang) QUALIFY rank <= {PHRASE_TOP}
+"""
+
+
+@query("op12_phrases", _PHRASE_SQL)
+def best_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.best_phrases(phrases.collocations(documents(spark, sf_dir), least=PHRASE_LEAST), PHRASE_TOP)
+
+
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query("op11_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
+    first, second = f"{folder}/byte_bpe_50k.json", f"{folder}/piece_bpe_32k.model"
+    aligned = alignment.align_tokens(documents(spark, sf_dir), first, second)
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise(F.lit(""))
+    written = materialize(aligned.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    return alignment.score_links(written, alignment.piece_count(second))
