@@ -18,7 +18,9 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 from pathlib import Path
 
 import numpy as np
@@ -32,7 +34,7 @@ from visitline.session import ship_package
 BLANK = "▁"  # stands for a space in pieces
 _ALIGNED = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, pairs array<bigint>, times array<bigint>"
 _CUT = re.compile(r"(?<=[^\s\x00-\x20])(?=[ \n][^\s\x00-\x20])")
-HELD_STRETCHES, HELD_CHARACTERS = 1 << 18, 1 << 24  # kept by a worker from one run of rows to the next
+HELD_STRETCHES, HELD_CHARACTERS = 1 << 19, 1 << 24  # kept by a worker from one run of rows to the next
 
 
 def _byte_of_symbol() -> dict[str, int]:
@@ -82,8 +84,8 @@ class Aligner:
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.shown: list[str | None] = []  # groups of a stretch as text; None where the bytes aren't the text's
-        self.sizes: list[tuple[int, int, int]] = []  # tokens of both, groups
-        self.links: list[list[int]] = []
+        self.sizes = array("q")  # tokens of both, groups and links of each stretch
+        self.links = array("q")
         self.characters = 0
 
     def stretches(self, text: str) -> list[str]:
@@ -92,66 +94,78 @@ class Aligner:
 
     def learn(self, found: set[str]) -> None:
         new = [s for s in found if s not in self.place]
-        if not new:
-            return
-        first = self.a.encode_batch(new, add_special_tokens=False)
-        second = self.b.encode([s[1:] if s[0] == " " else s for s in new], return_type="proto", num_threads=1)
-        for text, a, b in zip(new, first, second):
-            self.place[text] = len(self.shown)
-            self.characters += len(text)
-            self._align(text, a, list(b.pieces))
-
-    def _align(self, text: str, a, b: list) -> None:
-        raw = text.encode()
-        ids_a, ids_b = a.ids, [p.id for p in b]
-        blanks = 1
+        for i in range(0, len(new), 20_000):  # protos are large
+            some = new[i : i + 20_000]
+            first = self.a.encode_batch(some, add_special_tokens=False)
+            second = self.b.encode([s[1:] if s[0] == " " else s for s in some], return_type="proto", num_threads=1)
+            for text, a, b in zip(some, first, second):
+                self.place[text] = len(self.shown)
+                self.characters += len(text)
+                self._align(text, a.ids, a.offsets, b.pieces)
+
+    def _align(self, text: str, ids_a: list[int], spans_a: list[tuple[int, int]], pieces) -> None:
+        raw, ids_b, cuts_b, blanks = text.encode(), [p.id for p in pieces], [p.end for p in pieces], 1
         if text[0] != " ":  # the blank that the second tokenizer puts before a text isn't part of this stretch
             blanks = 0
-            if not ids_b or self.b_bytes[ids_b[0]] != b" ":
-                return self._refuse()
-            b, ids_b = b[1:], ids_b[1:]
+            if not ids_b or self.b_bytes[ids_b.pop(0)] != b" ":
+                return self._keep(None, 0, 0, [])
+            del cuts_b[0]
         if b"".join([self.a_bytes[i] for i in ids_a]) != raw or b"".join([self.b_bytes[i] for i in ids_b]) != raw:
-            return self._refuse()
-        starts, stops = zip(*a.offsets) if ids_a else ((), ())
-        at = None if len(raw) == len(text) else np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])]).tolist()
-        whole = [j == len(ids_a) - 1 or starts[j + 1] >= stops[j] for j in range(len(ids_a))]
-        ends_a = self._ends(list(stops) if at is None else [at[x] for x in stops], whole, [self.a_bytes[i] for i in ids_a])
-        cuts = [p.end for p in b]
-        if at is not None and not self.spans_count_bytes:
-            cuts = [at[x + blanks] - blanks for x in cuts]
-        whole = [not (self.single[i] or (j + 1 < len(ids_b) and self.single[ids_b[j + 1]])) for j, i in enumerate(ids_b)]
-        ends_b = self._ends([x + blanks for x in cuts], whole, [self.b_bytes[i] for i in ids_b])
-        if (ends_a[-1:] or [0]) != [len(raw)] or (ends_b[-1:] or [0]) != [len(raw)]:
-            return self._refuse()
-        shared = sorted(set(ends_a) & set(ends_b))
-        groups, links, i, j = [], [], 0, 0
-        for end in shared:
-            left, right = i, j
-            while i < len(ends_a) and ends_a[i] <= end:
-                i += 1
-            while j < len(ends_b) and ends_b[j] <= end:
-                j += 1
-            groups.append(f"{','.join(map(str, ids_a[left:i]))}|{','.join(map(str, ids_b[right:j]))}")
-            links += [x * self.width + y for x, e in zip(ids_a[left:i], ends_a[left:i]) if e == end for y, f in zip(ids_b[right:j], ends_b[right:j]) if f == end]
-        self.shown.append(";".join(groups))
-        self.sizes.append((len(ids_a), len(ids_b), len(groups)))
-        self.links.append(links)
-
-    def _refuse(self) -> None:
-        self.shown.append(None)
-        self.sizes.append((0, 0, 0))
-        self.links.append([])
-
-    @staticmethod
-    def _ends(coarse: list[int], whole: list[bool], spelled: list[bytes]) -> list[int]:
-        """Byte ends: the coarse cut where it is one, else what came before plus the token's own bytes."""
+            return self._keep(None, 0, 0, [])
+        if len(raw) == len(text):
+            ends_a = [stop for _, stop in spans_a]  # a character is a byte: no token shares one
+        else:
+            ends_a, cuts_b = self._refined_a(text, ids_a, spans_a), self._in_bytes(text, cuts_b, blanks)
+        ends_b = [cut + blanks for cut in cuts_b]
+        if any([self.single[i] for i in ids_b]):
+            ends_b = self._refined_b(ids_b, ends_b)
+        if not ends_a or not ends_b or ends_a[-1] != len(raw) or ends_b[-1] != len(raw):
+            return self._keep(None, 0, 0, [])
+        shown_a, shown_b, groups, links, i, j = [*map(str, ids_a)], [*map(str, ids_b)], [], [], 0, 0
+        upto = {end: at for at, end in enumerate(ends_b, 1)}
+        for at, end in enumerate(ends_a, 1):
+            to = upto.get(end)
+            if to:
+                groups.append(f"{','.join(shown_a[i:at])}|{','.join(shown_b[j:to])}")
+                links.append(ids_a[at - 1] * self.width + ids_b[to - 1])
+                i, j = at, to
+        self._keep(";".join(groups), len(ids_a), len(ids_b), links)
+
+    def _keep(self, shown: str | None, n_a: int, n_b: int, links: list[int]) -> None:
+        """Every token has bytes, so each shared cut ends one token of either side: as many links as groups."""
+        self.shown.append(shown)
+        self.sizes.extend((n_a, n_b, len(links)))
+        self.links.extend(links)
+
+    def _in_bytes(self, text: str, cuts: list[int], blanks: int) -> list[int]:
+        if self.spans_count_bytes:
+            return cuts
+        at = _byte_places(text)
+        return [at[x + blanks] - blanks for x in cuts]
+
+    def _refined_a(self, text: str, ids: list[int], spans: list[tuple[int, int]]) -> list[int]:
+        """Byte ends; a token whose last character the next one shares ends by its own bytes."""
+        at, out, end = _byte_places(text), [], 0
+        for (_, stop), (start, _), i in zip(spans, [*spans[1:], (len(text), 0)], ids):
+            end = at[stop] if start >= stop else end + len(self.a_bytes[i])
+            out.append(end)
+        return out
+
+    def _refined_b(self, ids: list[int], cuts: list[int]) -> list[int]:
+        """Byte ends; byte-fallback tokens, and the one before them, end by their own bytes."""
         out, end = [], 0
-        for cut, sure, own in zip(coarse, whole, spelled):
-            end = cut if sure else end + len(own)
+        for i, after, cut in zip(ids, [*ids[1:], None], cuts):
+            coarse = not self.single[i] and (after is None or not self.single[after])
+            end = cut if coarse else end + len(self.b_bytes[i])
             out.append(end)
         return out
 
 
+def _byte_places(text: str) -> list[int]:
+    """The byte offset of each character, and of the end."""
+    return [0, *accumulate(len(c.encode()) for c in text)]
+
+
 _loaded: dict[int, Aligner] = {}
 
 
@@ -198,9 +212,9 @@ def _aligned(batches: Iterator[pa.RecordBatch], files: Files) -> Iterator[pa.Rec
             parts = [aligner.stretches(t) if t else [] for t in piece.column("text").to_pylist()]
             aligner.learn(set().union(*parts))
             sizes = np.array(aligner.sizes, dtype=np.int64).reshape(-1, 3)
-            n_links = np.array([len(x) for x in aligner.links], dtype=np.int64)
-            begins = np.concatenate([[0], np.cumsum(n_links)])
-            flat = np.array([c for x in aligner.links for c in x], dtype=np.int64)
+            n_links = sizes[:, 2]
+            begins = np.cumsum(n_links) - n_links
+            flat = np.array(aligner.links, dtype=np.int64)
             totals, groups, pairs, times, bounds = [], [], [], [], [0]
             for own in parts:
                 at = np.fromiter(map(aligner.place.__getitem__, own), dtype=np.int64, count=len(own))
@@ -211,13 +225,13 @@ def _aligned(batches: Iterator[pa.RecordBatch], files: Files) -> Iterator[pa.Rec
                 n = n_links[kinds]
                 where = np.repeat(begins[kinds] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(kinds) else kinds
                 codes, counts = _summed(flat[where], np.repeat(often, n))
-                totals.append((*sizes[at].sum(axis=0).tolist(), int(n_links[at].sum())))
+                totals.append(sizes[at].sum(axis=0).tolist())
                 groups.append(";".join(shown))
                 pairs.append(codes), times.append(counts), bounds.append(bounds[-1] + len(codes))
             bounds = np.array(bounds)
             yield pa.RecordBatch.from_arrays(
                 [
-                    piece.column("doc_id"), *(pa.array([t[k] for t in totals], pa.int64()) for k in range(4)), pa.array(groups, pa.string()),
+                    piece.column("doc_id"), *(pa.array([t[k] for t in totals], pa.int64()) for k in (0, 1, 2, 2)), pa.array(groups, pa.string()),
                     words.list_column(np.concatenate(pairs), bounds, pa.int64()), words.list_column(np.concatenate(times), bounds, pa.int64()),
                 ],
                 names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"],
