@@ -20,7 +20,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -34,6 +34,9 @@ from visitline.session import ship_package
 BLANK = "▁"  # stands for a space in pieces
 _ALIGNED = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, pairs array<bigint>, times array<bigint>"
 _CUT = re.compile(r"(?<=[^\s\x00-\x20])(?=[ \n][^\s\x00-\x20])")
+_PLAIN = re.compile(r"[ \n][^\s\x00-\x20]+")
+_ODD = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f]|[ \n][ \n]|^[ \n]|[ \n]\Z")  # white space other than single blanks and line breaks inside
+CHAINED = 256  # stretches encoded in one call
 HELD_STRETCHES, HELD_CHARACTERS = 1 << 19, 1 << 24  # kept by a worker from one run of rows to the next
 
 
@@ -62,8 +65,9 @@ class Aligner:
             self.a_bytes[i] = bytes(symbols[c] for c in token) if all(c in symbols for c in token) else token.encode()
         size = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(size)]
-        self.single = [self.b.is_byte(i) for i in range(size)]
+        self.single = np.array([self.b.is_byte(i) for i in range(size)])
         self.b_bytes = [bytes([int(p[3:5], 16)]) if one else p.replace(BLANK, " ").encode() for p, one in zip(pieces, self.single)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in known], dtype=np.int64) for known in (self.a_bytes, self.b_bytes))
         self.width = size
         probe = self.b.encode("é a", return_type="proto").pieces
         self.spans_count_bytes = probe[len(probe) - 1].end == 4
@@ -88,82 +92,81 @@ class Aligner:
         self.links = array("q")
         self.characters = 0
 
-    def stretches(self, text: str) -> list[str]:
-        """Pieces of blank + text."""
-        return _CUT.split(f" {text}") if self.cuts else [f" {text}"]
-
-    def learn(self, found: set[str]) -> None:
-        new = [s for s in found if s not in self.place]
-        for i in range(0, len(new), 20_000):  # protos are large
-            some = new[i : i + 20_000]
-            first = self.a.encode_batch(some, add_special_tokens=False)
-            second = self.b.encode([s[1:] if s[0] == " " else s for s in some], return_type="proto", num_threads=1)
-            for text, a, b in zip(some, first, second):
-                self.place[text] = len(self.shown)
-                self.characters += len(text)
-                self._align(text, a.ids, a.offsets, b.pieces)
-
-    def _align(self, text: str, ids_a: list[int], spans_a: list[tuple[int, int]], pieces) -> None:
-        raw, ids_b, cuts_b, blanks = text.encode(), [p.id for p in pieces], [p.end for p in pieces], 1
-        if text[0] != " ":  # the blank that the second tokenizer puts before a text isn't part of this stretch
-            blanks = 0
-            if not ids_b or self.b_bytes[ids_b.pop(0)] != b" ":
-                return self._keep(None, 0, 0, [])
-            del cuts_b[0]
-        if b"".join([self.a_bytes[i] for i in ids_a]) != raw or b"".join([self.b_bytes[i] for i in ids_b]) != raw:
-            return self._keep(None, 0, 0, [])
-        if len(raw) == len(text):
-            ends_a = [stop for _, stop in spans_a]  # a character is a byte: no token shares one
-        else:
-            ends_a, cuts_b = self._refined_a(text, ids_a, spans_a), self._in_bytes(text, cuts_b, blanks)
-        ends_b = [cut + blanks for cut in cuts_b]
-        if any([self.single[i] for i in ids_b]):
-            ends_b = self._refined_b(ids_b, ends_b)
-        if not ends_a or not ends_b or ends_a[-1] != len(raw) or ends_b[-1] != len(raw):
-            return self._keep(None, 0, 0, [])
-        shown_a, shown_b, groups, links, i, j = [*map(str, ids_a)], [*map(str, ids_b)], [], [], 0, 0
-        upto = {end: at for at, end in enumerate(ends_b, 1)}
-        for at, end in enumerate(ends_a, 1):
-            to = upto.get(end)
-            if to:
-                groups.append(f"{','.join(shown_a[i:at])}|{','.join(shown_b[j:to])}")
-                links.append(ids_a[at - 1] * self.width + ids_b[to - 1])
-                i, j = at, to
-        self._keep(";".join(groups), len(ids_a), len(ids_b), links)
-
-    def _keep(self, shown: str | None, n_a: int, n_b: int, links: list[int]) -> None:
+    def stretches(self, text: str) -> list:
+        """Keys of the stretches of blank + text: the stretch without its blank, or from its line break on; any other one as a tuple."""
+        if not self.cuts:
+            return [(f" {text}",)]
+        if not _ODD.search(text):
+            return text.replace("\n", " \n").split(" ")
+        return [s[1:] if _PLAIN.fullmatch(s) and s[0] == " " else s if _PLAIN.fullmatch(s) else (s,) for s in _CUT.split(f" {text}")]
+
+    def learn(self, found: set) -> None:
+        plain = [s for s in found if isinstance(s, str)]
+        for i in range(0, len(plain), CHAINED):
+            some = plain[i : i + CHAINED]
+            # stretches one after the other are a text that is cut between them; the first one holds its place only
+            joined = [" a", *(s if s[0] == "\n" else f" {s}" for s in some)]
+            if not self._align(joined, ["", *some]):
+                for text, key in zip(joined[1:], some):
+                    self._alone(text, key)
+        for key in found.difference(plain):
+            self._alone(key[0], key)
+
+    def _alone(self, text: str, key) -> None:
+        joined, keys = ([" a", text], ["", key]) if text[0] == "\n" else ([text], [key])
+        if not self._align(joined, keys):
+            self._keep(key, None, 0, 0, [])
+
+    def _align(self, joined: list[str], keys: list) -> bool:
+        """Keep the groups of each of the stretches; False where the tokens' bytes aren't those of the whole."""
+        text = "".join(joined)
+        raw = text.encode()
+        first = self.a.encode(text, add_special_tokens=False)
+        pieces = self.b.encode(text[1:], return_type="proto").pieces  # puts the blank back
+        ids_a, ids_b = np.array(first.ids, dtype=np.int64), np.array([p.id for p in pieces], dtype=np.int64)
+        if b"".join([self.a_bytes[i] for i in ids_a.tolist()]) != raw or b"".join([self.b_bytes[i] for i in ids_b.tolist()]) != raw:
+            return False
+        spans = np.array(first.offsets, dtype=np.int64).reshape(-1, 2)
+        at = np.append(np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) & 0xC0 != 0x80), len(raw))  # bytes before each character
+        after = np.append(spans[1:, 0], len(text))
+        ends_a = np.where(after >= spans[:, 1], at[spans[:, 1]], np.cumsum(self.a_sizes[ids_a]))  # a shared character: own bytes
+        cuts = np.array([p.end for p in pieces], dtype=np.int64) + 1
+        cuts = cuts if self.spans_count_bytes else at[cuts]
+        byte = self.single[ids_b]
+        ends_b = np.where(byte | np.append(byte[1:], False), np.cumsum(self.b_sizes[ids_b]), cuts)  # byte fallback: own bytes
+        shared = np.intersect1d(ends_a, ends_b)
+        to_a, to_b = np.searchsorted(ends_a, shared) + 1, np.searchsorted(ends_b, shared) + 1
+        borders = np.cumsum([len(s.encode()) for s in joined])
+        to = np.searchsorted(shared, borders) + 1
+        if to[-1] > len(shared) or (shared[to - 1] != borders).any():
+            return False
+        links = (ids_a[to_a - 1] * self.width + ids_b[to_b - 1]).tolist()
+        shown_a, shown_b = [*map(str, ids_a.tolist())], [*map(str, ids_b.tolist())]
+        to_a, to_b = [0, *to_a.tolist()], [0, *to_b.tolist()]
+        groups = [f"{','.join(shown_a[i:j])}|{','.join(shown_b[k:l])}" for i, j, k, l in zip(to_a, to_a[1:], to_b, to_b[1:])]
+        start = 0
+        for key, stop in zip(keys, to.tolist()):
+            if key != "":
+                self._keep(key, ";".join(groups[start:stop]), to_a[stop] - to_a[start], to_b[stop] - to_b[start], links[start:stop])
+            start = stop
+        return True
+
+    def _keep(self, key, shown: str | None, n_a: int, n_b: int, links: list[int]) -> None:
         """Every token has bytes, so each shared cut ends one token of either side: as many links as groups."""
+        self.place[key] = len(self.shown)
+        self.characters += len(key)
         self.shown.append(shown)
         self.sizes.extend((n_a, n_b, len(links)))
         self.links.extend(links)
 
-    def _in_bytes(self, text: str, cuts: list[int], blanks: int) -> list[int]:
-        if self.spans_count_bytes:
-            return cuts
-        at = _byte_places(text)
-        return [at[x + blanks] - blanks for x in cuts]
-
-    def _refined_a(self, text: str, ids: list[int], spans: list[tuple[int, int]]) -> list[int]:
-        """Byte ends; a token whose last character the next one shares ends by its own bytes."""
-        at, out, end = _byte_places(text), [], 0
-        for (_, stop), (start, _), i in zip(spans, [*spans[1:], (len(text), 0)], ids):
-            end = at[stop] if start >= stop else end + len(self.a_bytes[i])
-            out.append(end)
-        return out
-
-    def _refined_b(self, ids: list[int], cuts: list[int]) -> list[int]:
-        """Byte ends; byte-fallback tokens, and the one before them, end by their own bytes."""
-        out, end = [], 0
-        for i, after, cut in zip(ids, [*ids[1:], None], cuts):
-            coarse = not self.single[i] and (after is None or not self.single[after])
-            end = cut if coarse else end + len(self.b_bytes[i])
-            out.append(end)
-        return out
-
-
-def _byte_places(text: str) -> list[int]:
-    """The byte offset of each character, and of the end."""
-    return [0, *accumulate(len(c.encode()) for c in text)]
+    def shrink(self, wanted: set) -> None:
+        """Forget all but the wanted stretches."""
+        kept = {k: i for k, i in self.place.items() if k in wanted}
+        shown, sizes, links = self.shown, np.array(self.sizes).reshape(-1, 3), np.array(self.links)
+        begins = np.cumsum(sizes[:, 2]) - sizes[:, 2]
+        self.clear()
+        for key, i in kept.items():
+            self._keep(key, shown[i], int(sizes[i, 0]), int(sizes[i, 1]), links[begins[i] : begins[i] + sizes[i, 2]].tolist())
 
 
 _loaded: dict[int, Aligner] = {}
@@ -207,32 +210,36 @@ def _aligned(batches: Iterator[pa.RecordBatch], files: Files) -> Iterator[pa.Rec
     aligner = _aligner(files)
     for batch in batches:
         for piece in words.pieces(batch, limit=words.PIECE_BYTES // 2):
-            if len(aligner.shown) > HELD_STRETCHES or aligner.characters > HELD_CHARACTERS:
-                aligner.clear()
             parts = [aligner.stretches(t) if t else [] for t in piece.column("text").to_pylist()]
-            aligner.learn(set().union(*parts))
-            sizes = np.array(aligner.sizes, dtype=np.int64).reshape(-1, 3)
-            n_links = sizes[:, 2]
-            begins = np.cumsum(n_links) - n_links
-            flat = np.array(aligner.links, dtype=np.int64)
-            totals, groups, pairs, times, bounds = [], [], [], [], [0]
-            for own in parts:
-                at = np.fromiter(map(aligner.place.__getitem__, own), dtype=np.int64, count=len(own))
-                shown = [aligner.shown[i] for i in at.tolist()]
-                if None in shown:
-                    at, shown = at[:0], []
-                kinds, often = np.unique(at, return_counts=True)
-                n = n_links[kinds]
-                where = np.repeat(begins[kinds] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(kinds) else kinds
-                codes, counts = _summed(flat[where], np.repeat(often, n))
-                totals.append(sizes[at].sum(axis=0).tolist())
-                groups.append(";".join(shown))
-                pairs.append(codes), times.append(counts), bounds.append(bounds[-1] + len(codes))
-            bounds = np.array(bounds)
+            every = [*chain.from_iterable(parts)]
+            if len(aligner.shown) > HELD_STRETCHES or aligner.characters > HELD_CHARACTERS:
+                aligner.shrink(set(every))
+            met = np.fromiter(map(aligner.place.get, every, repeat(-1)), dtype=np.int64, count=len(every))
+            new = np.flatnonzero(met < 0).tolist()
+            aligner.learn({every[i] for i in new})
+            met[new] = [aligner.place[every[i]] for i in new]
+            known = np.array(aligner.sizes, dtype=np.int64).reshape(-1, 3)
+            begins, flat = np.cumsum(known[:, 2]) - known[:, 2], np.array(aligner.links, dtype=np.int64)
+            stops = np.cumsum([len(x) for x in parts])
+            owner = np.repeat(np.arange(len(parts)), np.diff(stops, prepend=0))
+            groups, refused = [], np.zeros(len(parts), dtype=bool)
+            for i, (start, stop) in enumerate(zip([0, *stops.tolist()], stops.tolist())):
+                shown = [*map(aligner.shown.__getitem__, met[start:stop].tolist())]
+                refused[i] = None in shown
+                groups.append("" if refused[i] else ";".join(shown))
+            good = ~refused[owner]
+            met, owner = met[good], owner[good]
+            totals = np.zeros((len(parts), 3), dtype=np.int64)
+            np.add.at(totals, owner, known[met])
+            n = known[met, 2]
+            codes = flat[np.repeat(begins[met] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            space = len(aligner.a_bytes) * aligner.width
+            found, times = _summed(np.repeat(owner, n) * space + codes, np.ones(len(codes), dtype=np.int64))
+            bounds = np.searchsorted(found, np.arange(len(parts) + 1) * space)
             yield pa.RecordBatch.from_arrays(
                 [
-                    piece.column("doc_id"), *(pa.array([t[k] for t in totals], pa.int64()) for k in (0, 1, 2, 2)), pa.array(groups, pa.string()),
-                    words.list_column(np.concatenate(pairs), bounds, pa.int64()), words.list_column(np.concatenate(times), bounds, pa.int64()),
+                    piece.column("doc_id"), *(pa.array(totals[:, k]) for k in (0, 1, 2, 2)), pa.array(groups, pa.string()),
+                    words.list_column(found % space, bounds, pa.int64()), words.list_column(times, bounds, pa.int64()),
                 ],
                 names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"],
             )
