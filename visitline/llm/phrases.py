@@ -26,6 +26,7 @@ from visitline.session import materialize, release, ship_package
 
 LONGEST = 4  # words of a phrase
 BITS = 27  # of a bitmap: 16 MB in a task
+PIECE_BYTES = 1 << 20  # text bytes counted at a time; arrays over them take about seventy times as much
 _BLANK, _BREAK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _BREAK[[ord(c) for c in ".,;:!?"]] = True
 _BREAK[0x0A:0x0E] = True
@@ -107,7 +108,7 @@ def _counts(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], bitmap)
     """Counts of the sequences of these lengths whose parts (words for pairs, pairs for longer ones) all pass."""
     parts = 1 if lengths[0] == 2 else 2
     for batch in batches:
-        for piece in words.pieces(batch):
+        for piece in words.pieces(batch, limit=PIECE_BYTES):
             found = Pieces(piece)
             at = np.arange(len(found.begin))
             for n in lengths:
