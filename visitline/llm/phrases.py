@@ -6,10 +6,10 @@ them its count as that of their first words, and takes their highest count. In s
 first) the same step gives the counts of their last words and the highest extension to the left. The steps are Spark's
 sort-merge joins, so streams are sorted outside memory and no count is held in a hash table of a join.
 
-Texts are read once per step of counting: words, then pairs of frequent words, then longer sequences of
-frequent pairs. What is frequent goes to the tasks as a bitmap of fixed size, which lets some rare sequences pass; their
-exact count drops them. Only sequences that reach the least count are ever needed: every part of a frequent
-sequence is frequent, and so is every sequence between two frequent ones.
+Texts are read three times: for words, for keys of pairs of frequent words, then for the sequences of two and more
+words all of whose pairs have a frequent key. What is frequent goes to the tasks as a bitmap of fixed size. Keys
+and bitmaps let some rare sequences pass; their exact count drops them. Only sequences that reach the least count
+are ever needed: every part of a frequent sequence is frequent, and so is every sequence between two frequent ones.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from visitline.session import materialize, release, ship_package
 
 LONGEST = 4  # words of a phrase
 BITS = 27  # of a bitmap: 16 MB in a task
+KEY_BITS = 40  # of a pair's key in the first count of pairs; pairs that share one are counted together there
 PIECE_BYTES = 1 << 20  # text bytes counted at a time; arrays over them take about seventy times as much
 _BLANK, _BREAK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _BREAK[[ord(c) for c in ".,;:!?"]] = True
@@ -104,25 +105,39 @@ def _salts(langs: pa.Array) -> np.ndarray:
     return words.hash_runs(data, offsets[:-1], offsets[1:]) * words._STEP
 
 
+def _starts(found: Pieces, n: int, parts: int, bitmap) -> np.ndarray:
+    """Words at which a sequence of ``n`` words begins whose parts of so many words all pass."""
+    at = np.arange(len(found.begin))
+    here = at[found.left >= n]
+    if bitmap is not None:
+        good = np.zeros(len(at) + n, dtype=bool)
+        starts = at[found.left >= parts]
+        good[starts] = passing(bitmap.value, found.hashes(starts, parts))
+        for j in range(n - parts + 1):
+            here = here[good[here + j]]
+    return here
+
+
 def _counts(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], bitmap) -> Iterator[pa.RecordBatch]:
-    """Counts of the sequences of these lengths whose parts (words for pairs, pairs for longer ones) all pass."""
-    parts = 1 if lengths[0] == 2 else 2
+    """Counts of the sequences of these lengths whose pairs pass."""
     for batch in batches:
         for piece in words.pieces(batch, limit=PIECE_BYTES):
             found = Pieces(piece)
-            at = np.arange(len(found.begin))
             for n in lengths:
-                here = at[found.left >= n]
-                if bitmap is not None:
-                    good = np.zeros(len(at) + n, dtype=bool)
-                    starts = at[found.left >= parts]
-                    good[starts] = passing(bitmap.value, found.hashes(starts, parts))
-                    for j in range(n - parts + 1):
-                        here = here[good[here + j]]
+                here = _starts(found, n, 2, bitmap)
                 if len(here):
                     yield found.counted(here, n)
 
 
+def _pair_keys(batches: Iterator[pa.RecordBatch], bitmap) -> Iterator[pa.RecordBatch]:
+    """How often each key of a pair of passing words occurs."""
+    for batch in batches:
+        for piece in words.pieces(batch, limit=PIECE_BYTES):
+            found = Pieces(piece)
+            keys, n = np.unique(found.hashes(_starts(found, 2, 1, bitmap), 2) & np.uint64((1 << KEY_BITS) - 1), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The hash of every (lang, phrase) row, as a ``Pieces`` has it."""
     for batch in batches:
@@ -138,19 +153,19 @@ def count_streams(docs: DataFrame, least: int) -> tuple[DataFrame, list[DataFram
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
 
-    def stream(lengths: tuple[int, ...], frequent: DataFrame | None) -> DataFrame:
-        bitmap = None if frequent is None else context.broadcast(bitmap_of(frequent.mapInArrow(_marks, "mark bigint"), "mark", BITS))
-        counted = texts.mapInArrow(lambda it: _counts(it, lengths, bitmap), _COUNTED)
-        return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+    def stream(lengths: tuple[int, ...], bitmap) -> DataFrame:
+        return texts.mapInArrow(lambda it: _counts(it, lengths, bitmap), _COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
 
     every = materialize(stream((1,), None), "words")
     totals = materialize(every.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
     streams = [materialize(every.where(F.col("a") >= least), "stream")]
     release(every)
-    streams.append(materialize(stream((2,), streams[0]).where(F.col("a") >= least), "stream"))
-    longer = materialize(stream(tuple(range(3, LONGEST + 1)), streams[1]).where(F.col("a") >= least), "stream")
+    common = context.broadcast(bitmap_of(streams[0].mapInArrow(_marks, "mark bigint"), "mark", BITS))
+    keys = texts.mapInArrow(lambda it: _pair_keys(it, common), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    pairs = context.broadcast(bitmap_of(keys.where(F.col("n") >= least), "key", BITS))
+    longer = materialize(stream(tuple(range(2, LONGEST + 1)), pairs).where(F.col("a") >= least), "stream")
     blanks = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))
-    return totals, [*streams, *(longer.where(blanks == n - 1) for n in range(3, LONGEST + 1))]
+    return totals, [*streams, *(longer.where(blanks == n - 1) for n in range(2, LONGEST + 1))]
 
 
 def _prefix(n: int) -> Column:
