@@ -142,7 +142,7 @@ def test_exact_quantiles(spark, scale):
 
 def test_running_sums_cross_buckets(spark):
     values = sorted({random.Random(4).random() ** 4 for _ in range(1)} | {i ** 3 / 1000 for i in range(200)})
-    df = with_value_bucket(spark.createDataFrame([(v, 1) for v in values], "v double, n int"), "v")
+    df = with_value_bucket(spark.createDataFrame([(v, 1) for v in values], "v double, n int"), "v", limit=8)
     assert df.select("_bucket").distinct().count() > 10
     got = running_sums(df, ["v"], ["n"]).orderBy("v").collect()
     assert [r["n_before"] for r in got] == list(range(len(values))) and got[0]["n_total"] == len(values)
@@ -240,3 +240,28 @@ def test_mask_drops(spark):
     df = spark.createDataFrame([(1, "none", 0.8), (1, "g", 0.6), (2, "none", 0.5), (2, "g", 0.5)], "seed int, masked_group string, macro_f1 double")
     got = {r["masked_group"]: (r["absolute_drop"], r["relative_drop"]) for r in V.mask_summary(df, ["macro_f1"]).collect()}
     assert got["g"] == pytest.approx((0.1, 0.125)) and got["none"] == (0.0, 0.0)
+
+
+@pytest.mark.parametrize("kind", ["outliers", "narrow", "one value", "few values", "groups"])
+def test_value_buckets_stay_below_their_limit_and_in_order(spark, kind):
+    rng = random.Random(1)
+    values = {
+        "outliers": [rng.gauss(0, 1) for _ in range(20_000)] + [-1e300, 1e300, float("inf")],
+        "narrow": [0.5 + rng.uniform(-2e-4, 2e-4) for _ in range(20_000)],
+        "one value": [3.0] * 15_000 + [rng.random() for _ in range(5_000)],
+        "few values": [float(i % 3) for i in range(20_000)],
+        "groups": [rng.paretovariate(0.3) for _ in range(20_000)] + [None, None],
+    }[kind]
+    rows = [("a" if kind != "groups" else [None, "b", "c"][i % 7 % 3], v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    counts = df.groupBy("g", "v").agg(F.count("*").alias("n"))
+    placed = with_value_bucket(counts, "v", ["g"], rows=df, limit=50)
+    per_bucket = placed.groupBy("g", "_bucket").agg(F.count("*").alias("values"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+    assert max(r["values"] for r in per_bucket) <= 50
+    for g in {r["g"] for r in per_bucket}:
+        own = sorted((r for r in per_bucket if r["g"] == g and r["low"] is not None), key=lambda r: r["_bucket"])
+        assert all(x["high"] < y["low"] for x, y in zip(own, own[1:]))
+        assert kind == "few values" or len(own) > 20
+    got = {r["g"]: r["q"] for r in exact_quantiles(df, "v", [0.3], ["q"], ["g"], limit=50).collect()}
+    for g, q in got.items():
+        assert q == pytest.approx(float(np.quantile([v for x, v in rows if x == g and v is not None], 0.3)))

@@ -2,9 +2,11 @@
 
 Every rank, ECDF, AUC and quantile starts from the same step: rows are first collapsed to distinct
 values, each value is put in a bucket by a *monotone* expression, bucket totals give the offset of
-each bucket, and only the rows of one bucket are ordered inside one task. Bucket expressions are
-data-independent, or depend only on exact minima and maxima, so re-running a lost task yields the
-same buckets.
+each bucket, and only the rows of one bucket are ordered inside one task. The borders of value buckets
+are sampled splitters: a quantile sketch per group, and per bucket that is still above a row limit,
+until none is. A border value is a bucket of its own, so a value that fills many quantiles
+doesn't keep its neighbours in one bucket. Borders are fetched or written before they are used, so
+that re-running a lost task yields the same buckets.
 """
 
 from __future__ import annotations
@@ -13,18 +15,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKETS_PER_UNIT = 128
-LOGIT_LIMIT = 40.0
-MAX_GROUPS = 100_000
+from visitline.session import materialize
 
-
-def probability_bucket(p: Column) -> Column:
-    """Monotone bucket of a value in [0, 1]: equal steps of log-odds, fine at both ends."""
-    logit = F.log(p) - F.log1p(-p)
-    clipped = F.least(F.greatest(logit, F.lit(-LOGIT_LIMIT)), F.lit(LOGIT_LIMIT))
-    step = F.floor(clipped * F.lit(float(BUCKETS_PER_UNIT))).cast("int")
-    low, high = int(-LOGIT_LIMIT * BUCKETS_PER_UNIT), int(LOGIT_LIMIT * BUCKETS_PER_UNIT)
-    return F.when(p <= 0, F.lit(low)).when(p >= 1, F.lit(high)).otherwise(step)
+BUCKET_ROWS = 1 << 16  # a bucket with more rows and more than one value is cut again
+CUTS = 256
+_BLOCK = 16  # borders are searched in two steps: the block, then the border in it
+MAX_POINTS = 4096  # groups and buckets whose borders are fetched; a longer list stays distributed
 
 
 def hash_bucket(h: Column) -> Column:
@@ -32,37 +28,56 @@ def hash_bucket(h: Column) -> Column:
     return F.shiftright(h, 52).cast("int")
 
 
-def value_spans(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Exact minimum and maximum per group, fetched when there are at most ``MAX_GROUPS`` groups.
-
-    Groups are features, splits, horizons and the like. A fetched list has a known size and is
-    broadcast; a longer one stays a distributed frame.
-    """
-    span = df.groupBy(*by).agg(
-        F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high")
+def _cut_points(rows: DataFrame, value: str, keys: Sequence[str], limit: int) -> DataFrame | None:
+    """Borders of the groups above the limit that hold more than one value; None where no group does."""
+    steps = [i / CUTS for i in range(1, CUTS)]
+    sketch = rows.groupBy(*keys).agg(
+        F.count(value).alias("_rows"), F.min(value).alias("_low"), F.max(value).alias("_high"),
+        F.percentile_approx(value, steps, 8 * CUTS).alias("_borders"),
     )
-    found = span.limit(MAX_GROUPS + 1).collect()
-    if len(found) > MAX_GROUPS:
-        return span
-    return F.broadcast(df.sparkSession.createDataFrame(found, span.schema))
+    wide = sketch.where((F.col("_rows") > limit) & (F.col("_low") < F.col("_high")))
+    points = wide.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.array_distinct("_borders").alias("_borders"))
+    found = points.limit(MAX_POINTS + 1).collect()
+    if not found:
+        return None
+    if len(found) > MAX_POINTS:
+        return materialize(points, "borders")
+    return F.broadcast(rows.sparkSession.createDataFrame(found, points.schema))
+
+
+def _cut(df: DataFrame, value: str, keys: Sequence[str], points: DataFrame, bucket: str) -> DataFrame:
+    """Every bucket cut at its borders: between two borders, or at one of them."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    v, borders = F.col(value).cast("double"), F.col("_borders")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(borders) - 1) / _BLOCK).cast("int")), lambda i: F.slice(borders, i * _BLOCK + 1, F.lit(_BLOCK)))
+    wide = df.join(points.withColumn("_blocks", blocks), same, "left")
+    before = F.size(F.filter("_blocks", lambda b: b[0] <= v))  # blocks that begin at or below the value
+    block = F.get("_blocks", before - 1)
+    upto = F.size(F.filter(block, lambda b: b <= v))
+    at = F.when(before == 0, F.lit(0)).otherwise(
+        2 * ((before - 1) * _BLOCK + upto) - (F.get(block, upto - 1) == v).cast("int")
+    )
+    place = F.when(borders.isNull() | v.isNull(), F.lit(0)).otherwise(at)
+    moved = wide.withColumn(bucket, F.col(bucket) * F.lit(2 * CUTS) + place.cast("bigint"))
+    return moved.drop("_borders", "_blocks", *[f"_key_{k}" for k in keys])
 
 
 def with_value_bucket(
-    df: DataFrame, value: str, by: Sequence[str] = (), bucket: str = "_bucket", spans: DataFrame | None = None
+    df: DataFrame, value: str, by: Sequence[str] = (), bucket: str = "_bucket", rows: DataFrame | None = None, limit: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Bucket any numeric column by the log-odds of its place between the group's min and max.
+    """Add a bucket that is monotone in a numeric column and holds ``limit`` rows at most, or one value.
 
-    ``spans`` (see :func:`value_spans`) may come from a cheaper frame with the same extremes.
+    ``rows`` is a frame with the columns ``by`` and ``value`` that has every value of ``df`` at least as often,
+    if one is cheaper to read. Null values are in the first bucket of their group.
     """
-    spans = spans if spans is not None else value_spans(df, value, by)
-    if by:
-        wide = df.join(spans, list(by))
-        low, high = F.col("_low"), F.col("_high")
-    else:
-        ends = spans.first()
-        wide, low, high = df, F.lit(ends["_low"]).cast("double"), F.lit(ends["_high"]).cast("double")
-    place = F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(F.lit(0.5))
-    return wide.withColumn(bucket, probability_bucket(place)).drop("_low", "_high")
+    rows = (df if rows is None else rows).select(*by, F.col(value).cast("double").alias(value))
+    placed, rows = (x.withColumn(bucket, F.lit(0).cast("bigint")) for x in (df, rows))
+    keys = [*by, bucket]
+    while (points := _cut_points(rows, value, keys, limit)) is not None:
+        placed, rows = (_cut(x, value, keys, points, bucket) for x in (placed, rows))
+    return placed
 
 
 def running_sums(
@@ -104,7 +119,7 @@ def exact_quantiles(
     names: Sequence[str],
     by: Sequence[str] = (),
     weight: str | None = None,
-    unit_interval: bool = False,
+    limit: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Linear-interpolation quantiles per group, one column per probability.
 
@@ -117,11 +132,8 @@ def exact_quantiles(
         .groupBy(*by, F.col(value).cast("double").alias("_value"))
         .agg((F.sum(weight) if weight else F.count("*")).cast("bigint").alias("_n"))
     )
-    if unit_interval:
-        counted = counted.withColumn("_bucket", probability_bucket(F.col("_value")))
-    else:
-        spans = value_spans(df.where(F.col(value).isNotNull()), value, by)
-        counted = with_value_bucket(counted, "_value", by, spans=spans)
+    values = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_value"))
+    counted = with_value_bucket(counted, "_value", by, rows=values, limit=limit)
     ranked = running_sums(counted, ["_value"], ["_n"], by)
     found = quantile_hits(F.col("_value"), F.col("_n_before"), F.col("_n"), F.col("_n_total"), probs)
     return ranked.groupBy(*by).agg(collect_hits(found).alias("_hits")).select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from visitline.functions import probability as P
 from visitline.functions.dates import months
-from visitline.functions.ordered import collect_hits, quantile_from_hits, quantile_hits, running_sums, value_spans, with_value_bucket
+from visitline.functions.ordered import collect_hits, quantile_from_hits, quantile_hits, running_sums, with_value_bucket
 from visitline.functions.skew import lookup_join
 from visitline.functions.states import OUTCOME_SCHEME, StateScheme, encode_state, normalize_state
 from visitline.operators.catalog import missing_rates
@@ -142,16 +142,16 @@ def numeric_shift(
         ),
         "value-counts",
     )
-    ordered = _ks_and_edges(counts, value_spans(counts, "v", ["feature"]), bins)
+    ordered = _ks_and_edges(counts, bins)
     # One row per feature: frozen here, so that PSI does not order the values again.
     ordered = train.sparkSession.createDataFrame(ordered.collect(), ordered.schema)
     out = moments.withColumn("standardized_mean_difference", smd).join(ordered.drop("_edges"), "feature", "left")
     return out.join(_psi(counts, ordered.select("feature", "_edges"), floor, bins), "feature", "left")
 
 
-def _ks_and_edges(counts: DataFrame, spans: DataFrame, bins: int) -> DataFrame:
+def _ks_and_edges(counts: DataFrame, bins: int) -> DataFrame:
     """Per feature: the KS statistic and the inner training-quantile edges as an array."""
-    ranked = running_sums(with_value_bucket(counts, "v", ["feature"], spans=spans), ["v"], ["a", "b"], ["feature"])
+    ranked = running_sums(with_value_bucket(counts, "v", ["feature"]), ["v"], ["a", "b"], ["feature"])
     gap = F.abs(
         (F.col("a_before") + F.col("a")) / F.col("a_total") - (F.col("b_before") + F.col("b")) / F.col("b_total")
     )

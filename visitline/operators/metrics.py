@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from visitline.functions import probability as P
-from visitline.functions.ordered import probability_bucket, running_sums
+from visitline.functions.ordered import running_sums, with_value_bucket
 
 
 def _ratio(num: Column, den: Column, default: float | None = None) -> Column:
@@ -92,12 +92,11 @@ def score_counts(
 ) -> DataFrame:
     """Weight of every true class per (group, scored class, distinct score), with its bucket."""
     w = F.lit(1.0) if weight is None else weight.cast("double")
-    return (
-        df.select(*by, F.col(truth).cast("int").alias("_t"), w.alias("_w"), F.posexplode(prob).alias("class_id", "score"))
-        .groupBy(*by, "class_id", "score")
-        .agg(*[F.sum(F.when(F.col("_t") == k, F.col("_w")).otherwise(0.0)).alias(f"y{k}") for k in classes])
-        .withColumn("_bucket", probability_bucket(F.col("score")))
+    scored = df.select(*by, F.col(truth).cast("int").alias("_t"), w.alias("_w"), F.posexplode(prob).alias("class_id", "score"))
+    counts = scored.groupBy(*by, "class_id", "score").agg(
+        *[F.sum(F.when(F.col("_t") == k, F.col("_w")).otherwise(0.0)).alias(f"y{k}") for k in classes]
     )
+    return with_value_bucket(counts, "score", [*by, "class_id"], rows=scored)
 
 
 def auc_ovr(
@@ -179,14 +178,11 @@ def binary_metrics(
         F.avg(F.pow(F.col("_s") - F.col("_y"), F.lit(2.0))).alias("brier_score"),
         F.avg(P.clipped_log_loss(own)).alias("log_loss"),
     )
-    counts = (
-        rows.groupBy(*by, F.col("_s").alias("score"))
-        .agg(
-            F.sum(positive.cast("double")).alias("pos"),
-            F.sum((~positive).cast("double")).alias("neg"),
-        )
-        .withColumn("_bucket", probability_bucket(F.col("score")))
+    counts = rows.groupBy(*by, F.col("_s").alias("score")).agg(
+        F.sum(positive.cast("double")).alias("pos"),
+        F.sum((~positive).cast("double")).alias("neg"),
     )
+    counts = with_value_bucket(counts, "score", by, rows=rows.select(*by, F.col("_s").alias("score")))
     ranked = running_sums(counts, ["score"], ["pos", "neg"], by)
     pos_from = F.col("pos_total") - F.col("pos_before")
     all_from = pos_from + F.col("neg_total") - F.col("neg_before")

@@ -17,7 +17,7 @@ def coverage_thresholds(validation: DataFrame, prob: Column, coverages: Sequence
     """(target_coverage, threshold): the confidence quantile at 1 - coverage, exact."""
     names = [f"q{i}" for i in range(len(coverages))]
     wide = exact_quantiles(
-        validation.select(P.confidence(prob).alias("c")), "c", [1.0 - c for c in coverages], names, unit_interval=True
+        validation.select(P.confidence(prob).alias("c")), "c", [1.0 - c for c in coverages], names
     )
     cells = [
         F.struct(F.lit(float(c)).alias("target_coverage"), F.col(n).alias("threshold")) for c, n in zip(coverages, names)
