@@ -26,6 +26,7 @@ STRETCH = 64
 HASH_BITS = 18
 SAMPLE_TOXIC, SAMPLE_CLEAN = 2000, 5000  # at most so many labelled texts of each kind are fitted
 SAMPLE_CHARS = 6_000  # stretches of about so many characters are fitted of a longer labelled text; every text is scored whole
+TEXT_BLOCK, STRETCH_BLOCK = 64, 4096  # texts and stretches that a step of fitting holds whole
 _EDGE = np.ones(256, dtype=bool)  # bytes stripped from both ends of a word
 _EDGE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 
@@ -91,23 +92,38 @@ def marginals(evidence: np.ndarray, bounds: np.ndarray, chain: np.ndarray) -> tu
     return odds[place, row], moves
 
 
-def derive_labels(hashed: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Whether each word is taken as toxic: only in toxic texts, for a form that clean ones hardly have.
+class Marks:
+    """Forms that toxic texts show and clean ones hardly do, counted over blocks of texts.
 
     A form counts if a text with it is toxic in 9 of 10 cases at least, and if that many toxic texts by
-    chance have odds below about ``exp(-10)``.
+    chance have odds below about ``exp(-10)``. Only distinct forms are held from one block to the next.
     """
-    share = max(toxic.mean(), 1e-9)
-    out = np.zeros(len(hashed), dtype=bool)
-    for column in hashed.T[:4]:
-        _, once = np.unique(words.mix(column + words.mix(owner.astype(np.uint64))), return_index=True)  # a text counts once
-        form, index = np.unique(column[once], return_inverse=True)
-        bad = np.bincount(index, weights=toxic[owner[once]], minlength=len(form))
-        all_ = np.bincount(index, minlength=len(form))
-        rate = bad / all_
-        marked = form[(rate >= 0.9) & (bad * np.log(np.maximum(rate, 1e-9) / share) >= 10)]
-        out |= np.isin(column, marked)
-    return out & toxic[owner].astype(bool)
+
+    def __init__(self):
+        self.counts = [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)) for _ in range(4)]
+
+    def add(self, hashed: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> None:
+        for c, (known, bad, every) in enumerate(self.counts):
+            column = hashed[:, c]
+            _, once = np.unique(words.mix(column + words.mix(owner.astype(np.uint64))), return_index=True)  # a text counts once
+            form, index = np.unique(np.concatenate([known, column[once]]), return_inverse=True)
+            bad = np.bincount(index, weights=np.concatenate([bad, toxic[owner[once]]]), minlength=len(form))
+            self.counts[c] = form, bad, np.bincount(index, weights=np.concatenate([every, np.ones(len(once))]), minlength=len(form))
+
+    def close(self, share: float) -> None:
+        share = max(share, 1e-9)
+        self.marked = []
+        for form, bad, every in self.counts:
+            rate = bad / np.maximum(every, 1.0)
+            self.marked.append(form[(rate >= 0.9) & (bad * np.log(np.maximum(rate, 1e-9) / share) >= 10)])
+        self.counts = []
+
+    def label(self, hashed: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+        """Whether each word is taken as toxic: only in toxic texts."""
+        out = np.zeros(len(hashed), dtype=bool)
+        for c, marked in enumerate(self.marked):
+            out |= np.isin(hashed[:, c], marked)
+        return out & toxic[owner].astype(bool)
 
 
 def some_stretches(text: str, limit: int) -> str:
@@ -128,49 +144,73 @@ def some_stretches(text: str, limit: int) -> str:
     return "".join(text[cuts[i] : cuts[i + 1]] for i in sorted(taken))
 
 
+def _blocks(texts: pa.Array) -> Iterator[tuple[slice, words.Words, np.ndarray]]:
+    """Runs of texts with their words and the forms of these."""
+    for start in range(0, len(texts), TEXT_BLOCK):
+        found = words.find_words(texts.slice(start, TEXT_BLOCK))
+        yield slice(start, start + TEXT_BLOCK), found, forms(found)
+
+
 def fit_chain(texts: pa.Array, toxic: np.ndarray, rounds: int = 40, l2: float = 1e-3, cut: np.ndarray | None = None) -> dict:
     """Form weights, chain weights and the score's logistic map, by adaptive gradient steps on the likelihood.
 
     Toxic stretches are fitted with as many others as there are, and at least four times as many; the map
     is fitted on texts, without the toxic ones that are ``cut`` to stretches of which none has a toxic word.
+    Texts are read and the chain is run in blocks; of all words only the weights' places are held, 20 bytes each.
     """
-    found = words.find_words(texts)
-    hashed, owner = forms(found), found.owner()
     mask = np.uint64((1 << HASH_BITS) - 1)
-    truth = derive_labels(hashed, owner, toxic)
-    slots = (words.mix(hashed) & mask).astype(np.int64)
-    row, _, lengths = _stretches(found.bounds)
-    hot = np.bincount(row, weights=truth, minlength=len(lengths)) > 0
-    cold = np.flatnonzero(~hot)
-    take = hot.copy()
-    take[cold[:: max(1, len(cold) // max(1, 4 * int(hot.sum()) + 500))]] = True
-    chosen = take[row]
-    kept = np.bincount(row[chosen], minlength=len(lengths))[take]
-    bounds = np.concatenate([[0], np.cumsum(kept)])
-    x, y = slots[chosen], truth[chosen].astype(float)
+    marks = Marks()
+    for part, found, hashed in _blocks(texts):
+        marks.add(hashed, found.owner(), toxic[part])
+    marks.close(float(toxic.mean()))
+    parts, hot = [], []
+    marked = np.zeros(len(toxic), dtype=bool)
+    for part, found, hashed in _blocks(texts):
+        owner = found.owner()
+        truth = marks.label(hashed, owner, toxic[part])
+        row, _, lengths = _stretches(found.bounds)
+        marked[part] |= np.bincount(owner, weights=truth, minlength=len(found.bounds) - 1) > 0
+        hot.append(np.bincount(row, weights=truth, minlength=len(lengths)) > 0)
+        parts.append(((words.mix(hashed) & mask).astype(np.int32), truth, row, found.bounds))
+    cold = np.flatnonzero(~np.concatenate(hot))
+    take = np.concatenate(hot)
+    take[cold[:: max(1, len(cold) // max(1, 4 * int(take.sum()) + 500))]] = True
+    chosen, before = [], 0
+    for (slots, truth, row, _), own in zip(parts, hot):
+        for start in range(0, len(own), STRETCH_BLOCK):
+            these = np.zeros(len(own), dtype=bool)
+            these[start : start + STRETCH_BLOCK] = take[before + start : before + min(start + STRETCH_BLOCK, len(own))]
+            on = these[row]
+            kept = np.bincount(row[on], minlength=len(own))[these]
+            if len(kept):
+                same = np.flatnonzero(np.diff(row[on]) == 0)
+                chosen.append((slots[on], truth[on].astype(float), np.concatenate([[0], np.cumsum(kept)]), same))
+        before += len(own)
     weights, chain = np.zeros(1 << HASH_BITS), np.zeros(5)
     chain[4] = -2.0
     grown, grown_chain = np.full(1 << HASH_BITS, 1e-6), np.full(5, 1e-6)
-    same = np.flatnonzero(np.diff(row[chosen]) == 0)
-    seen_moves = np.bincount((2 * y[same] + y[same + 1]).astype(int), minlength=4)
-    firsts = bounds[:-1][kept > 0]
-    scale = max(y.sum(), 1.0)
+    scale = max(sum(float(y.sum()) for _, y, _, _ in chosen), 1.0)
     for _ in range(rounds):
-        odds, moves = marginals(weights[x].sum(axis=1), bounds, chain)
-        p = 1 / (1 + np.exp(-odds))
-        gap = (y - p) / scale
-        slope = sum(np.bincount(x[:, c], weights=gap, minlength=len(weights)) for c in range(x.shape[1])) - l2 * weights
-        slope_chain = np.append((seen_moves - moves.ravel()) / scale, (y[firsts] - p[firsts]).sum() / scale) - l2 * chain
+        slope, slope_chain = -l2 * weights, -l2 * chain
+        for x, y, bounds, same in chosen:
+            odds, moves = marginals(_evidence(weights, x), bounds, chain)
+            p = 1 / (1 + np.exp(-odds))
+            gap = (y - p) / scale
+            for c in range(x.shape[1]):
+                slope += np.bincount(x[:, c], weights=gap, minlength=len(weights))
+            firsts = bounds[:-1][np.diff(bounds) > 0]
+            seen = np.bincount((2 * y[same] + y[same + 1]).astype(int), minlength=4)
+            slope_chain = slope_chain + np.append((seen - moves.ravel()) / scale, (y[firsts] - p[firsts]).sum() / scale)
         grown += slope**2
         grown_chain += slope_chain**2
         weights += 0.5 * slope / np.sqrt(grown)
         chain += 0.2 * slope_chain / np.sqrt(grown_chain)
     model = {"weights": weights.astype(np.float32), "chain": chain, "map": (1.0, 0.0)}
-    best = peak(marginals(model["weights"][slots].sum(axis=1), found.bounds, chain)[0], found.bounds)
+    best = np.concatenate([peak(marginals(_evidence(model["weights"], x), bounds, chain)[0], bounds) for x, _, _, bounds in parts])
     a, b = 1.0, 0.0
     z = np.clip(best, -20, 20)
     if cut is not None:
-        shown = ~(cut & (toxic > 0) & (np.bincount(owner, weights=truth, minlength=len(toxic)) == 0))
+        shown = ~(cut & (toxic > 0) & ~marked)
         z, toxic = z[shown], toxic[shown]
     for _ in range(500):
         p = 1 / (1 + np.exp(-(a * z + b)))
@@ -180,6 +220,13 @@ def fit_chain(texts: pa.Array, toxic: np.ndarray, rounds: int = 40, l2: float =
     return model
 
 
+def _evidence(weights: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(slots))
+    for c in range(slots.shape[1]):
+        out += weights[slots[:, c]]
+    return out
+
+
 def peak(odds: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Largest log-odds of each text; -20 for a text without words."""
     out = np.full(len(bounds) - 1, -20.0)
