@@ -84,3 +84,21 @@ def test_pipeline_stages_take_empty_tables(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").where(F.lit(False))
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+def test_pipeline_judges_rows_that_share_an_id_each_for_itself(spark, tmp_path):
+    rng = random.Random(8)
+    prose = lambda: " ".join("".join(rng.choice("abcde") for _ in range(5)) for _ in range(60))
+    copy, own, near, item = prose(), prose(), prose(), " ".join(prose().split()[:30])
+    rows = [(1, copy), (2, copy), (2, own), (3, near), (4, near + " tail"), (4, prose()), (5, prose() + " " + item), (5, prose()), (None, prose()), (None, copy), (6, None), (7, prose()), (7, rows7 := prose()), (7, rows7)]
+    docs = spark.createDataFrame([(i, t, "aa", "src1", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        got = stage(spark, got, str(tmp_path))
+    left = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+    gone = [(2, copy), (4, near + " tail"), rows[6]]
+    wanted = [r for r in rows if r not in gone and (r != (None, copy) or r in left)]
+    assert [(i, (t or "")[:30]) for i, t in left] == [(i, (t or "")[:30]) for i, t in sorted(wanted, key=repr)]
+    assert all(r not in left for r in gone)

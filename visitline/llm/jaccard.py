@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, functions as F
 from visitline.llm import words
 from visitline.llm.bitmaps import bitmap_of, passing
 from visitline.llm.components import component_labels
-from visitline.session import materialize, ship_package
+from visitline.session import materialize, release, ship_package
 
 BAND_RATIO = 1.6
 TILE_NODES, TILE_ELEMENTS = 512, 1 << 20  # of a group that one task holds, about, twice over
+COUNT_BITS = 44  # of a block's key when blocks are counted; the filter reads fewer of its low bits
 KEY_FILTER_BITS, NODE_FILTER_BITS = 27, 24  # sizes of the filters at any corpus size
 
 
@@ -116,7 +117,7 @@ def _longs(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
 
-def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, similarity: tuple[int, int] = (90, 100), carry_sets: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, similarity: tuple[int, int] = (90, 100), carry_sets: bool = True, with_row_hash: bool = False) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` (``doc_id``, ``text``; others aren't read).
 
     Rows are linked if the Jaccard similarity of their sets of distinct word shingles is at least
@@ -126,6 +127,8 @@ def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, similarity:
     ``doc_id`` gets its group's component, null if no row there has an id. Shingles are compared by
     64-bit hashes. No rows in, none out.
 
+    ``with_row_hash`` adds ``row_hash``, Spark's ``xxhash64`` of the text, which tells rows of one id apart, and ``group``,
+    which tells components apart whose smallest ids are equal.
     ``carry_sets`` tells how tiles verify: with the sets at hand, or by sketches only, sixteen times smaller,
     after which the presumed links are verified by joins and, if one fails, all that remain possible.
     """
@@ -136,10 +139,11 @@ def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, similarity:
     ship_package(spark)
     k = words_per_shingle
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = rows.withColumn("row_hash", F.xxhash64("text") if with_row_hash else F.lit(0).cast("bigint"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "node": _longs([node_id(s) for s in sets])})
+            yield pa.RecordBatch.from_pydict({"doc_id": piece.column("doc_id"), "row_hash": piece.column("row_hash"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "node": _longs([node_id(s) for s in sets])})
 
     def keyed(batches: Iterator[pa.RecordBatch], wanted: Broadcast | None = None) -> Iterator[pa.RecordBatch]:
         bands, done = Bands(num, den), set()
@@ -159,26 +163,31 @@ def near_duplicates(docs: DataFrame, *, words_per_shingle: int = 3, similarity:
                 key, owner = key[passed], owner[passed]
             yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "node": pa.array(owner.view(np.int64))})
 
-    nodes = materialize(rows.mapInArrow(describe, "doc_id bigint, n_shingles bigint, node bigint"), "nodes")
-    # Most blocks are unlike all others. Blocks met more than once (if only in copies) are found by counts,
-    # 8 bytes each; only they, and what their filter lets pass, are shuffled together with their nodes.
-    often = rows.mapInArrow(keyed, "key bigint, node bigint").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    nodes = materialize(named.mapInArrow(describe, "doc_id bigint, row_hash bigint, n_shingles bigint, node bigint"), "nodes")
+    # Most blocks are unlike all others. Blocks met more than once (if only in copies) are found by counts of
+    # shortened keys, which at most lets more of them pass; only they, and what their filter lets pass, are shuffled together with their nodes.
+    short = F.col("key").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).alias("key")
+    often = rows.mapInArrow(keyed, "key bigint, node bigint").groupBy(short).agg(F.count("*").alias("n")).where("n > 1")
     wanted = spark.sparkContext.broadcast(bitmap_of(often, "key", KEY_FILTER_BITS))
     all_keys = rows.mapInArrow(lambda it: keyed(it, wanted), "key bigint, node bigint")
     groups = all_keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
     shared = materialize(all_keys.join(groups, "key").distinct(), "keys")  # only blocks that several nodes have
-    both = _candidate_table(rows, shared, k)
-    links = _linked(shared, _verifier(both, num, den), both, num, den, carry_sets)
+    columns = ("sketch", "elements") if carry_sets else ("sketch",)
+    both = _candidate_table(rows, shared, k, columns)
+    sets_of = (lambda nodes: both) if carry_sets else (lambda nodes: _candidate_table(rows, nodes, k, ("elements",)))
+    links, spent = _linked(shared, _verifier(both, sets_of, num, den), both, num, den, carry_sets)
     labels = component_labels(links, "a", "b").withColumnsRenamed({"vertex": "node", "component": "root"})
+    release(*spent)
     labelled = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return labelled.join(lowest, "root").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        *(["row_hash", F.col("root").alias("group")] if with_row_hash else []),
     )
 
 
-def _candidate_table(rows: DataFrame, shared: DataFrame, k: int) -> DataFrame:
-    """Sketch and set of each node with a shared block, found again by a filter of fixed size.
+def _candidate_table(rows: DataFrame, shared: DataFrame, k: int, columns: tuple[str, ...]) -> DataFrame:
+    """Sketch or set, or both, of each ``node`` of ``shared``, found again by a filter of fixed size.
 
     The filter is a bitmap of hashed nodes. However full it gets it lets every candidate pass; nodes that
     pass wrongly join with no pair.
@@ -190,14 +199,16 @@ def _candidate_table(rows: DataFrame, shared: DataFrame, k: int) -> DataFrame:
             passed = passing(wanted.value, np.array([node_id(s) for s in sets], dtype=np.uint64))
             out = {node_id(s): s for s, p in zip(sets, passed.tolist()) if p and len(s)}
             if out:
+                made = {"sketch": lambda s: bit_sketch(s), "elements": lambda s: s.tobytes()}
                 yield pa.RecordBatch.from_pydict(
-                    {"node": _longs(list(out)), "n": pa.array([len(s) for s in out.values()], pa.int64()), "sketch": pa.array([bit_sketch(s) for s in out.values()], pa.binary()), "elements": pa.array([s.tobytes() for s in out.values()], pa.binary())}
+                    {"node": _longs(list(out)), "n": pa.array([len(s) for s in out.values()], pa.int64()), **{c: pa.array([made[c](s) for s in out.values()], pa.binary()) for c in columns}}
                 )
 
-    return materialize(rows.mapInArrow(tables, "node bigint, n bigint, sketch binary, elements binary").dropDuplicates(["node"]), "sets")
+    schema = ", ".join(["node bigint, n bigint", *(f"{c} binary" for c in columns)])
+    return materialize(rows.mapInArrow(tables, schema).dropDuplicates(["node"]), "sets")
 
 
-def _verifier(sets: DataFrame, num: int, den: int) -> Callable[[DataFrame], DataFrame]:
+def _verifier(sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> Callable[[DataFrame], DataFrame]:
     def both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
         left = table.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col(column).alias("x"))
         right = table.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col(column).alias("y"))
@@ -218,33 +229,45 @@ def _verifier(sets: DataFrame, num: int, den: int) -> Callable[[DataFrame], Data
         common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
         return common * den >= num * (n + m - common)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        alike = both(pairs, sets, "sketch").mapInArrow(run(possible), "a bigint, b bigint")
-        return both(alike, sets, "elements").mapInArrow(run(exact), "a bigint, b bigint")
+    def verify(pairs: DataFrame, name: str) -> DataFrame:
+        """The written links among the pairs; sets are only made for pairs that their sketches don't refute."""
+        alike = materialize(both(pairs, sketches, "sketch").mapInArrow(run(possible), "a bigint, b bigint"), "alike")
+        sets = sets_of(alike.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        links = materialize(both(alike, sets, "elements").mapInArrow(run(exact), "a bigint, b bigint"), name)
+        release(alike)
+        if sets is not sketches:
+            release(sets)
+        return links
 
     return verify
 
 
-def _linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], both: DataFrame, num: int, den: int, carry_sets: bool) -> DataFrame:
-    """Links whose components are those of all links between nodes that share a block."""
+def _linked(
+    shared: DataFrame, verify: Callable[[DataFrame, str], DataFrame], both: DataFrame, num: int, den: int, carry_sets: bool
+) -> tuple[DataFrame, list[DataFrame]]:
+    """Links whose components are those of all links between nodes that share a block, and the tables to release after them."""
     # Stars: the most widely shared node of each block's group against the others.
     sizes = shared.groupBy("key").agg(F.count("*").alias("members"))
     weights = shared.join(sizes, "key").groupBy("node").agg(F.sum("members").alias("weight"))
     centres = shared.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("c")).select("key", F.col("c.node").alias("centre"))
     groups = materialize(shared.join(centres, "key").select("centre", "node").distinct(), "groups")
     stars = groups.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    links = materialize(verify(stars), "stars")
+    release(shared)
+    links = verify(stars, "stars")
+    spent = [groups, both, links]
     if carry_sets:
         dealt = _dealt(groups, links, both)
-        return links.union(materialize(dealt.mapInArrow(lambda it: _crossing(it, num, den, "sets"), "a bigint, b bigint"), "crossing"))
+        spent.append(materialize(dealt.mapInArrow(lambda it: _crossing(it, num, den, "sets"), "a bigint, b bigint"), "crossing"))
+        return links.union(spent[-1]), spent
     for how in ("presumed", "possible"):
-        dealt = _dealt(groups, links, both.drop("elements"))
+        dealt = _dealt(groups, links, both)
         pairs = materialize(dealt.mapInArrow(lambda it, how=how: _crossing(it, num, den, how), "a bigint, b bigint").distinct(), "pairs")
-        found = materialize(verify(pairs), "crossing")
+        found = verify(pairs, "crossing")
         links = links.union(found)
+        spent += [pairs, found]
         if found.count() == pairs.count():  # what was presumed holds, so nothing was passed over wrongly
             break
-    return links
+    return links, spent
 
 
 def _dealt(groups: DataFrame, links: DataFrame, both: DataFrame) -> DataFrame:
