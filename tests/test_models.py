@@ -103,12 +103,24 @@ def test_voting_is_the_weighted_mean(spark, subjects):
         assert list(p) == pytest.approx([0.75 * a + 0.25 * b for a, b in zip(each[0][key], each[1][key])])
 
 
-def test_unsupported_model_and_too_many_levels(spark, subjects, monkeypatch):
+def test_unsupported_model(spark, subjects):
     with pytest.raises(ValueError):
         M.fit_model(subjects, FEATURES, "label", "nope")
-    monkeypatch.setattr(M, "MAX_LEVELS", 2)
-    with pytest.raises(ValueError, match="level"):
-        M.fit_preparation(subjects, ["level"])
+
+
+def test_levels_without_a_limit(spark):
+    # 150,000 levels, of which the even ones belong to one class
+    train = spark.range(300_000).selectExpr("concat('L', id % 150000) AS level", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 2 AS INT) AS label")
+    prep = M.fit_preparation(train, ["x", "level"])
+    assert prep.width == 150_001 and prep.categorical["level"][1][:3] == ["L0", "L1", "L10"]
+    model = M.fit_model(train, ["x", "level"], "label", "logistic_regression", {"max_iter": 20, "C": 100.0}, n_classes=2, preparation=prep)
+    probe = spark.createDataFrame([(1.0, "L4"), (1.0, "L149999"), (1.0, "new")], "x double, level string")
+    even, odd, new = (r["prob"] for r in M.score(model, probe).collect())
+    assert even[0] > 0.9 and odd[1] > 0.9 and abs(new[0] - 0.5) < 0.4
+    out = probe
+    for stage in prep.stages():
+        out = stage.transform(out)
+    assert [v["features"].numNonzeros() for v in out.collect()] == [2, 2, 1]
 
 
 def test_scoring_a_frame_without_a_feature(spark, subjects):

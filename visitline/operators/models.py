@@ -16,10 +16,10 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier,
 )
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from visitline.functions import probability as P
 from visitline.functions.ordered import exact_quantiles
@@ -27,8 +27,6 @@ from visitline.operators.metrics import classwise_calibration_error, expected_ca
 from visitline.operators.selection import align_to_schema
 from visitline.session import materialize
 
-MAX_LEVELS = 10_000
-
 
 # --- preparation -------------------------------------------------------------------------------
 
@@ -56,22 +54,38 @@ class Preparation:
             out.append(f"(coalesce(CAST(`{name}` AS DOUBLE), {median!r}D) - {mean!r}D) / {(std or 1.0)!r}D")
         for name, (mean, std) in self.indicators.items():
             out.append(f"(CAST(`{name}` IS NULL AS DOUBLE) - {mean!r}D) / {(std or 1.0)!r}D")
-        for name, (mode, levels) in self.categorical.items():
-            cell = f"coalesce(CAST(`{name}` AS STRING), {_quoted(mode)})"
-            out += [f"CAST({cell} = {_quoted(level)} AS DOUBLE)" for level in levels]
         return out
 
     def stages(self) -> list:
-        cells = self.expressions()
-        listed = ", ".join(f"{e} AS `_f{i}`" for i, e in enumerate(cells))
-        return [
-            SQLTransformer(statement=f"SELECT *, {listed} FROM __THIS__"),
-            VectorAssembler(inputCols=[f"_f{i}" for i in range(len(cells))], outputCol="features"),
+        """Numbers by SQL, levels by an index and a sparse indicator each, all in one vector.
+
+        Levels are numbered in order of their text. A level that training hadn't has no indicator set. A vector takes
+        a few bytes per feature, however many levels there are.
+        """
+        cells = [f"{e} AS `_f{i}`" for i, e in enumerate(self.expressions())]
+        inputs = [f"_f{i}" for i in range(len(cells))]
+        names = [f"_c{i}" for i in range(len(self.categorical))]
+        cells += [
+            f"coalesce(CAST(`{c}` AS STRING), {_quoted(mode)}) AS `{n}`" for n, (c, (mode, _)) in zip(names, self.categorical.items())
         ]
+        out = [SQLTransformer(statement=f"SELECT *, {', '.join(cells)} FROM __THIS__")]
+        if names:
+            places, hot = [f"{n}i" for n in names], [f"{n}v" for n in names]
+            # one index per feature: an index over several features pads their lists of levels to one length
+            indexers = [
+                StringIndexerModel.from_labels(levels, inputCol=n, outputCol=p, handleInvalid="keep")
+                for n, p, (_, levels) in zip(names, places, self.categorical.values())
+            ]
+            # the sizes come from the indices' metadata, so the encoder reads no row; the last one is the unseen level
+            none = SparkSession.active().createDataFrame([], ", ".join(f"`{n}` string" for n in names))
+            encoder = OneHotEncoder(inputCols=places, outputCols=hot, dropLast=True).fit(PipelineModel(indexers).transform(none))
+            out += [*indexers, encoder]
+            inputs += hot
+        return [*out, VectorAssembler(inputCols=inputs, outputCol="features")]
 
     @property
     def width(self) -> int:
-        return len(self.expressions())
+        return len(self.expressions()) + sum(len(levels) for _, levels in self.categorical.values())
 
 
 def _quoted(text: str) -> str:
@@ -118,8 +132,8 @@ def category_modes(train: DataFrame, categorical: Sequence[str]) -> DataFrame:
 def fit_preparation(train: DataFrame, features: Sequence[str], indicators: bool = False) -> Preparation:
     """Median imputation, optional null flags, z-scores and one-hot levels, from ``train`` only.
 
-    Features without any training value are dropped. A categorical feature with more than
-    ``MAX_LEVELS`` levels is refused: it would be one column per level.
+    Features without any training value are dropped. The levels are part of the model and come to the
+    driver, as a model's weight per level does.
     """
     numeric, categorical = feature_kinds(train, features)
     stats = {r["feature"]: r for r in numeric_statistics(train, numeric).collect()} if numeric else {}
@@ -133,9 +147,6 @@ def fit_preparation(train: DataFrame, features: Sequence[str], indicators: bool
     levels: dict[str, tuple[str, list[str]]] = {}
     if categorical:
         modes = {r["feature"]: r for r in category_modes(train, categorical).collect()}
-        wide = [c for c, r in modes.items() if r["levels"] > MAX_LEVELS]
-        if wide:
-            raise ValueError(f"Too many levels to one-hot encode: {', '.join(sorted(wide))}")
         found: dict[str, list[str]] = {}
         for r in category_counts(train, list(modes)).select("feature", "level").collect():
             found.setdefault(r["feature"], []).append(r["level"])

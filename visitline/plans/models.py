@@ -97,6 +97,29 @@ def prepared_features(spark, sf):
     )
 
 
+@query(
+    "level_indices",
+    f"""WITH {VISITS_SQL}, m AS (SELECT mode(priority ORDER BY priority) AS p, mode(segment ORDER BY segment) AS s FROM visits),
+    a AS (SELECT row_id, coalesce(priority, m.p) AS p, coalesce(segment, m.s) AS s FROM visits, m),
+    x AS (SELECT level, row_number() OVER (ORDER BY level) - 1 AS i FROM (SELECT DISTINCT priority AS level FROM visits WHERE priority IS NOT NULL)),
+    y AS (SELECT level, row_number() OVER (ORDER BY level) - 1 AS i FROM (SELECT DISTINCT segment AS level FROM visits WHERE segment IS NOT NULL))
+    SELECT row_id, CAST(x.i AS INT) AS priority_index, CAST(y.i AS INT) AS segment_index FROM a JOIN x ON a.p = x.level JOIN y ON a.s = y.level""",
+)
+def level_indices(spark, sf):
+    """Which indicator of each categorical feature is set in the prepared vector."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = visits(spark, sf)
+    prep = M.fit_preparation(rows, ["priority", "segment"])
+    out = rows
+    for stage in prep.stages():
+        out = stage.transform(out)
+    n, m = (len(prep.categorical[c][1]) for c in ("priority", "segment"))
+    cells = vector_to_array("features")
+    place = lambda start, size: (F.array_position(F.slice(cells, start + 1, size), 1.0) - 1).cast("int")
+    return out.select("row_id", place(0, n).alias("priority_index"), place(n, m).alias("segment_index"))
+
+
 # --- single models -----------------------------------------------------------------------------
 
 
