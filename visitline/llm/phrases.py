@@ -6,10 +6,11 @@ them its count as that of their first words, and takes their highest count. In s
 first) the same step gives the counts of their last words and the highest extension to the left. The steps are Spark's
 sort-merge joins, so streams are sorted outside memory and no count is held in a hash table of a join.
 
-Texts are read three times: for words, for keys of pairs of frequent words, then for the sequences of two and more
-words all of whose pairs have a frequent key. What is frequent goes to the tasks as a bitmap of fixed size. Keys
-and bitmaps let some rare sequences pass; their exact count drops them. Only sequences that reach the least count
-are ever needed: every part of a frequent sequence is frequent, and so is every sequence between two frequent ones.
+Texts are read four times: for words, for keys of pairs of frequent words, for keys of triples of frequent pairs, then
+for the sequences of two and more words whose pairs or triples have a frequent key. What is frequent goes to the tasks
+as bitmaps of fixed size. Keys and bitmaps let some rare sequences pass; their exact count drops them. Only
+sequences that reach the least count are ever needed: every part of a frequent sequence is frequent, and so is every
+sequence between two frequent ones.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from visitline.session import materialize, release, ship_package
 
 LONGEST = 4  # words of a phrase
 BITS = 27  # of a bitmap: 16 MB in a task
-KEY_BITS = 40  # of a pair's key in the first count of pairs; pairs that share one are counted together there
+KEY_BITS = 40  # of a key of two or three words; sequences that share one are counted together at first
 PIECE_BYTES = 1 << 20  # text bytes counted at a time; arrays over them take about seventy times as much
 _BLANK, _BREAK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _BREAK[[ord(c) for c in ".,;:!?"]] = True
@@ -118,24 +119,25 @@ def _starts(found: Pieces, n: int, parts: int, bitmap) -> np.ndarray:
     return here
 
 
-def _counts(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], bitmap) -> Iterator[pa.RecordBatch]:
-    """Counts of the sequences of these lengths whose pairs pass."""
+def _counts(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...], bitmaps: dict) -> Iterator[pa.RecordBatch]:
+    """Counts of the sequences of these lengths whose longest parts with a bitmap pass."""
     for batch in batches:
         for piece in words.pieces(batch, limit=PIECE_BYTES):
             found = Pieces(piece)
             for n in lengths:
-                here = _starts(found, n, 2, bitmap)
+                parts = max((p for p in bitmaps if p <= n), default=1)
+                here = _starts(found, n, parts, bitmaps.get(parts))
                 if len(here):
                     yield found.counted(here, n)
 
 
-def _pair_keys(batches: Iterator[pa.RecordBatch], bitmap) -> Iterator[pa.RecordBatch]:
-    """How often each key of a pair of passing words occurs."""
+def _keys(batches: Iterator[pa.RecordBatch], n: int, bitmap) -> Iterator[pa.RecordBatch]:
+    """How often each key of ``n`` words occurs whose parts of one word less pass."""
     for batch in batches:
         for piece in words.pieces(batch, limit=PIECE_BYTES):
             found = Pieces(piece)
-            keys, n = np.unique(found.hashes(_starts(found, 2, 1, bitmap), 2) & np.uint64((1 << KEY_BITS) - 1), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+            keys, times = np.unique(found.hashes(_starts(found, n, n - 1, bitmap), n) & np.uint64((1 << KEY_BITS) - 1), return_counts=True)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "n": pa.array(times.astype(np.int64))})
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,17 +155,19 @@ def count_streams(docs: DataFrame, least: int) -> tuple[DataFrame, list[DataFram
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
 
-    def stream(lengths: tuple[int, ...], bitmap) -> DataFrame:
-        return texts.mapInArrow(lambda it: _counts(it, lengths, bitmap), _COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+    def stream(lengths: tuple[int, ...], bitmaps: dict) -> DataFrame:
+        return texts.mapInArrow(lambda it: _counts(it, lengths, bitmaps), _COUNTED).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
 
-    every = materialize(stream((1,), None), "words")
+    every = materialize(stream((1,), {}), "words")
     totals = materialize(every.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
     streams = [materialize(every.where(F.col("a") >= least), "stream")]
     release(every)
-    common = context.broadcast(bitmap_of(streams[0].mapInArrow(_marks, "mark bigint"), "mark", BITS))
-    keys = texts.mapInArrow(lambda it: _pair_keys(it, common), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    pairs = context.broadcast(bitmap_of(keys.where(F.col("n") >= least), "key", BITS))
-    longer = materialize(stream(tuple(range(2, LONGEST + 1)), pairs).where(F.col("a") >= least), "stream")
+    common = {1: context.broadcast(bitmap_of(streams[0].mapInArrow(_marks, "mark bigint"), "mark", BITS))}
+    for n in (2, 3):
+        keys = texts.mapInArrow(lambda it, n=n, shorter=common[n - 1]: _keys(it, n, shorter), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+        common[n] = context.broadcast(bitmap_of(keys.where(F.col("n") >= least), "key", BITS))
+    del common[1]
+    longer = materialize(stream(tuple(range(2, LONGEST + 1)), common).where(F.col("a") >= least), "stream")
     blanks = F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit("")))
     return totals, [*streams, *(longer.where(blanks == n - 1) for n in range(2, LONGEST + 1))]
 
