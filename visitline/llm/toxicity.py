@@ -186,6 +186,7 @@ def fit_chain(texts: pa.Array, toxic: np.ndarray, rounds: int = 40, l2: float =
                 same = np.flatnonzero(np.diff(row[on]) == 0)
                 chosen.append((slots[on], truth[on].astype(float), np.concatenate([[0], np.cumsum(kept)]), same))
         before += len(own)
+    chosen = _joined(chosen)
     weights, chain = np.zeros(1 << HASH_BITS), np.zeros(5)
     chain[4] = -2.0
     grown, grown_chain = np.full(1 << HASH_BITS, 1e-6), np.full(5, 1e-6)
@@ -196,8 +197,7 @@ def fit_chain(texts: pa.Array, toxic: np.ndarray, rounds: int = 40, l2: float =
             odds, moves = marginals(_evidence(weights, x), bounds, chain)
             p = 1 / (1 + np.exp(-odds))
             gap = (y - p) / scale
-            for c in range(x.shape[1]):
-                slope += np.bincount(x[:, c], weights=gap, minlength=len(weights))
+            slope += np.bincount(x.ravel(), weights=np.repeat(gap, x.shape[1]), minlength=len(weights))
             firsts = bounds[:-1][np.diff(bounds) > 0]
             seen = np.bincount((2 * y[same] + y[same + 1]).astype(int), minlength=4)
             slope_chain = slope_chain + np.append((seen - moves.ravel()) / scale, (y[firsts] - p[firsts]).sum() / scale)
@@ -220,6 +220,20 @@ def fit_chain(texts: pa.Array, toxic: np.ndarray, rounds: int = 40, l2: float =
     return model
 
 
+def _joined(blocks: list[tuple]) -> list[tuple]:
+    """Blocks of stretches joined to such of about ``STRETCH_BLOCK`` stretches."""
+    out, held, size = [], [], 0
+    for i, block in enumerate(blocks):
+        held.append(block)
+        size += len(block[2]) - 1
+        if size >= STRETCH_BLOCK or i == len(blocks) - 1:
+            before = np.cumsum([0, *(len(y) for _, y, _, _ in held)])
+            bounds = np.concatenate([[0], *(b[1:] + n for (_, _, b, _), n in zip(held, before))])
+            out.append((np.concatenate([x for x, *_ in held]), np.concatenate([y for _, y, *_ in held]), bounds, np.concatenate([s + n for (*_, s), n in zip(held, before)])))
+            held, size = [], 0
+    return out
+
+
 def _evidence(weights: np.ndarray, slots: np.ndarray) -> np.ndarray:
     out = np.zeros(len(slots))
     for c in range(slots.shape[1]):
