@@ -23,9 +23,15 @@ _BLOCK = 16  # borders are searched in two steps: the block, then the border in
 MAX_POINTS = 4096  # groups and buckets whose borders are fetched; a longer list stays distributed
 
 
+def seeded_hash(seed: int, *parts: Column) -> Column:
+    """The first 60 bits of md5 over ``seed:part:...`` as a number: an order any SQL engine can repeat."""
+    text = F.concat_ws(":", F.lit(str(int(seed))), *[p.cast("string") for p in parts])
+    return F.conv(F.left(F.md5(text.cast("binary")), F.lit(15)), 16, 10).cast("bigint")
+
+
 def hash_bucket(h: Column) -> Column:
-    """Monotone bucket of a 64-bit hash; hashes are uniform, so 4096 buckets are balanced."""
-    return F.shiftright(h, 52).cast("int")
+    """Monotone bucket of a 60-bit hash; hashes are uniform, so 4096 buckets are balanced."""
+    return F.shiftright(h, 48).cast("int")
 
 
 def _cut_points(rows: DataFrame, value: str, keys: Sequence[str], limit: int) -> DataFrame | None:

@@ -116,6 +116,13 @@ def auc_ovr(
         *[F.sum(F.col(f"y{a}") * below[b]).alias(f"w_{a}_{b}") for a, b in pairs],
         *[F.max(f"y{k}_total").alias(f"t{k}") for k in classes],
     )
+    return auc_from_wins(wins, classes, by)
+
+
+def auc_from_wins(wins: DataFrame, classes: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
+    """Macro AUC per group from one row per scored class: ``w_a_b`` is the weight of pairs in which class a
+    scores above class b (ties count half), ``t{k}`` the weight of class k."""
+    pairs = [(a, b) for a in classes for b in classes if a != b]
     own = None
     for k in classes:
         rest = [b for b in classes if b != k]

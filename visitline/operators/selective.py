@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from visitline.functions import probability as P
-from visitline.functions.ordered import exact_quantiles
+from visitline.functions.ordered import exact_quantiles, seeded_hash
 from visitline.functions.states import DEFAULT_SCHEME, StateScheme, error_groups
 from visitline.operators.metrics import confusion_cells, metrics_from_cells, multiclass_metrics
 from visitline.operators.selection import first_per_key
@@ -220,7 +220,7 @@ def top_k(df: DataFrame, value: str, k: int, *ties: str) -> DataFrame:
 
 def bounded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows in seeded hash order; Spark keeps ``n`` rows per partition, then ``n`` overall."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.col(key)).limit(n)
+    return df.orderBy(seeded_hash(seed, F.col(key)), F.col(key)).limit(n)
 
 
 # --- errors ------------------------------------------------------------------------------------

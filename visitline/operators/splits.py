@@ -11,17 +11,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from visitline.functions.ordered import hash_bucket, running_sums
+from visitline.functions.ordered import hash_bucket, running_sums, seeded_hash
 from visitline.operators.selection import first_per_key  # noqa: F401  (re-exported for callers)
 
 
 ID_CHARACTERS = 3  # of an id, past the shared ones, that part the subjects of one instant
 
 
-def subject_hash(subject: Column, seed: int) -> Column:
-    return F.xxhash64(subject.cast("string"), F.lit(int(seed)))
-
-
 def subject_labels(df: DataFrame, subject: str, label: str) -> DataFrame:
     """Most frequent label per subject, the smallest one on ties."""
     return df.groupBy(F.col(subject).alias("subject")).agg(F.mode(label, deterministic=True).alias("label"))
@@ -91,7 +87,7 @@ def temporal_split(
 
 def hash_ranked(subjects: DataFrame, seed: int, by: Sequence[str] = ()) -> DataFrame:
     """Add ``position`` (0-based place in seeded hash order within the group) and ``size``."""
-    hashed = subjects.withColumn("_hash", subject_hash(F.col("subject"), seed)).withColumns(
+    hashed = subjects.withColumn("_hash", seeded_hash(seed, F.col("subject"))).withColumns(
         {"_bucket": hash_bucket(F.col("_hash")), "_one": F.lit(1).cast("bigint")}
     )
     return (

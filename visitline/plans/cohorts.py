@@ -8,7 +8,7 @@ from visitline.functions import states as S
 from visitline.operators import pairs as J, selection as W, splits as T, survival as E
 from visitline.plans.registry import query, rounded
 from visitline.plans.standins import (
-    FEATURES, PAIRS_SQL, SCHEME, SPEC, VISITS_SQL, bare_visits, table, visits,
+    FEATURES, PAIRS_SQL, SCHEME, SPEC, VISITS_SQL, PLACES_SQL, bare_visits, hash_sql, table, visits,
 )
 
 # --- labels ------------------------------------------------------------------------------------
@@ -564,12 +564,13 @@ _STRATA_SQL = """WITH c AS (SELECT o_custkey AS subject, o_orderstatus AS label,
  w AS (SELECT *, sum(rest) OVER () AS rtotal FROM v),
  x AS (SELECT *, vtake * rest / CAST(rtotal AS DOUBLE) AS vex FROM w),
  y AS (SELECT *, CAST(floor(vex) AS BIGINT) AS vbase FROM x),
- z AS (SELECT *, vbase + CASE WHEN row_number() OVER (ORDER BY vex - vbase DESC, label) <= vtake - sum(vbase) OVER () THEN 1 ELSE 0 END AS n_val FROM y)
+ z AS (SELECT *, vbase + CASE WHEN row_number() OVER (ORDER BY vex - vbase DESC, label) <= vtake - sum(vbase) OVER () THEN 1 ELSE 0 END AS n_val FROM y)"""
+_STRATA_SIZES_SQL = f"""{_STRATA_SQL}
  SELECT label, 'test' AS split, CAST(n_test AS BIGINT) AS subjects FROM z UNION ALL SELECT label, 'val', CAST(n_val AS BIGINT) FROM z
  UNION ALL SELECT label, 'train', CAST(rest - n_val AS BIGINT) FROM z"""
 
 
-@query("stratified_split_sizes", _STRATA_SQL)
+@query("stratified_split_sizes", _STRATA_SIZES_SQL)
 def stratified_split_sizes(spark, sf):
     out = T.stratified_split(bare_visits(spark, sf), "subject", "state", seed=42)
     return out.groupBy("label", "split").agg(F.count("*").alias("subjects"))
@@ -585,16 +586,31 @@ def random_split_sizes(spark, sf):
     return T.random_split(bare_visits(spark, sf), "subject").groupBy("split").agg(F.count("*").alias("subjects"))
 
 
-@query("stratified_split")
+@query(
+    "stratified_split",
+    f"""{_STRATA_SQL}, l AS (SELECT subject, label FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY n DESC, label) AS r FROM c) WHERE r = 1),
+    p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {hash_sql('subject')}, subject) - 1 AS position FROM l)
+    SELECT subject, label, CASE WHEN position < n_test THEN 'test' WHEN position < n_test + n_val THEN 'val' ELSE 'train' END AS split
+    FROM p JOIN z USING (label)""",
+)
 def stratified_split(spark, sf):
     return T.stratified_split(bare_visits(spark, sf), "subject", "state", seed=42)
 
 
-@query("random_split")
+@query(
+    "random_split",
+    f"""WITH {PLACES_SQL}, t AS (SELECT *, ceil(n * 0.2) AS te FROM places), v AS (SELECT *, ceil((n - te) * (0.1 / (1.0 - 0.2))) AS va FROM t)
+    SELECT subject, CASE WHEN position < te THEN 'test' WHEN position < te + va THEN 'val' ELSE 'train' END AS split FROM v""",
+)
 def random_split(spark, sf):
     return T.random_split(bare_visits(spark, sf), "subject", seed=42)
 
 
-@query("grouped_folds")
+@query(
+    "grouped_folds",
+    f"""WITH s AS (SELECT o_custkey AS subject, count(*) AS rows FROM orders GROUP BY 1), c AS (SELECT *, CAST(floor(log2(rows) * 8) AS INTEGER) AS k FROM s),
+    p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY {hash_sql('subject')}, subject) - 1 AS position FROM c)
+    SELECT subject, rows, CAST((CASE WHEN position % 10 < 5 THEN position % 10 ELSE 9 - position % 10 END + k * 2 % 5) % 5 + 1 AS INTEGER) AS fold FROM p""",
+)
 def grouped_folds(spark, sf):
     return T.grouped_folds(bare_visits(spark, sf), "subject")

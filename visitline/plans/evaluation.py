@@ -9,7 +9,7 @@ from visitline.functions.states import error_category, state_name
 from visitline.operators import bootstrap as B, metrics as M, selective as V
 from visitline.plans.registry import query, rounded
 from visitline.plans.standins import (
-    BINARY_SQL, PRED_SQL, SCHEME, VISITS_SQL, bare_visits, binary_scores, predictions, table, visits,
+    BINARY_SQL, PLACES_SQL, PRED_SQL, SCHEME, VISITS_SQL, bare_visits, binary_scores, hash_sql, predictions, table, visits,
 )
 
 
@@ -282,13 +282,56 @@ def scoped_evaluation(spark, sf):
     return rounded(_json_matrix(V.scoped_evaluation(rows, "y", "prob", "subject", "visit_date", "row_id")))
 
 
-@query("bootstrap_intervals")
+def _bootstrap_sql(source: str, repetitions: int) -> str:
+    """Draws, their counts per (repetition, truth, call, probabilities) and percentile intervals."""
+    names = ("accuracy", "balanced_accuracy", "macro_f1", "roc_auc_ovr", "log_loss", "brier_score")
+    cell = lambda i, j: f"sum(w) FILTER (WHERE y = {i} AND yhat = {j})"
+    total = lambda cells: " + ".join(f"coalesce({c}, 0)" for c in cells)
+    sup = {k: "(" + total(cell(k, j) for j in range(3)) + ")" for k in range(3)}
+    cal = {k: "(" + total(cell(i, k) for i in range(3)) + ")" for k in range(3)}
+    hit = {k: f"coalesce({cell(k, k)}, 0)" for k in range(3)}
+    mean = lambda num, den: "list_avg([" + ", ".join(f"CASE WHEN {den(k)} > 0 THEN {num(k)} / CAST({den(k)} AS DOUBLE) END" for k in range(3)) + "])"
+    own = "least(greatest(CASE y WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END, 2.220446049250313e-16), 1 - 2.220446049250313e-16)"
+    brier = " + ".join(f"power(p{k} - CASE WHEN y = {k} THEN 1 ELSE 0 END, 2)" for k in range(3))
+    scores = " UNION ALL ".join(f"SELECT rep, y, w, {k} AS k, p{k} AS s FROM sums" for k in range(3))
+    return f"""WITH {PRED_SQL}, {PLACES_SQL}, source AS ({source}),
+    draws AS (SELECT rep, CAST('0x' || left(md5('42:' || rep || ':' || position), 15) AS BIGINT) % n AS position FROM places, range(1, {repetitions + 1}) t(rep)),
+    times AS (SELECT rep, position, count(*) AS times FROM draws GROUP BY 1, 2),
+    merged AS (SELECT position, y, yhat, p0, p1, p2, count(*) AS same FROM source JOIN places USING (subject) GROUP BY ALL),
+    sums AS (SELECT rep, y, yhat, p0, p1, p2, CAST(sum(times * same) AS BIGINT) AS w FROM times JOIN merged USING (position) GROUP BY ALL
+      UNION ALL SELECT 0, y, yhat, p0, p1, p2, count(*) FROM source GROUP BY ALL),
+    flat AS (SELECT rep, ({total(cell(k, k) for k in range(3))}) / CAST(sum(w) AS DOUBLE) AS accuracy,
+      {mean(lambda k: hit[k], lambda k: sup[k])} AS balanced_accuracy,
+      {mean(lambda k: f"2 * {hit[k]}", lambda k: f"({sup[k]} + {cal[k]})")} AS macro_f1,
+      sum(w * -ln({own})) / sum(w) AS log_loss, sum(w * ({brier})) / sum(w) AS brier_score FROM sums GROUP BY rep),
+    ties AS (SELECT rep, k, s, CAST(sum(CASE WHEN y = k THEN w ELSE 0 END) AS DOUBLE) AS pos, CAST(sum(CASE WHEN y <> k THEN w ELSE 0 END) AS DOUBLE) AS neg FROM ({scores}) GROUP BY ALL),
+    below AS (SELECT *, sum(neg) OVER (PARTITION BY rep, k ORDER BY s) - neg AS less FROM ties),
+    auc AS (SELECT rep, avg(a) AS roc_auc_ovr FROM (SELECT rep, k, sum(pos * (less + neg / 2)) / (sum(pos) * sum(neg)) AS a FROM below GROUP BY rep, k) GROUP BY rep),
+    long AS (UNPIVOT (SELECT * FROM flat JOIN auc USING (rep)) ON {", ".join(names)} INTO NAME metric VALUE v)
+    SELECT metric, round(max(v) FILTER (WHERE rep = 0), 6) AS estimate, round(quantile_cont(v, 0.025) FILTER (WHERE rep > 0), 6) AS ci_lower,
+      round(quantile_cont(v, 0.975) FILTER (WHERE rep > 0), 6) AS ci_upper, count(v) FILTER (WHERE rep > 0) AS valid_repetitions, 'subject' AS bootstrap_unit
+    FROM long GROUP BY metric"""
+
+
+@query("bootstrap_intervals", _bootstrap_sql("SELECT subject, y, yhat, p0, p1, p2 FROM pred", 1000))
 def bootstrap_intervals(spark, sf):
-    return B.subject_bootstrap_ci(predictions(spark, sf), "subject", "y", _prob(), repetitions=100)
+    return rounded(B.subject_bootstrap_ci(predictions(spark, sf), "subject", "y", _prob()))
+
+
+@query(
+    "bootstrap_called_intervals",
+    _bootstrap_sql("SELECT subject, y, CASE WHEN p2 >= 0.3 THEN 2 ELSE yhat END AS yhat, p0, p1, p2 FROM pred", 200),
+)
+def bootstrap_called_intervals(spark, sf):
+    called = F.when(F.get("prob", F.lit(2)) >= 0.3, 2).otherwise(P.predicted_class(_prob()))
+    return rounded(B.subject_bootstrap_ci(predictions(spark, sf), "subject", "y", _prob(), 200, predicted=called))
 
 
 @query(
     "resampled_blocks",
+    f"""WITH {PLACES_SQL}, picked AS (SELECT CAST('0x' || left(md5('42:1:' || position), 15) AS BIGINT) % n AS position, count(*) AS times FROM places GROUP BY 1)
+    SELECT subject, CAST(o_orderdate AS DATE) AS visit_date, o_orderstatus AS state, o_orderkey AS row_id, o_totalprice AS spend, copy
+    FROM (SELECT *, unnest(range(1, times + 1)) AS copy FROM picked) JOIN places USING (position) JOIN orders ON o_custkey = subject""",
 )
 def resampled_blocks(spark, sf):
     return B.resample_blocks(bare_visits(spark, sf), "subject", seed=42)
@@ -571,7 +614,11 @@ def top_values(spark, sf):
     return V.top_k(bare_visits(spark, sf).select("row_id", "spend"), "spend", 20, "row_id")
 
 
-@query("bounded_sample")
+@query(
+    "bounded_sample",
+    f"""SELECT o_custkey AS subject, CAST(o_orderdate AS DATE) AS visit_date, o_orderstatus AS state, o_orderkey AS row_id, o_totalprice AS spend
+    FROM orders ORDER BY {hash_sql('o_orderkey')}, o_orderkey LIMIT 300""",
+)
 def bounded_sample(spark, sf):
     return V.bounded_sample(bare_visits(spark, sf), "row_id", 300, seed=42)
 

@@ -105,3 +105,13 @@ def binary_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 BINARY_SQL = """scores AS (
   SELECT doc_id, quality AS y, ((doc_id * 7919) % 1000) / CAST(1000 AS DOUBLE) AS score, toxic AS part FROM labels)"""
+
+
+def hash_sql(text: str, seed: int = 42) -> str:
+    """The seeded order of splits, samples and draws in SQL."""
+    return f"CAST('0x' || left(md5('{seed}:' || {text}), 15) AS BIGINT)"
+
+
+PLACES_SQL = f"""places AS (
+  SELECT subject, row_number() OVER (ORDER BY {hash_sql('subject')}, subject) - 1 AS position, count(*) OVER () AS n
+  FROM (SELECT DISTINCT o_custkey AS subject FROM orders))"""
