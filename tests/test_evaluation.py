@@ -213,6 +213,42 @@ def test_bootstrap_is_seeded_and_covers_the_estimate(spark):
         assert low <= estimate <= high and valid == 60 and unit == "subject"
 
 
+@pytest.mark.parametrize("called", [False, True])
+def test_repetitions_equal_written_out_resamples(spark, called):
+    data = random_predictions(90, 4, grid=4)
+    # Subject 0 owns a third of the rows; class 2 stands for one subject only, so some resamples lack it.
+    subjects = [0 if i % 3 == 0 else 1 + i % 9 for i in range(len(data))]
+    data = [(s, 2 if s == 5 else y % 2, p) for s, (y, p) in zip(subjects, data)]
+    df = spark.createDataFrame([*data, (1, 0, None), (None, 1, [0.2, 0.5, 0.3])], "RID int, truth int, prob array<double>")
+    rule = F.when(F.get("prob", F.lit(2)) >= 0.3, 2).otherwise(0) if called else None
+    got = {r["rep"]: r for r in B.repetition_metrics(df, "RID", "truth", F.col("prob"), 40, 7, predicted=rule).collect()}
+    places = B.subject_places(df, "RID", 7)
+    drawn = {r["subject"]: r["reps"] for r in B.draw_lists(places, 40, 7).join(places, "position").collect()}
+    assert sum(len(v) for v in drawn.values()) == 40 * places.count()
+    undefined = 0
+    for rep in range(40):
+        rows_of = [(y, p) for s, y, p in data for _ in range(drawn.get(s, []).count(rep + 1))]
+        calls = [(2 if p[2] >= 0.3 else 0) if called else int(np.argmax(p)) for _, p in rows_of]
+        assert got[rep]["n_rows"] == len(rows_of)
+        assert got[rep]["accuracy"] == pytest.approx(np.mean([y == c for (y, _), c in zip(rows_of, calls)]))
+        assert got[rep]["log_loss"] == pytest.approx(np.mean([-np.log(max(p[y], 2.220446049250313e-16)) for y, p in rows_of]))
+        if {y for y, _ in rows_of} != {0, 1, 2}:
+            undefined += 1
+            continue
+        areas = []
+        for k in range(3):
+            own, rest = ([p[k] for y, p in rows_of if (y == k) == side] for side in (True, False))
+            areas.append(np.mean([(a > b) + (a == b) / 2 for a in own for b in rest]))
+        assert got[rep]["roc_auc_ovr"] == pytest.approx(np.mean(areas))
+    assert undefined
+
+
+def test_bootstrap_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "RID int, truth int, prob array<double>")
+    got = B.subject_bootstrap_ci(df, "RID", "truth", F.col("prob"), 10).collect()
+    assert len(got) == len(B.METRICS) and all(r["valid_repetitions"] == 0 and r["ci_lower"] is None for r in got)
+
+
 def test_scoped_evaluation_lists_thin_bins(spark):
     data = [(i, 0 if i % 2 else 1, [0.6, 0.3, 0.1], f"2020-01-{1 + i % 28:02d}", i, 15.0) for i in range(30)]
     df = spark.createDataFrame(data, "RID int, y int, prob array<double>, d string, row_id int, forecast_months double")

@@ -19,9 +19,10 @@ from visitline.functions.ordered import seeded_hash
 from visitline.functions.skew import MIN_HOT_ROWS, lookup_join, salted_join
 from visitline.operators.metrics import auc_from_wins, metrics_from_cells, multiclass_metrics
 from visitline.operators.splits import hash_ranked
-from visitline.session import materialize, ship_package
+from visitline.session import materialize, release, ship_package
 
 METRICS = ("accuracy", "balanced_accuracy", "macro_f1", "roc_auc_ovr", "log_loss", "brier_score")
+ROWS_TOGETHER = 64  # predictions of a subject in one list
 HELD_WEIGHTS = 1 << 19  # weights over repetitions that one task holds before it hands them on
 
 _PARTIAL = (
@@ -29,30 +30,34 @@ _PARTIAL = (
 )
 
 
-def draw_lists(df: DataFrame, subject: str, repetitions: int, seed: int) -> DataFrame:
-    """(subject, reps): the repetitions that draw a subject, once per draw; n subjects are drawn in each.
+def subject_places(df: DataFrame, subject: str, seed: int) -> DataFrame:
+    """(subject, position, size): every subject's place in seeded hash order."""
+    return hash_ranked(df.select(F.col(subject).alias("subject")).where(F.col("subject").isNotNull()).distinct(), seed)
 
-    Subjects never drawn have no row. The draws are shuffled once, as (position, repetition).
-    """
-    subjects = df.select(F.col(subject).alias("subject")).where(F.col("subject").isNotNull()).distinct()
-    ranked = hash_ranked(subjects, seed)
-    # Every ranked subject stands for one draw number of each repetition.
-    draws = ranked.select(
-        F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep"), F.col("position").alias("draw"), "size"
-    ).select("rep", F.pmod(seeded_hash(seed, F.col("rep"), F.col("draw")), F.col("size")).alias("position"))
-    lists = draws.groupBy("position").agg(F.collect_list("rep").alias("reps"))
-    return lists.join(ranked.select("subject", "position"), "position").select("subject", "reps")
 
+def draw_lists(places: DataFrame, repetitions: int, seed: int) -> DataFrame:
+    """(position, reps): the repetitions that draw a subject, once per draw; n subjects are drawn in each.
 
-def draw_counts(df: DataFrame, subject: str, repetitions: int, seed: int) -> DataFrame:
-    """(rep, subject, times): the same draws, counted per repetition."""
-    drawn = draw_lists(df, subject, repetitions, seed)
-    return drawn.select(F.explode("reps").alias("rep"), "subject").groupBy("rep", "subject").agg(F.count("*").alias("times"))
+    Subjects never drawn have no row. Draws are made and shuffled, as (position, repetition), in as many
+    tasks as the session's shuffles have: a place is a few bytes but stands for ``repetitions`` draws, so
+    their number must not follow the size of the input. The lists stay where the draws were shuffled to.
+    """
+    tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Every place stands for one draw number of each repetition.
+    return (
+        places.repartition(tasks, "position")
+        .select(F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep"), F.col("position").alias("draw"), "size")
+        .select("rep", F.pmod(seeded_hash(seed, F.col("rep"), F.col("draw")), F.col("size")).alias("position"))
+        .repartition(tasks, "position")
+        .groupBy("position")
+        .agg(F.collect_list("rep").alias("reps"))
+    )
 
 
 def resample_blocks(df: DataFrame, subject: str, seed: int) -> DataFrame:
     """One resample: every row of a drawn subject, once per draw (``copy`` numbers the repeats)."""
-    picked = draw_lists(df, subject, 1, seed).select(F.col("subject").alias(subject), F.size("reps").alias("times"))
+    places = subject_places(df, subject, seed)
+    picked = draw_lists(places, 1, seed).join(places, "position").select(F.col("subject").alias(subject), F.size("reps").alias("times"))
     return (
         lookup_join(df, picked, subject)
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times").cast("bigint"))))
@@ -60,29 +65,30 @@ def resample_blocks(df: DataFrame, subject: str, seed: int) -> DataFrame:
     )
 
 
-def _dense(batch: pa.RecordBatch, repetitions: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first row of every distinct prediction of a batch and its weight per repetition."""
-    reps, probs = batch.column("reps"), batch.column("prob")
-    width = len(probs.flatten()) // max(len(batch), 1)
-    keys = np.column_stack(
-        [batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("truth", "called")]
-        + [probs.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), width)]
-    )
-    _, first, place = np.unique(keys, axis=0, return_index=True, return_inverse=True)
-    sizes = reps.value_lengths().to_numpy(zero_copy_only=False)
+def _weights(batch: pa.RecordBatch, repetitions: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The predictions of a batch, the first one of every distinct kind, and its weight per repetition."""
+    reps, rows = batch.column("reps"), batch.column("rows").flatten()
+    groups = np.arange(len(batch))
+    own = np.repeat(groups, reps.value_lengths().to_numpy(zero_copy_only=False))
     hits = reps.flatten().to_numpy(zero_copy_only=False).astype(np.int64) - 1
-    slot = np.repeat(place.reshape(-1), sizes) * repetitions + hits
-    same = np.repeat(batch.column("same").to_numpy(zero_copy_only=False), sizes)
-    return first, np.bincount(slot, weights=same, minlength=len(first) * repetitions).reshape(len(first), repetitions)
+    times = np.bincount(own * repetitions + hits, minlength=len(batch) * repetitions).reshape(len(batch), repetitions)
+    number = lambda c: rows.field(c).to_numpy(zero_copy_only=False).astype(float)
+    probs = rows.field("prob").flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    keys = np.column_stack([number("truth"), number("called"), probs])
+    _, first, kind = np.unique(keys, axis=0, return_index=True, return_inverse=True)
+    same = np.zeros((len(first), len(batch)))
+    group = np.repeat(groups, batch.column("rows").value_lengths().to_numpy(zero_copy_only=False))
+    np.add.at(same, (kind.reshape(-1), group), number("same"))
+    return rows, first, same @ times.astype(float)
 
 
 def _sum_predictions(repetitions: int, scored: bool):
-    """Rows with their draws -> weights per distinct prediction, and confusion cells, one set per task.
+    """Subjects' predictions and draws -> weights per distinct prediction, and confusion cells, one set per task.
 
     A task holds at most ``HELD_WEIGHTS`` weights of predictions; when it is full they are handed on and
     begun anew, so a prediction may come in several parts.
     """
-    rows_at_once = max(1, HELD_WEIGHTS // repetitions)
+    held_at_once = max(1, HELD_WEIGHTS // repetitions)
 
     def out(kind: str, keys, weights, losses=None, briers=None) -> pa.RecordBatch:
         none = [None] * len(keys)
@@ -102,11 +108,10 @@ def _sum_predictions(repetitions: int, scored: bool):
         held: dict[tuple, np.ndarray] = {}
         cells: dict[tuple, np.ndarray] = {}
         for whole in batches:
-            for start in range(0, len(whole), rows_at_once):
-                batch = whole.slice(start, rows_at_once)
-                first, weights = _dense(batch, repetitions)
-                kept = batch.select(["truth", "called", "prob", "loss", "brier"]).take(pa.array(first)).to_pylist()
-                for row, vector in zip(kept, weights):
+            for start in range(0, len(whole), held_at_once):
+                batch = whole.slice(start, held_at_once)
+                rows, first, weights = _weights(batch, repetitions)
+                for row, vector in zip(rows.take(pa.array(first)).to_pylist(), weights):
                     cell = cells.setdefault((row["truth"], row["called"]), np.zeros((3, repetitions)))
                     cell += vector * np.array([[1.0], [row["loss"]], [row["brier"]]])
                     if scored:
@@ -115,7 +120,7 @@ def _sum_predictions(repetitions: int, scored: bool):
                             held[key] += vector
                         else:
                             held[key] = vector.copy()
-                if len(held) >= rows_at_once:
+                if len(held) >= held_at_once:
                     yield out("prediction", list(held), held.values())
                     held = {}
         if held:
@@ -210,14 +215,31 @@ def repetition_metrics(
     # Equal predictions of a subject are counted before they meet its draws.
     merged = rows.groupBy("subject", "truth", "called", "prob").agg(F.count("*").cast("double").alias("same"))
     known = F.when(F.col("truth") >= 0, F.col("truth"))
+    places = materialize(subject_places(df, subject, seed), "places")
+    placed = materialize(
+        lookup_join(merged, places.select("subject", "position"), "subject").select(
+            "position",
+            F.struct(
+                "truth", "called", "prob", "same",
+                F.coalesce(P.clipped_log_loss(F.get("prob", known)), F.lit(0.0)).alias("loss"),
+                F.coalesce(P.brier(F.col("prob"), known, len(classes)), F.lit(0.0)).alias("brier"),
+            ).alias("row"),
+        ),
+        "placed",
+    )
+    # A subject's rows meet its draws in lists of ROWS_TOGETHER on average, however many rows it has.
+    counts = placed.groupBy("position").agg(F.count("*").alias("_rows"))
+    lists = F.ceil(F.col("_rows") / F.lit(ROWS_TOGETHER))
+    grouped = (
+        lookup_join(placed, counts, "position")
+        .groupBy("position", F.pmod(F.xxhash64("row"), lists).alias("part"))
+        .agg(F.collect_list("row").alias("rows"))
+    )
     drawn = salted_join(
-        merged, draw_lists(df, subject, repetitions, seed), ["subject"], "inner", F.struct("truth", "prob"),
+        grouped, draw_lists(places, repetitions, seed), ["position"], "inner", F.col("part"),
+        counts=counts.select("position", lists.alias("_rows")),
         min_rows=max(1, MIN_HOT_ROWS // repetitions),
-    ).select(
-        "truth", "called", "prob", "same", "reps",
-        F.coalesce(P.clipped_log_loss(F.get("prob", known)), F.lit(0.0)).alias("loss"),
-        F.coalesce(P.brier(F.col("prob"), known, len(classes)), F.lit(0.0)).alias("brier"),
-    )
+    ).select("rows", "reps")
     summed = materialize(drawn.mapInArrow(_sum_predictions(repetitions, auc), _PARTIAL), "bootstrap")
     cells = (
         summed.where("kind = 'cell'")
@@ -229,6 +251,7 @@ def repetition_metrics(
         .agg(F.sum("_v.weights").alias("n"), F.sum("_v.losses").alias("ll"), F.sum("_v.briers").alias("br"))
         .where("n > 0")
     )
+    release(places, placed)
     report = metrics_from_cells(cells, classes, ["rep"])
     if not auc:
         return report
