@@ -240,6 +240,14 @@ def test_languages_are_told_apart(spark):
     got = {r["doc_id"]: r for r in langid.predict_language(docs, model, keep=["doc_id", "key"]).collect()}
     assert all(got[i]["lang_pred"] == list(kinds)[i % 3] for i in range(240))
     assert {got[1000 + i]["lang_pred"] for i in (0, 1, 2, 7, 8)} == {"und"} and got[1000]["score"] == 0 and got[5]["key"] == "k"
+    signs = spark.createDataFrame([(i, t) for i, t in enumerate(["\u00bd \u00b2 \u00bd", "\u2167", "12 \U0001f600", "\u00bd abcde"])], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in langid.predict_language(signs, model).orderBy("doc_id").collect()] == [True, True, True, False]
+    # Letters far behind the first `sample_chars` characters are found, whatever place the hash chooses.
+    late = docs.where("doc_id < 240").withColumn("text", F.concat(F.repeat(F.lit("7 \U0001f600"), 2000), "text", F.repeat(F.lit(" 7"), 3000)))
+    model_of_late = langid.fit_language_codes(late, sample_chars=150)
+    assert model_of_late["langs"] == list(kinds)
+    told = langid.predict_language(docs.where("doc_id < 240"), model_of_late).collect()
+    assert sum(r["lang_pred"] == list(kinds)[r["doc_id"] % 3] for r in told) >= 235
     nothing = langid.fit_language_codes(empty(spark))
     assert {r["lang_pred"] for r in langid.predict_language(docs, nothing).collect()} == {"und"}
     assert langid.predict_language(empty(spark), model).count() == 0

@@ -8,7 +8,6 @@ decoding); if the runner-up is nearly as near, the row is flagged as ambiguous.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -21,9 +20,9 @@ from visitline.session import ship_package
 
 BUCKET_BITS = 12
 SAMPLE_ROWS = 3000  # at most so many labelled texts are fitted, all languages together
-SAMPLE_BYTES = 20_000  # of each sampled text, from its start; predictions read whole texts
+SAMPLE_CHARS = 20_000  # of each sampled text, from anywhere; predictions read whole texts
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"  # Unicode categories L*, in fitting and predicting alike
 _FOLD = words._LOWER.copy()
 _FOLD[[*range(0x00, 0x21), *range(0x30, 0x3A)]] = 0x20  # controls and digits are blanks
 
@@ -101,18 +100,29 @@ def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, score, np.maximum(share.max(axis=1), 0) if share.shape[1] > 1 else np.zeros(len(share))
 
 
-def fit_language_codes(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS, bits: int = BUCKET_BITS) -> dict:
+def _stretch(text: Column, key: Column, chars: int) -> Column:
+    """Up to ``chars`` characters from a place that ``key``'s hash chooses; from the first letter if there is none in them."""
+    start = F.pmod(F.xxhash64(key), F.greatest(F.length(text) - chars + 1, F.lit(1))).cast("int") + 1
+    anywhere = F.substr(text, start, F.lit(chars))
+    return F.when(anywhere.rlike(LETTER), anywhere).otherwise(F.substr(F.regexp_replace(text, r"^\P{L}++", ""), F.lit(1), F.lit(chars)))
+
+
+def fit_language_codes(
+    labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS, bits: int = BUCKET_BITS, sample_chars: int = SAMPLE_CHARS
+) -> dict:
     """A model from ``doc_id, text, lang``: at most ``sample_rows`` rows, as many of each language as possible.
 
     Rows are taken in the order of md5(doc_id) per language; rows without lang or without a letter are
-    not used. Fitting runs in one task, whose input is bounded by ``sample_rows * SAMPLE_BYTES``. Without
+    not used. Texts above ``sample_chars`` characters give a stretch of that size from anywhere. Fitting runs in
+    one task, whose input is bounded by ``sample_rows * sample_chars`` characters. Without
     labelled rows the model knows no language and everything is ``und``.
     """
     spark = labelled.sparkSession
     ship_package(spark)
     rows = labelled.select(
-        F.col("doc_id").cast("string").alias("id"), F.substring(F.col("text").cast("string"), 1, SAMPLE_BYTES).alias("text"), F.col("lang").cast("string").alias("lang")
-    ).where(r"lang is not null and text rlike '\\p{L}'")
+        F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
+    ).where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
+    rows = rows.withColumn("text", _stretch(F.col("text"), F.coalesce("id", F.lit("")), sample_chars))
     langs = sorted(r[0] for r in rows.select("lang").distinct().collect())  # one row per language
     if not langs:
         return {"langs": [], "code": codewords(0), "weights": None, "bits": bits}
@@ -145,7 +155,8 @@ def predict_language(docs: DataFrame, model: dict, *, keep: Sequence[str | Colum
     """
     ship_package(docs.sparkSession)
     kept = docs.select(*keep)
-    source = docs.select(F.struct(*keep).alias("kept"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    source = docs.select(F.struct(*keep).alias("kept"), text.alias("text"), F.coalesce(text.rlike(LETTER), F.lit(False)).alias("known"))
     names = np.array([*model["langs"], UNKNOWN], dtype=object)
     shared = docs.sparkSession.sparkContext.broadcast((model["weights"], model["code"]))  # buckets x bits floats
 
@@ -156,7 +167,7 @@ def predict_language(docs: DataFrame, model: dict, *, keep: Sequence[str | Colum
                 for at in range(0, len(large), 256):
                     piece = large.slice(at, 256)
                     texts = piece.column("text")
-                    known = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], dtype=bool)
+                    known = piece.column("known").to_numpy(zero_copy_only=False).astype(bool)
                     if weights is None:
                         known[:] = False
                         best, score, second = (np.zeros(len(piece)),) * 3
