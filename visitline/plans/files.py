@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from visitline.functions import names as N
 from visitline.plans.registry import query, rounded
@@ -110,6 +110,51 @@ def file_inventory(spark, sf):
     )
 
 
+def _supplier_files(spark, sf) -> str:
+    """A CSV file per 40 supplier keys with quoted line breaks; every fourth file is cut off inside a cell."""
+    root = _folder(spark, "supplier-files")
+    part = (F.col("s_suppkey") / 40).cast("bigint")
+    rows = table(spark, sf, "supplier").withColumn("part", part)
+    last = F.max("s_suppkey").over(Window.partitionBy("part")) == F.col("s_suppkey")
+    note = (
+        F.when(last & (F.col("part") % 4 == 1), '"cut').when(F.col("s_nationkey") % 3 == 0, "NA")
+        .otherwise(F.concat(F.lit('"a,\n""'), "s_name", F.lit('"""')))
+    )
+    line = F.concat_ws(
+        ",", "s_suppkey", F.lit("bl"), F.when(F.col("s_acctbal") < 0, "").otherwise(F.col("s_acctbal").cast("string")),
+        F.when(F.col("s_nationkey") % 5 == 0, "x").otherwise("1"), note,
+    )
+    heads = rows.select("part", F.lit(-1).cast("bigint").alias("o"), F.lit("RID,VISCODE,MMSE,mixed,note").alias("line")).distinct()
+    lines = rows.select("part", F.col("s_suppkey").cast("bigint").alias("o"), line.alias("line")).unionByName(heads)
+    (
+        lines.repartition("part").sortWithinPartitions("part", "o").select("part", "line")
+        .write.partitionBy("part").option("sep", "\u0001").option("quote", "\u0000").csv(root)
+    )
+    return root
+
+
+@query(
+    "file_missing_rates",
+    """WITH s AS (SELECT *, CAST(s_suppkey // 40 AS BIGINT) AS part FROM supplier),
+    f AS (SELECT part, CASE WHEN part % 4 = 1 THEN NULL ELSE CAST(count(*) AS BIGINT) END AS rows, CASE WHEN part % 4 = 1 THEN 'partial' ELSE 'ok' END AS read_status,
+      concat_ws('|', CASE WHEN max(s_acctbal) >= 0 THEN 'MMSE' END, CASE WHEN avg((s_nationkey % 5 <> 0)::INT) >= 0.8 THEN 'mixed' END) AS measures,
+      avg((s_acctbal < 0)::INT) AS no_mmse, avg((s_nationkey % 3 = 0 AND (part % 4 <> 1 OR s_suppkey <> last))::INT) AS no_note
+      FROM (SELECT *, max(s_suppkey) OVER (PARTITION BY part) AS last FROM s) GROUP BY part),
+    r AS (SELECT part, rows, read_status, measures, unnest(['RID', 'VISCODE', 'MMSE', 'mixed', 'note']) AS column_name,
+      round(unnest([0, 0, no_mmse, 0, no_note]), 4) AS missing_rate FROM f)
+    SELECT *, CAST(row_number() OVER (PARTITION BY part ORDER BY missing_rate DESC, column_name) AS INTEGER) AS place FROM r""",
+)
+def file_missing_rates(spark, sf):
+    files = V.scan_folder(spark, _supplier_files(spark, sf)).select(
+        F.regexp_extract("file", "part=([0-9]+)/", 1).cast("bigint").alias("part"), "rows", "read_status",
+        F.array_join("measurement_columns", "|").alias("measures"), F.posexplode("missing_rate_top10").alias("place", "told"),
+    )
+    return files.select(
+        "part", "rows", "read_status", "measures", (F.col("place") + 1).alias("place"),
+        F.col("told.column").alias("column_name"), F.col("told.rate").alias("missing_rate"),
+    )
+
+
 @query(
     "file_group_availability",
     """SELECT key, available, CAST(CASE WHEN available THEN (SELECT count(DISTINCT o_orderpriority) FROM orders) ELSE 0 END AS INTEGER) AS n_files, matched_columns FROM (VALUES

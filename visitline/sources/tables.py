@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from visitline.operators.selection import require_columns
+from visitline.sources.records import count_records, csv_lines, read_records, typed
 
 # Cells that mean "missing" in data tables and in dictionary tables.
 MISSING_CELLS = ("", " ", "-4", "-4.0")
@@ -20,20 +21,28 @@ def read_csv(
 ) -> DataFrame:
     """CSV with header; whitespace around column names is removed.
 
-    ``multi_line`` respects line breaks inside quotes, which makes a file the unit of work. Set it
-    to False for large files without such breaks: Spark then splits them. ``infer_types`` reads the data
-    once more to find numeric and time columns; all columns are text otherwise, or as in ``schema``.
+    ``multi_line`` respects line breaks inside quotes; files are split all the same (``sources.records``), at the
+    price of writing their lines once. Without it Spark's own reader takes every line for a record.
+    ``infer_types`` reads the data once more to find numeric and time columns; all columns are text otherwise,
+    or as in ``schema``.
     """
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').option("inferSchema", infer_types)
-    if schema is not None:
-        reader = reader.schema(schema)
-    try:
-        df = reader.csv(path)
-    except AnalysisException as exc:
-        if exc.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"Data file not found: {path}") from exc
-        raise
-    return df.toDF(*[c.strip() for c in df.columns])
+    if multi_line:
+        df = read_records(spark, path, schema)
+        folder = getattr(df, "_visitline_folder", None)
+        df = typed(df) if infer_types and schema is None and df.columns else df
+    else:
+        folder = None
+        reader = spark.read.option("header", True).option("escape", '"').option("inferSchema", infer_types)
+        try:
+            df = (reader.schema(schema) if schema is not None else reader).csv(path)
+        except AnalysisException as exc:
+            if exc.getCondition() == "PATH_NOT_FOUND":
+                raise FileNotFoundError(f"Data file not found: {path}") from exc
+            raise
+    named = df.toDF(*[c.strip() for c in df.columns])
+    if folder:
+        named._visitline_folder = folder
+    return named
 
 
 def null_missing(df: DataFrame, cells: Sequence[str] = MISSING_CELLS) -> DataFrame:
@@ -87,16 +96,12 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return clean_dictionary(read_csv(spark, path))
 
 
-def csv_record_counts(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Records per CSV file without the header; line breaks inside quotes do not count.
+def csv_record_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Records per CSV file without the header; line breaks inside quotes do not count, and large files are split.
 
-    ``multi_line=False`` is for files without such breaks: large ones are then split over tasks. A file
-    that can't be read has no row.
+    ``closed`` is false where a file ends inside a quoted cell, as one that was cut off does: its ``rows`` is null.
+    A file that can't be read fails the job. An empty file has no row.
     """
-    files = (
-        spark.read.option("header", True).option("multiLine", multi_line).option("ignoreCorruptFiles", True).option("escape", '"')
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]")
-        .schema("first string")
-        .csv(path)
-    )
-    return files.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]")
+    counts = count_records(csv_lines(reader, path))
+    return counts.select("file", F.when(F.col("closed"), F.col("rows")).alias("rows"), "closed")
