@@ -287,7 +287,36 @@ def test_folds_are_balanced_and_grouped(spark):
     folds = T.grouped_folds(df, "RID")
     assert folds.count() == 300
     loads = [r["n"] for r in folds.groupBy("fold").agg(F.sum("rows").alias("n")).collect()]
-    assert len(loads) == 5 and max(loads) < 1.15 * min(loads)
+    assert len(loads) == 5 and max(loads) - min(loads) <= 8
+
+
+def test_folds_are_those_of_a_step_per_subject(spark):
+    rng = random.Random(2)
+    for _ in range(200):
+        loads, rows_, subjects = [rng.randrange(30) for _ in range(rng.randrange(1, 7))], rng.randrange(1, 9), rng.randrange(40)
+        now, want = list(loads), [0] * len(loads)
+        for _ in range(subjects):
+            fold = now.index(min(now))
+            now[fold] += rows_
+            want[fold] += 1
+        assert T.lightest_folds(loads, rows_, subjects) == want
+    # One subject owns half of all rows, many own one row, and some rows have no subject.
+    df = spark.createDataFrame([(0,)] * 500 + [(s,) for s in range(1, 480)] + [(None,)] * 21, "RID int")
+    got = T.grouped_folds(df, "RID", 3)
+    loads = {r["fold"]: r["n"] for r in got.groupBy("fold").agg(F.sum("rows").alias("n")).collect()}
+    assert loads == {1: 500, 2: 250, 3: 250} and got.count() == 481
+    assert T.grouped_folds(df.limit(0), "RID").count() == 0
+
+
+def test_pair_statistics_sum_the_weights_of_pairs(spark):
+    df = visits(spark, [(s, f"20{10 + k}-01-01", "CN", 0) for s in (1, 2) for k in range(2 + s)])
+    pairs = J.transition_pairs(df, [], **ARGS)
+    counts = J.pair_counts_per_visit(df, **ARGS)
+    names = ["effective_weighted_sample_size", "per_subject_weight_sum_min", "per_subject_weight_sum_max"]
+    told = lambda p: [x and round(x, 6) for x in J.pair_statistics(counts, pairs=p).select(*names).first()]
+    assert told(pairs) == [2.0, 1.0, 1.0]
+    assert told(pairs.withColumn("subject_weight", F.col("subject_weight") * F.col("subject"))) == [3.0, 1.0, 2.0]
+    assert told(None) == [None, None, None]
 
 
 def test_fingerprint_ignores_order_and_repeats(spark):

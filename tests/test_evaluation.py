@@ -256,6 +256,8 @@ def test_scoped_evaluation_lists_thin_bins(spark):
     assert len(got) == 6
     assert got["horizon", "0-12 months"]["n_rows"] == 0 and got["horizon", "0-12 months"]["accuracy"] is None
     assert got["horizon", "12-24 months"]["stable_metrics_reported"] and got["row_level", "overall"]["accuracy"] == 0.5
+    called = V.scoped_evaluation(df, "y", "prob", "RID", "d", "row_id", predicted=F.col("y")).where("scope = 'row_level'").first()
+    assert called["accuracy"] == 1.0 and called["log_loss"] == got["row_level", "overall"]["log_loss"]
 
 
 def test_model_selection_order(spark):

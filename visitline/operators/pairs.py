@@ -301,25 +301,32 @@ def weighted_describe(df: DataFrame, value: Column, weight: Column, extra: Seque
     )
 
 
-def pair_statistics(counts: DataFrame, scheme: StateScheme = DEFAULT_SCHEME) -> DataFrame:
-    """One row: subjects, pairs, median / max pairs per subject, weight sums, target distribution."""
+def pair_statistics(counts: DataFrame, scheme: StateScheme = DEFAULT_SCHEME, pairs: DataFrame | None = None) -> DataFrame:
+    """One row: subjects, pairs, median / max pairs per subject, weight sums, target distribution.
+
+    Weight sums are those of the weights attached to ``pairs`` (from :func:`transition_pairs`), null without it.
+    """
     to = [F.col(f"to_{s}") for s in scheme.states]
     per_subject = counts.groupBy("subject").agg(
         F.sum(sum(to[1:], to[0])).alias("pairs"), *[F.sum(c).alias(f"to_{s}") for c, s in zip(to, scheme.states)]
     )
+    if pairs is None:
+        weighed = per_subject.withColumn("weight", F.lit(None).cast("double"))
+    else:
+        sums = pairs.groupBy("subject").agg(F.sum("subject_weight").alias("weight"))
+        weighed = per_subject.join(sums, "subject", "left")
     # Subjects per pair count: a short table that carries the median exactly.
     sizes = (
-        per_subject.where(F.col("pairs") > 0)
+        weighed.where(F.col("pairs") > 0)
         .groupBy("pairs")
-        .agg(F.count("*").alias("subjects"), *[F.sum(f"to_{s}").alias(f"to_{s}") for s in scheme.states])
+        .agg(
+            F.count("*").alias("subjects"), *[F.sum(f"to_{s}").alias(f"to_{s}") for s in scheme.states],
+            F.sum("weight").alias("weights"), F.min("weight").alias("lowest"), F.max("weight").alias("highest"),
+        )
     )
     totals = [F.sum(F.col("pairs") * F.col("subjects")).cast("bigint").alias("total_pairs")]
     totals += [F.sum(f"to_{s}").cast("bigint").alias(f"future_{s}") for s in scheme.states]
-    per_subject_sum = F.col("pairs") * (F.lit(1.0) / F.col("pairs"))  # as many pairs, each of the weight attached to them
-    totals += [
-        F.sum(per_subject_sum * F.col("subjects")).alias("weights"),
-        F.min(per_subject_sum).alias("lowest_sum"), F.max(per_subject_sum).alias("highest_sum"),
-    ]
+    totals += [F.sum("weights").alias("weights"), F.min("lowest").alias("lowest_sum"), F.max("highest").alias("highest_sum")]
     return weighted_describe(sizes, F.col("pairs"), F.col("subjects"), totals).select(
         F.col("count").cast("bigint").alias("subjects"),
         "total_pairs",

@@ -117,15 +117,18 @@ def scoped_evaluation(
     months: str = "forecast_months",
     min_rows: int = 20,
     classes: Sequence[int] = (0, 1, 2),
+    predicted: Column | None = None,
 ) -> DataFrame:
     """Metrics of all rows, of first follow-ups and of every horizon bin.
 
-    Scopes with fewer than ``min_rows`` rows keep their counts but get null metrics; empty bins are
+    ``predicted`` are the labels called, where they are not the likeliest ones: label metrics follow them,
+    AUC, log-loss and Brier score the probabilities. Scopes with fewer than ``min_rows`` rows keep their counts but get null metrics; empty bins are
     listed too.
     """
     rows = df.select(
         F.col(subject).alias("subject"), F.col(truth).alias("_truth"), F.col(prob).alias("_prob"),
         F.col(outcome_date).alias("_date"), F.col(row_id).alias("_row"), F.col(months).alias("_months"),
+        (P.predicted_class(F.col(prob)) if predicted is None else predicted).cast("int").alias("_call"),
     )
     scope = lambda s, h: F.struct(F.lit(s).alias("scope"), h.alias("horizon"))
     overall = F.lit("overall")
@@ -134,12 +137,12 @@ def scoped_evaluation(
     )
     first = first_per_key(rows, ["subject"], [F.col("_date").asc_nulls_last(), F.col("_row").asc()])
     tagged = wide.unionByName(first.withColumn("_scope", scope("first_follow_up", overall)))
-    flat = tagged.select("subject", "_truth", "_prob", "_scope.*").where(F.col("horizon").isNotNull())
+    flat = tagged.select("subject", "_truth", "_prob", "_call", "_scope.*").where(F.col("horizon").isNotNull())
     keys = ["scope", "horizon"]
     subjects = flat.groupBy(*keys, "subject").agg(F.count("*").alias("k")).groupBy(*keys).agg(
         F.count("*").alias("n_subjects")
     )
-    table = multiclass_metrics(flat, "_truth", "_prob", classes, keys).join(subjects, keys)
+    table = multiclass_metrics(flat, "_truth", "_prob", classes, keys, F.col("_call")).join(subjects, keys)
     listed = [("row_level", "overall"), ("first_follow_up", "overall"), *[("horizon", b[0]) for b in HORIZON_BINS]]
     frame = df.sparkSession.createDataFrame(listed, "scope string, horizon string")
     full = F.broadcast(frame).join(table, keys, "left")

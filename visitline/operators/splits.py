@@ -6,13 +6,17 @@ bucket (see :mod:`visitline.functions.ordered`), and hash order replaces random
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from visitline.functions.ordered import hash_bucket, running_sums, seeded_hash
+from visitline.functions.skew import salted_join
 from visitline.operators.selection import first_per_key  # noqa: F401  (re-exported for callers)
+from visitline.session import materialize, ship_package
 
 
 ID_CHARACTERS = 3  # of an id, past the shared ones, that part the subjects of one instant
@@ -183,16 +187,53 @@ def _by_label(values: Mapping) -> Column:
     return picked
 
 
+def lightest_folds(loads: Sequence[int], rows: int, subjects: int) -> list[int]:
+    """How many of ``subjects`` subjects of ``rows`` rows each fold gets if each goes to the fold with fewest rows.
+
+    Those are the ``subjects`` smallest of the loads at which a fold would take its next one (the first fold on
+    ties), found by a search for the load they all stay below: no step per subject.
+    """
+    taken = lambda level: [max(0, (level - load) // rows + 1) for load in loads]
+    low, high = min(loads) - 1, max(loads) + rows * subjects
+    while low < high:
+        level = (low + high + 1) // 2
+        low, high = (level, high) if sum(taken(level)) <= subjects else (low, level - 1)
+    got = taken(low)
+    left = subjects - sum(got)
+    for fold, load in enumerate(loads):
+        if left and load <= low + 1 and (low + 1 - load) % rows == 0:
+            got[fold] += 1
+            left -= 1
+    return got
+
+
+def _deal(sizes: pd.DataFrame, n_splits: int) -> pd.DataFrame:
+    loads, dealt = [0] * n_splits, []
+    ordered = sizes.sort_values("rows", ascending=False)
+    for rows, subjects in zip(ordered["rows"].tolist(), ordered["subjects"].tolist()):
+        got = lightest_folds(loads, rows, subjects)
+        loads = [load + rows * n for load, n in zip(loads, got)]
+        dealt.append((rows, list(itertools.accumulate(got))))
+    return pd.DataFrame(dealt, columns=["rows", "bounds"])
+
+
 def grouped_folds(df: DataFrame, subject: str, n_splits: int = 5, seed: int = 42) -> DataFrame:
-    """Fold per subject, balanced by rows: subjects of like size are dealt back and forth over folds."""
-    sizes = df.groupBy(F.col(subject).alias("subject")).agg(F.count("*").alias("rows"))
-    # At most a few hundred size classes: eight per doubling of the row count.
-    classed = sizes.withColumn("_class", F.floor(F.log2(F.col("rows").cast("double")) * F.lit(8.0)).cast("int"))
-    ranked = hash_ranked(classed, seed, ["_class"])
-    step = F.pmod(F.col("position"), F.lit(2 * n_splits))
-    snake = F.when(step < n_splits, step).otherwise(F.lit(2 * n_splits - 1) - step)
-    shift = F.pmod(F.col("_class") * F.lit(2), F.lit(n_splits))
-    return ranked.select("subject", "rows", (F.pmod(snake + shift, F.lit(n_splits)) + 1).cast("int").alias("fold"))
+    """Fold per subject, balanced by rows: the largest subjects first, each to the fold with fewest rows.
+
+    Folds differ by at most the rows of the largest subject. One task deals the table of distinct sizes, of which
+    n rows make at most sqrt(2n); subjects of one size are cut in seeded hash order. Rows without a subject are
+    one subject. Sizes are written once (``session.release`` deletes them).
+    """
+    sizes = materialize(df.groupBy(F.col(subject).alias("subject")).agg(F.count("*").alias("rows")), "fold-sizes")
+    ship_package(df.sparkSession)
+    table = sizes.groupBy("rows").agg(F.count("*").alias("subjects"))
+    bounds = table.groupBy().applyInPandas(lambda x: _deal(x, n_splits), "rows long, bounds array<long>")
+    ranked = hash_ranked(sizes, seed, ["rows"])
+    folds = salted_join(ranked, bounds, ["rows"], "inner", F.col("subject"), counts=table, rows="subjects")
+    passed = F.size(F.filter("bounds", lambda b: b <= F.col("position")))
+    out = folds.select("subject", "rows", (passed + 1).cast("int").alias("fold"))
+    out._visitline_folder = sizes._visitline_folder
+    return out
 
 
 def overlapping_subjects(assignment: DataFrame, subject: str = "subject", split: str = "split") -> DataFrame:

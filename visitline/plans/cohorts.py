@@ -352,7 +352,8 @@ def pairs_by_split(spark, sf):
       CAST((SELECT count(*) FROM pairs WHERE future_state = 'P') AS BIGINT) AS "future_P" """,
 )
 def pair_statistics(spark, sf):
-    return rounded(J.pair_statistics(J.pair_counts_per_visit(bare_visits(spark, sf), **SPEC), SCHEME))
+    base = bare_visits(spark, sf)
+    return rounded(J.pair_statistics(J.pair_counts_per_visit(base, **SPEC), SCHEME, J.transition_pairs(base, [], **SPEC)))
 
 
 @query(
@@ -608,9 +609,14 @@ def random_split(spark, sf):
 
 @query(
     "grouped_folds",
-    f"""WITH s AS (SELECT o_custkey AS subject, count(*) AS rows FROM orders GROUP BY 1), c AS (SELECT *, CAST(floor(log2(rows) * 8) AS INTEGER) AS k FROM s),
-    p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY {hash_sql('subject')}, subject) - 1 AS position FROM c)
-    SELECT subject, rows, CAST((CASE WHEN position % 10 < 5 THEN position % 10 ELSE 9 - position % 10 END + k * 2 % 5) % 5 + 1 AS INTEGER) AS fold FROM p""",
+    f"""WITH RECURSIVE s AS MATERIALIZED (SELECT o_custkey AS subject, count(*) AS rows FROM orders GROUP BY 1),
+    o AS MATERIALIZED (SELECT rows, row_number() OVER (ORDER BY rows DESC) AS i FROM s),
+    g AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS rows, 0 AS fold, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS loads
+      UNION ALL SELECT i, rows, fold, [loads[j] + CASE WHEN j = fold THEN rows ELSE 0 END FOR j IN range(1, 6)]
+      FROM (SELECT o.i, o.rows, list_position(g.loads, list_min(g.loads)) AS fold, g.loads FROM g JOIN o ON o.i = g.i + 1)),
+    p AS (SELECT *, row_number() OVER (PARTITION BY rows ORDER BY {hash_sql('subject')}, subject) AS position FROM s),
+    d AS (SELECT rows, fold, row_number() OVER (PARTITION BY rows ORDER BY fold, i) AS position FROM g WHERE i > 0)
+    SELECT subject, rows, CAST(fold AS INTEGER) AS fold FROM p JOIN d USING (rows, position)""",
 )
 def grouped_folds(spark, sf):
     return T.grouped_folds(bare_visits(spark, sf), "subject")

@@ -282,6 +282,21 @@ def scoped_evaluation(spark, sf):
     return rounded(_json_matrix(V.scoped_evaluation(rows, "y", "prob", "subject", "visit_date", "row_id")))
 
 
+@query(
+    "scoped_evaluation_of_calls",
+    f"""WITH {_SCOPE_SQL}, called AS (SELECT * REPLACE (CASE WHEN p1 >= 0.3 THEN 1 ELSE yhat END AS yhat) FROM scoped),
+    {confusion_sql('called', 'scope, horizon')}, {auc_sql('called', 'scope, horizon')}
+    SELECT scope, horizon, CAST(coalesce(n_rows, 0) AS BIGINT) AS n_rows, accuracy, balanced_accuracy, macro_f1, log_loss, confusion_matrix, roc_auc_ovr
+    FROM listed LEFT JOIN met USING (scope, horizon) LEFT JOIN auc USING (scope, horizon)""",
+)
+def scoped_evaluation_of_calls(spark, sf):
+    rows = predictions(spark, sf).withColumn("forecast_months", F.datediff("visit_date", F.lit("1996-01-01").cast("date")) / F.lit(30.4375))
+    call = F.when(F.get("prob", 1) >= 0.3, 1).otherwise(P.predicted_class(F.col("prob")))
+    scored = V.scoped_evaluation(rows, "y", "prob", "subject", "visit_date", "row_id", predicted=call)
+    kept = ["scope", "horizon", "n_rows", "accuracy", "balanced_accuracy", "macro_f1", "log_loss", "confusion_matrix", "roc_auc_ovr"]
+    return rounded(_json_matrix(scored).select(*kept))
+
+
 def _bootstrap_sql(source: str, repetitions: int) -> str:
     """Draws, their counts per (repetition, truth, call, probabilities) and percentile intervals."""
     names = ("accuracy", "balanced_accuracy", "macro_f1", "roc_auc_ovr", "log_loss", "brier_score")
