@@ -193,13 +193,13 @@ def head_spans(batches: Iterator[pa.RecordBatch], records: int) -> Iterator[pa.R
 
 
 _PIECE_FIELDS = [
-    ("file", pa.string()), ("number", pa.int64()), ("block", pa.int64()), ("part", pa.int64()), ("whole", pa.bool_()), ("text", pa.binary()),
+    ("file", pa.string()), ("number", pa.int64()), ("block", pa.int64()), ("part", pa.int64()), ("text", pa.binary()),
 ]
-_PIECE_SCHEMA = "file string, number long, block long, part long, whole boolean, text binary"
+_PIECE_SCHEMA = "file string, number long, block long, part long, text binary"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The records of each part, numbered within the file; one that crosses its border is a piece."""
+def _pieces(batches: Iterator[pa.RecordBatch], crossing: bool) -> Iterator[pa.RecordBatch]:
+    """The whole records of each part, numbered within the file, or the pieces of those ``crossing`` its border."""
     for batch in batches:
         for row in batch.to_pylist():
             lines, start = row["lines"], row["inside"]
@@ -219,35 +219,43 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     begin += 1
                 texts.append(b"\n".join(lines[begin:]))
                 whole.append(False)
-            n = len(texts)
+            kept = [i for i, x in enumerate(whole) if x != crossing]
+            n = len(kept)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([row["file"]] * n, pa.string()), pa.array(range(row["before"], row["before"] + n), pa.int64()),
+                    pa.array([row["file"]] * n, pa.string()), pa.array([row["before"] + i for i in kept], pa.int64()),
                     pa.array([row["block"]] * n, pa.int64()), pa.array([row["part"]] * n, pa.int64()),
-                    pa.array(whole, pa.bool_()), pa.array(texts, pa.binary()),
+                    pa.array([texts[i] for i in kept], pa.binary()),
                 ],
                 schema=pa.schema(_PIECE_FIELDS),
             )
 
 
-def csv_records(lines: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Every record of the files as text: file, number (the header is 0) and text; line breaks in cells are ``\\n``.
+def _joined(parts: DataFrame, placed: DataFrame) -> DataFrame:
+    """Records of the parts: whole ones as they are, and those of parts that begin or end inside one glued."""
+    keys = ["file", "block", "part"]
 
-    The lines are written once in parts, so that states and lines stay those of one reading whatever executor
-    is lost; ``session.release`` deletes them. Only records that cross a part are shuffled, at most two pieces a part.
-    """
-    parts = materialize(line_parts(lines, True, part_bytes), "csv-parts")
-    placed = place_parts(parts).select("file", "block", "part", "inside", "before")
-    pieces = parts.select("file", "block", "part", "lines").join(placed, ["file", "block", "part"]).mapInArrow(_pieces, _PIECE_SCHEMA)
-    whole = pieces.where("whole").select("file", "number", F.col("text").cast("string").alias("text"))
+    def take(where: str, crossing: bool) -> DataFrame:
+        told = placed.where(where).select(*keys, "inside", "before")
+        return parts.select(*keys, "lines").join(told, keys).mapInArrow(partial(_pieces, crossing=crossing), _PIECE_SCHEMA)
+
+    whole = take("ends > 0", False).select("file", "number", F.col("text").cast("string").alias("text"))
     ordered = F.array_sort(F.collect_list(F.struct("block", "part", "text")))
     glued = (
-        pieces.where("not whole").groupBy("file", "number").agg(ordered.alias("x"))
+        take("inside or left", True).groupBy("file", "number").agg(ordered.alias("x"))
         .select("file", "number", F.array_join(F.transform("x", lambda p: p["text"].cast("string")), "\n").alias("text"))
     )
-    records = whole.unionByName(glued)
-    records._visitline_folder = parts._visitline_folder
-    return records
+    return whole.unionByName(glued)
+
+
+def _header(parts: DataFrame, placed: DataFrame) -> list[str]:
+    """Names in the first file's header; only the parts up to its end are read."""
+    end = placed.where("before = 0 and ends > 0").orderBy("file").select("file", "block").first()
+    if end is None:
+        return []
+    own = F.col("file") == F.lit(end["file"])
+    upto = parts.where(own & (F.col("block") <= F.lit(end["block"])))
+    return header_names(_joined(upto, placed.where(own & (F.col("before") == 0))).where("number = 0").first()["text"])
 
 
 def header_names(header: str) -> list[str]:
@@ -275,23 +283,27 @@ def typed(df: DataFrame) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
-    """The files' records as columns: text ones named by the header of the first file, or those of ``schema``."""
+    """The files' records as columns: text ones named by the header of the first file, or those of ``schema``.
+
+    Line breaks in cells are ``\\n``. The lines are written once in parts, so that states and lines stay those of one
+    reading whatever executor is lost; ``session.release`` deletes them. Only records that cross a part are
+    shuffled, at most two pieces a part.
+    """
     try:
         lines = csv_lines(spark.read, path)
     except AnalysisException as exc:
         if exc.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"Data file not found: {path}") from exc
         raise
-    records = csv_records(lines, part_bytes)
+    parts = materialize(line_parts(lines, True, part_bytes), "csv-parts")
+    placed = place_parts(parts)
     if schema is None:
-        header = records.where("number = 0").orderBy("file").select("text").first()
-        names = header_names(header["text"]) if header else []
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in _header(parts, placed)])
     if not schema.fields:
         return spark.createDataFrame([], schema)
     cells = F.from_csv("text", _ddl(schema), {"escape": '"'})
-    df = records.where("number > 0").select(cells.alias("cells")).select("cells.*")
-    df._visitline_folder = records._visitline_folder
+    df = _joined(parts, placed).where("number > 0").select(cells.alias("cells")).select("cells.*")
+    df._visitline_folder = parts._visitline_folder
     return df
 
 
