@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
@@ -228,3 +229,14 @@ def test_ablation_features():
     got = X.ablation_features(["a"])
     assert got["features_only"] == ["a"] and got["features_plus_source_forecast"] == ["a", "source_state", "forecast_months"]
     assert len(got) == 4
+
+
+def test_plain_levels_are_cells_and_odd_ones_indices(spark):
+    train = spark.createDataFrame([(1.0, "a b", "x'${y}"), (2.0, "c", "__THIS__"), (4.0, None, "x'${y}")], "n double, plain string, odd string")
+    prep = M.fit_preparation(train, ["n", "plain", "odd"])
+    out = train.unionByName(spark.createDataFrame([(1.0, "new", "new")], train.schema))
+    for stage in prep.stages():
+        out = stage.transform(out)
+    assert "_c0_1" in out.columns and "_c1v" in out.columns
+    cells = [r["v"][1:] for r in out.select(vector_to_array("features").alias("v")).collect()]
+    assert cells == [[1, 0, 0, 1], [0, 1, 1, 0], [1, 0, 0, 1], [0, 0, 0, 0]]
