@@ -402,6 +402,47 @@ def test_passages_are_found_in_both_texts(spark):
     assert chains.repeated_passages(empty(spark)).count() == 0
 
 
+def test_passages_whose_parts_are_first_met_in_different_texts_are_found(spark):
+    passage = [f"p{i}" for i in range(90)]
+    texts = [prose(i, 100, 5000) for i in range(24)]
+    for i, (a, b) in enumerate([(0, 32), (29, 61), (58, 90)]):  # none holds enough of it
+        texts[i] = prose(50 + i, 20, 5000) + " " + " ".join(passage[a:b]) + " " + prose(60 + i, 20, 5000)
+    texts[9] = " ".join(passage) + " " + prose(9, 30, 5000)
+    texts[15] = prose(15, 13, 5000) + " " + " ".join(passage[4:70])
+    texts[17] = " ".join(passage[20:65])  # 45 words
+    texts[18] = prose(18, 13, 5000) + " " + " ".join(passage[20:64])  # 44 words
+    got = {(r["doc_id"], r["other_id"]): r for r in chains.repeated_passages(table(spark, texts)).collect()}
+    assert set(got) == {(15, 9), (17, 9)}
+    assert (got[15, 9]["first_word"], got[15, 9]["n_words"], got[15, 9]["other_first_word"], got[15, 9]["identity"]) == (13, 66, 4, 1.0)
+    assert (got[17, 9]["first_word"], got[17, 9]["n_words"], got[17, 9]["other_first_word"]) == (0, 45, 20)
+
+
+def test_every_text_with_a_long_equal_run_is_linked_to_its_first_holder(spark):
+    rng = random.Random(3)
+    lines = [[f"l{i}w{j}" for j in range(rng.choice([9, 20, 33, 47]))] for i in range(14)]
+    texts = [" ".join(w for _ in range(6) for w in rng.choice(lines)) + " " + prose(i, rng.randrange(20), 5000) for i in range(60)]
+    links = collections.defaultdict(set)
+    for r in chains.repeated_passages(table(spark, texts)).collect():
+        links[r["doc_id"]].add((r["other_id"], r["first_word"], r["first_word"] + r["n_words"]))
+    first: dict[tuple, int] = {}
+    for doc, text in enumerate(texts):
+        split, own = text.split(), {}
+        for at in range(len(split) - 44):
+            own.setdefault(tuple(split[at : at + 45]), at)
+        for run, at in own.items():  # a run that a text repeats, at its first place
+            holder = first.setdefault(run, doc)
+            assert holder == doc or any(at >= a and at + 45 <= b for _, a, b in links[doc]), (doc, holder, at)
+
+
+def test_a_chain_with_a_bad_gap_is_split(spark):
+    passage = [f"p{i}" for i in range(85)]
+    texts = [prose(i, 100, 5000) for i in range(8)]
+    texts[2] = " ".join(passage[:50]) + " " + prose(22, 30, 5000) + " " + " ".join(passage[50:])
+    texts[5] = " ".join(passage[:50]) + " " + prose(55, 30, 5000) + " " + " ".join(passage[50:])
+    got = chains.repeated_passages(table(spark, texts)).collect()
+    assert [(r["doc_id"], r["first_word"], r["n_words"], r["other_id"], r["identity"]) for r in got] == [(5, 0, 50, 2, 1.0)]
+
+
 def test_chains_follow_both_texts():
     segs = np.array([[0, 20, 100], [25, 40, 126], [45, 60, 30], [45, 60, 147], [300, 330, 400]])
     assert sorted(map(tuple, chains.chain(segs))) == [(0, 1, 3), (2,), (4,)]
