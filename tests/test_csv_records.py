@@ -97,3 +97,20 @@ def test_inferred_types(spark, tmp_path):
     read = S.read_csv(spark, str(tmp_path), infer_types=True)
     assert [f.dataType.simpleString() for f in read.schema] == ["int", "bigint", "double", "timestamp", "string", "string"]
     assert read.where("i = 1").first()["s"] == "a\nb"
+
+
+def test_parts_of_a_batch_become_objects_one_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from visitline.sources import records as R
+
+    fields = pa.schema([*R._PART_FIELDS[:3], ("lines", pa.list_(pa.binary())), ("inside", pa.bool_()), ("before", pa.int64())])
+    part = {"file": "f", "block": 0, "lines": [b"1,2,3"] * 2000, "inside": False}
+    batch = pa.RecordBatch.from_pylist([{**part, "part": i, "before": 2000 * i} for i in range(60)], schema=fields)
+    tracemalloc.start()
+    rows = sum(len(out) for out in R._pieces(iter([batch]), False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 120_000 and peak < 2_000_000  # 2,000 lines of 40 to 50 bytes each, twice, and their lists

@@ -201,7 +201,8 @@ _PIECE_SCHEMA = "file string, number long, block long, part long, text binary"
 def _pieces(batches: Iterator[pa.RecordBatch], crossing: bool) -> Iterator[pa.RecordBatch]:
     """The whole records of each part, numbered within the file, or the pieces of those ``crossing`` its border."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for number in range(len(batch)):  # a batch may hold hundreds of parts: one at a time becomes Python objects
+            row = batch.slice(number, 1).to_pylist()[0]
             lines, start = row["lines"], row["inside"]
             effects = [(i, *line_effect(x)) for i, x in enumerate(lines) if b'"' in x]
             after = _after(effects, len(lines), start)
