@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from visitline.functions import probability as P
-from visitline.functions.ordered import seeded_hash
+from visitline.functions.digests import seeded_hashes
 from visitline.functions.skew import MIN_HOT_ROWS, lookup_join, salted_join
 from visitline.operators.metrics import auc_from_wins, metrics_from_cells, multiclass_metrics
 from visitline.operators.splits import hash_ranked
@@ -23,6 +23,7 @@ from visitline.session import materialize, release, ship_package
 
 METRICS = ("accuracy", "balanced_accuracy", "macro_f1", "roc_auc_ovr", "log_loss", "brier_score")
 ROWS_TOGETHER = 64  # predictions of a subject in one list
+DRAWS_TOGETHER = 1 << 15  # draws that a task makes at a time, if its batch has no more rows
 HELD_WEIGHTS = 1 << 19  # weights over repetitions that one task holds before it hands them on
 
 _PARTIAL = (
@@ -44,10 +45,20 @@ def draw_lists(places: DataFrame, repetitions: int, seed: int) -> DataFrame:
     """
     tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Every place stands for one draw number of each repetition.
+    ship_package(places.sparkSession)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers, size = (batch.column(c).to_numpy() for c in ("position", "size"))
+            together = max(1, DRAWS_TOGETHER // max(1, len(numbers)))
+            for start in range(1, repetitions + 1, together):
+                reps = np.arange(start, min(start + together, repetitions + 1))
+                drawn = seeded_hashes(seed, reps, numbers) % size
+                yield pa.RecordBatch.from_pydict({"position": pa.array(drawn.reshape(-1)), "rep": pa.array(np.repeat(reps, len(numbers)).astype(np.int32))})
+
     return (
-        places.repartition(tasks, "position")
-        .select(F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("rep"), F.col("position").alias("draw"), "size")
-        .select("rep", F.pmod(seeded_hash(seed, F.col("rep"), F.col("draw")), F.col("size")).alias("position"))
+        places.repartition(tasks, "position").select("position", F.col("size").cast("bigint").alias("size"))
+        .mapInArrow(draw, "position bigint, rep int")
         .repartition(tasks, "position")
         .groupBy("position")
         .agg(F.collect_list("rep").alias("reps"))
