@@ -41,6 +41,13 @@ def few_visits(spark, monkeypatch):
     return frame
 
 
+def test_split_rows_hold_the_asked_columns_and_label_subjects_once(spark, written, few_visits):
+    got = plans._split_rows(spark, SF, ["label", "spend", "segment"])
+    assert got.columns == ["label", "spend", "segment", "split"]
+    assert written["subject-labels"].count() == 40
+    assert got.count() == few_visits.count()
+
+
 def test_entropy_of_a_known_size_is_compiled_and_equal(spark):
     rows = spark.createDataFrame([([0.2, 0.3, 0.5],), ([1.0, 0.0, 0.0],), (None,), ([1 / 3, 1 / 3, 1 / 3],)], "prob array<double>")
     both = rows.where("prob IS NOT NULL").select(P.entropy(F.col("prob"), 3).alias("a"), P.entropy(F.col("prob")).alias("b"))
