@@ -41,6 +41,15 @@ def few_visits(spark, monkeypatch):
     return frame
 
 
+def test_pairs_are_written_without_unread_columns_from_visits_split_once(spark, written, few_visits):
+    got = plans._pairs(spark, SF)
+    assert set(written) >= {"tagged", "pairs"}
+    assert got.columns == plans.PAIR_COLUMNS
+    tagged = J.attach_split(few_visits, T.temporal_split(few_visits, "subject", "visit_date"), "subject")
+    whole = J.transition_pairs(tagged, FEATURES, carry=["split"], **SPEC).select(plans.PAIR_COLUMNS)
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+
+
 def test_split_rows_hold_the_asked_columns_and_label_subjects_once(spark, written, few_visits):
     got = plans._split_rows(spark, SF, ["label", "spend", "segment"])
     assert got.columns == ["label", "spend", "segment", "split"]
