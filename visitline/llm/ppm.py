@@ -27,8 +27,10 @@ from visitline.session import materialize, ship_package
 ORDER = 6
 TRIE_SHARE = 2.0**-22  # at most 2 ** 22 full-order pairs have their answer in every task
 GROUP = 3  # nearest context bytes that deal the orders from here up; lower orders have 2 ** 24 pairs at most
-BUCKET_PAIRS = 200_000  # trie pairs of a bucket, about
-CHUNK_KEYS, CHUNK_TEXTS = 2_000_000, 20_000  # open positions and texts that a task gathers before it deals them
+BUCKET_PAIRS = 100_000  # trie pairs of a bucket, about
+COUNT_BYTES = 2 << 20  # training bytes to a bucket in which pairs are counted, about
+CHUNK_PAIRS = 3_000_000  # distinct pairs of pieces that a counting task holds
+CHUNK_KEYS, CHUNK_TEXTS = 1_000_000, 20_000  # open positions and texts that a task gathers before it deals them
 WORD_SHARE = 2.0**-18  # at most 2 ** 18 words are looked up in the tasks, the rest by a join
 END, SPACE = 0x0A, 0x20
 
@@ -36,17 +38,15 @@ END, SPACE = 0x0A, 0x20
 def streams(found: words.Words) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts as scored, and their ``n + 1`` bounds."""
     counts = np.diff(found.bounds)
-    at = found.bounds[:-1][counts == 0]
-    begin, end = np.insert(found.begin, at, 0), np.insert(found.end, at, 0)  # an empty word before the end
-    ends = np.cumsum(end - begin + 1)
-    out = np.empty(ends[-1] if len(ends) else 0, dtype=np.uint8)
-    separator = np.zeros(len(out), dtype=bool)
-    separator[ends - 1] = True
-    out[separator] = SPACE
-    inside = np.zeros(len(found.data) + 1, dtype=np.int8)
-    inside[found.begin] += 1
-    np.subtract.at(inside, found.end, 1) if len(np.unique(found.end)) < len(found.end) else inside.__setitem__(found.end, inside[found.end] - 1)
-    out[~separator] = found.data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+    begin, end = found.begin, found.end
+    if not counts.all():
+        at = found.bounds[:-1][counts == 0]
+        begin, end = np.insert(begin, at, 0), np.insert(end, at, 0)  # an empty word before the end
+    sizes = end - begin + 1
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    out = np.append(found.data, np.uint8(SPACE))[np.arange(total) + np.repeat(begin - ends + sizes, sizes)]
+    out[ends - 1] = SPACE
     last = np.cumsum(np.maximum(counts, 1)) - 1
     out[ends[last] - 1] = END
     return out, np.concatenate([[0], ends[last]])
@@ -54,13 +54,13 @@ def streams(found: words.Words) -> tuple[np.ndarray, np.ndarray]:
 
 def pair_keys(stream: np.ndarray, bounds: np.ndarray, order: int) -> np.ndarray:
     """``context << 8 | byte`` of every position; the nearest byte of a context is its lowest."""
-    depth = np.arange(len(stream)) - np.repeat(bounds[:-1], np.diff(bounds))
-    keys = stream.astype(np.uint64)
-    for j in range(1, order + 1):
-        back = np.full(len(stream), END, dtype=np.uint8)
-        back[j:] = stream[: len(stream) - j]
-        back[depth < j] = END
-        keys |= back.astype(np.uint64) << np.uint64(8 * j)
+    padded = np.concatenate([np.full(7, END, np.uint8), stream])
+    last_eight = np.ndarray(len(stream), ">u8", padded, strides=(1,))  # each position's byte and the seven before it
+    keys = last_eight.astype(np.uint64) & np.uint64((1 << (8 * (order + 1))) - 1)
+    for depth in range(order):  # what stands before a text is all ends
+        at = bounds[:-1][np.diff(bounds) > depth] + depth
+        before = int.from_bytes([END] * (order - depth), "little") << (8 * (depth + 1))
+        keys[at] = keys[at] & np.uint64((1 << (8 * (depth + 1))) - 1) | np.uint64(before)
     return keys
 
 
@@ -164,30 +164,47 @@ class Model:
 def count_pairs(training: DataFrame, order: int) -> DataFrame:
     """``key, n`` of every distinct pair of the ``text`` column of all ``training`` rows, written once.
 
-    Every task reduces its texts to distinct pairs before anything is shuffled.
+    Every task reduces its texts to distinct pairs, which are dealt by their contexts to buckets and summed there.
     """
     ship_package(training.sparkSession)
+    texts = training.select(F.col("text").cast("string").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(16, -(-size // COUNT_BYTES))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> pa.RecordBatch:
-            keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            counts = np.bincount(inverse, weights=np.concatenate([c for _, c in held])).astype(np.int64)
-            return pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "n": pa.array(counts)})
-
         for batch in batches:
             for piece in words.pieces(batch):
                 keys = pair_keys(*streams(words.find_words(piece.column("text"))), order)
                 held.append(np.unique(keys, return_counts=True))
-                if sum(len(k) for k, _ in held) > 3_000_000:
-                    yield merged()
-                    held.clear()
+                if sum(len(k) for k, _ in held) > CHUNK_PAIRS:
+                    held[:] = [_summed(_taken(held, 0), _taken(held, 1))]
+                    if len(held[0][0]) > CHUNK_PAIRS // 2:
+                        yield _dealt(_split(*held.pop(), _PAIRS, 0, order, buckets))
         if held:
-            yield merged()
+            yield _dealt(_split(*_summed(_taken(held, 0), _taken(held, 1)), _PAIRS, 0, order, buckets))
+
+    ordered = texts.mapInArrow(dealt, _DEALT).select("bucket", "keys", "rest").repartition("bucket").sortWithinPartitions("bucket")
+    return materialize(ordered.mapInArrow(_counted, "key bigint, n bigint"), "pairs")
 
-    texts = training.select(F.col("text").cast("string").alias("text"))
-    return materialize(texts.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")), "pairs")
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs of each bucket with the sums of their counts; rows come by bucket."""
+    here, held = None, []
+
+    def summed() -> pa.RecordBatch:
+        keys, counts = _summed(_taken(held, 0), _taken(held, 1))
+        held.clear()
+        return pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "n": pa.array(counts)})
+
+    for batch in batches:
+        for bucket, keys, rest in zip(batch.column("bucket").to_pylist(), _cells(batch, "keys"), _cells(batch, "rest")):
+            if bucket != here and held:
+                yield summed()
+            here = bucket
+            held.append((np.cumsum(np.frombuffer(keys, np.uint64), dtype=np.uint64), np.frombuffer(rest, np.int64).copy()))
+    if held:
+        yield summed()
 
 
 def _sorted(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -246,8 +263,12 @@ class Frequent:
 
 
 def _bucket(keys: np.ndarray, group: int, n: int) -> np.ndarray:
-    near = (keys >> np.uint64(8)) & np.uint64((1 << (8 * group)) - 1)
-    return (words.mix(near + np.uint64(1)) % np.uint64(n)).astype(np.int64)
+    """Bucket of each key, found for a block of keys at a time."""
+    out = np.empty(len(keys), np.min_scalar_type(n))
+    for a in range(0, len(keys), 1 << 18):
+        near = (keys[a : a + (1 << 18)] >> np.uint64(8)) & np.uint64((1 << (8 * group)) - 1)
+        out[a : a + (1 << 18)] = words.mix(near + np.uint64(1)) % np.uint64(n)
+    return out
 
 
 # Rows that are dealt: pairs of the trie, open positions of a chunk of texts, the chunk's other columns.
@@ -263,21 +284,40 @@ def _dealt(rows: list[tuple]) -> pa.RecordBatch:
 
 def _split(keys: np.ndarray, rest: np.ndarray, kind: int, chunk: int, group: int, n: int) -> list[tuple]:
     """A row per bucket with its keys, sorted, as differences, and what belongs to them."""
+    by = np.argsort(keys)
+    keys, rest = keys[by], rest[by]
+    del by
     bucket = _bucket(keys, group, n)
-    by = np.lexsort((keys, bucket))
-    bucket, keys, rest = bucket[by], keys[by], rest[by]
-    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else []
+    again = np.argsort(bucket, kind="stable")
+    keys, rest, bucket = keys[again], rest[again], bucket[again]
+    del again
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(keys) else np.zeros(0, np.int64)
+    heads, numbers = keys[first], bucket[first].tolist()
+    keys[1:] -= keys[:-1].copy()
+    keys[first] = heads
     return [
-        (int(bucket[a]), kind, chunk, np.diff(keys[a:b], prepend=np.uint64(0)).tobytes(), rest[a:b].tobytes())
-        for a, b in zip(first, [*first[1:], len(keys)])
+        (number, kind, chunk, keys[a:b].tobytes(), rest[a:b].tobytes())
+        for number, a, b in zip(numbers, first.tolist(), [*first[1:].tolist(), len(keys)])
     ]
 
 
+def _taken(held: list[tuple[np.ndarray, ...]], column: int) -> np.ndarray:
+    """One array of a column of all held ones, which are let go."""
+    out = np.concatenate([h[column] for h in held])
+    held[:] = [(*h[:column], None, *h[column + 1 :]) for h in held]
+    return out
+
+
+def _cells(batch: pa.RecordBatch, column: str) -> Iterator[pa.Buffer]:
+    """Values of a binary column, not copied."""
+    return (cell.as_buffer() for cell in batch.column(column))
+
+
 def _pair_rows(batches: Iterator[pa.RecordBatch], group: int, n: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
-        out = _split(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]), _PAIRS, 0, group, n)
+        out = _split(_taken(held, 0), _taken(held, 1), _PAIRS, 0, group, n)
         held.clear()
         return _dealt(out)
 
@@ -296,24 +336,27 @@ def _bucket_scores(batches: Iterator[pa.RecordBatch], order: int, low: list) ->
     held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         out = []
-        for bucket, kind, chunk, keys, rest in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "chunk", "keys", "rest"))):
+        plain = (batch.column(c).to_pylist() for c in ("bucket", "kind", "chunk"))
+        for bucket, kind, chunk, keys, rest in zip(*plain, _cells(batch, "keys"), _cells(batch, "rest")):
             if bucket != here:
                 here, model = bucket, None
                 held.clear()
             if kind == _TEXTS:
-                out.append((bucket, kind, chunk, keys, rest))
+                out.append((bucket, kind, chunk, keys.to_pybytes(), rest.to_pybytes()))
                 continue
             found = np.cumsum(np.frombuffer(keys, np.uint64), dtype=np.uint64)
             if kind == _PAIRS:
-                held.append((found, np.frombuffer(rest, np.int64)))
+                held.append((found, np.frombuffer(rest, np.int64).copy()))
                 continue
             if model is None:
                 none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 model = whole_model(*_summed(*(np.concatenate(x) for x in zip(none, *held))), order, low)
                 held.clear()
             owner = np.frombuffer(rest, np.uint32)
-            each, index = np.unique(owner, return_inverse=True)
-            out.append((bucket, kind, chunk, each.tobytes(), np.bincount(index, weights=model.log10(found)).tobytes()))
+            head = np.flatnonzero(np.append(True, found[1:] != found[:-1]))  # equal keys lie side by side
+            answer = np.repeat(model.log10(found[head]), np.diff(np.append(head, len(found))))
+            each = np.flatnonzero(np.bincount(owner)).astype(np.uint32)
+            out.append((bucket, kind, chunk, each.tobytes(), np.bincount(owner, weights=answer)[each].tobytes()))
         if out:
             yield _dealt(out)
 
@@ -370,8 +413,11 @@ def score_texts(docs: DataFrame, training: Column, *, order: int = ORDER, share:
         for batch in batches:
             for piece in words.pieces(batch):
                 found = words.find_words(piece.column("text"))
-                _, first, counts = np.unique(found.hashes(), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"word": pa.array(found.strings(first), pa.string()), "c": pa.array(counts)})
+                hashed = found.hashes()
+                by = np.argsort(hashed)
+                hashed = hashed[by]
+                head = np.flatnonzero(np.append(True, hashed[1:] != hashed[:-1])) if len(by) else by
+                yield pa.RecordBatch.from_pydict({"word": found.string_array(by[head]), "c": pa.array(np.diff(np.append(head, len(by))))})
 
     known = materialize(learned.mapInArrow(tally, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "words")
     totals = known.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
@@ -406,7 +452,7 @@ def score_texts(docs: DataFrame, training: Column, *, order: int = ORDER, share:
                     out.write_batch(batch)
             rows = [(chunk % buckets, _TEXTS, chunk, b"", sink.getvalue().to_pybytes())]
             if open_:
-                rows += _split(np.concatenate([k for k, _ in open_]), np.concatenate([o for _, o in open_]), _OPEN, chunk, group, buckets)
+                rows += _split(_taken(open_, 0), _taken(open_, 1), _OPEN, chunk, group, buckets)
             held.clear()
             open_.clear()
             return _dealt(rows)
@@ -423,7 +469,7 @@ def score_texts(docs: DataFrame, training: Column, *, order: int = ORDER, share:
                 by_byte[settled] = often.answer[answer[settled]]
                 left = np.flatnonzero(~settled)
                 before = sum(map(len, held))
-                open_.append((keys[left], (before + np.searchsorted(bounds, left, side="right") - 1).astype(np.uint32)))
+                open_.append((keys[left], (before + np.repeat(np.arange(many, dtype=np.uint32), np.diff(bounds))[left]).astype(np.uint32)))
             else:
                 by_byte = np.full(len(stream), -math.log10(256))
             sums = np.concatenate([[0.0], np.cumsum(by_byte)])
@@ -448,23 +494,24 @@ def score_texts(docs: DataFrame, training: Column, *, order: int = ORDER, share:
             if not len(miss):
                 continue
             # one row per text and word; the empty word counts the rows of a text
-            owner = found.owner()[miss]
-            order_ = np.lexsort((hashed[miss], owner))
+            owner = found.owner()[miss].astype(np.min_scalar_type(len(piece)))
+            order_ = np.argsort(hashed[miss])
+            order_ = order_[np.argsort(owner[order_], kind="stable")]
             o, h = owner[order_], hashed[miss][order_]
             head = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (h[1:] != h[:-1])]))
             tf = np.diff(np.append(head, len(o)))
-            texts, docs_with = found.strings(miss[order_[head]]), np.unique(o)
+            docs_with = o[np.flatnonzero(np.append(True, o[1:] != o[:-1]))]
             index = pa.array(np.concatenate([o[head], docs_with]))
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": piece.column("doc_id").take(index), "text_hash": piece.column("text_hash").take(index),
-                    "word": pa.array([*texts, *[""] * len(docs_with)], pa.string()), "tf": pa.array(np.concatenate([tf, np.ones(len(docs_with), np.int64)])),
+                    "word": pa.concat_arrays([found.string_array(miss[order_[head]]), pa.array([""] * len(docs_with), pa.string())]), "tf": pa.array(np.concatenate([tf, np.ones(len(docs_with), np.int64)])),
                 }
             )
 
     source = rows.withColumn("text_hash", F.xxhash64("text"))
     dealt = pairs.mapInArrow(lambda it: _pair_rows(it, group, buckets), _DEALT).union(source.mapInArrow(score, _DEALT))
-    by_bucket = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    by_bucket = dealt.repartition(2 * buckets, "bucket").sortWithinPartitions("bucket", "kind")
     by_chunk = by_bucket.mapInArrow(lambda it: _bucket_scores(it, order, lower.value), _DEALT).repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket")
     scored = by_chunk.mapInArrow(_texts_scored, _SCORED)
     others = source.mapInArrow(rare, "doc_id bigint, text_hash bigint, word string, tf bigint").join(known, "word", "left")
